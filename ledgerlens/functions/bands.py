@@ -78,12 +78,12 @@ def with_quartile_band(
     df: DataFrame, column: str, name: str, approx: bool = False
 ) -> DataFrame:
     """Add the quartile label of ``column``; the lowest value belongs to Q1."""
-    edges = quartile_edges(df, column, approx).scalar()
-    value = F.col(column)
+    value, edges = F.col(column), F.col("_edges")
     label = (
         F.when(value <= edges["q25"], QUARTILE_LABELS[0])
         .when(value <= edges["q50"], QUARTILE_LABELS[1])
         .when(value <= edges["q75"], QUARTILE_LABELS[2])
         .when(value <= edges["high"], QUARTILE_LABELS[3])
     )
-    return df.withColumn(name, label)
+    bound = df.withColumn("_edges", quartile_edges(df, column, approx).scalar())
+    return bound.withColumn(name, label).drop("_edges")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,15 +16,17 @@ from ledgerlens.models.features import Task
 SCORE_CELLS = 1000
 
 
+def _confusion_columns(label: str) -> list[Column]:
+    actual, predicted = F.col(label), F.col("prediction")
+    return [
+        F.count_if((actual == a) & (predicted == p)).alias(name)
+        for name, a, p in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))
+    ]
+
+
 def confusion_counts(scored: DataFrame, label: str = "label") -> DataFrame:
     """True and false positives and negatives as one row."""
-    actual, predicted = F.col(label), F.col("prediction")
-    return scored.agg(
-        *(
-            F.count_if((actual == a) & (predicted == p)).alias(name)
-            for name, a, p in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))
-        )
-    )
+    return scored.agg(*_confusion_columns(label))
 
 
 def confusion_matrix(scored: DataFrame, label: str = "label") -> DataFrame:
@@ -91,31 +93,46 @@ def precision_recall(scored: DataFrame, label: str = "label") -> DataFrame:
     )
 
 
-def ranked_scores(scored: DataFrame, label: str = "label") -> DataFrame:
+def ranked_scores(scored: DataFrame, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """One row per distinct score with the positives and negatives at it and above it.
 
     Rows are counted per score first. The running sums then work within cells of equal score
     width; what lies in higher cells comes from the cell totals, of which there are at most
-    ``SCORE_CELLS + 1``. No task ever sees all scores.
+    ``SCORE_CELLS + 1`` per value of ``by`` (the models compared). No task ever sees all scores.
     """
+    return _ranked(_score_counts(scored, label, by), by)
+
+
+def _score_counts(scored: DataFrame, label: str, by: Sequence[str]) -> DataFrame:
+    """Positives and negatives per score and predicted class: all a metric needs to know."""
     actual = F.col(label)
+    return scored.groupBy(*by, "score", "prediction").agg(
+        F.count_if(actual == 1).alias("pos"), F.count_if(actual == 0).alias("neg")
+    )
+
+
+def _ranked(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     points = (
-        scored.groupBy("score")
-        .agg(F.count_if(actual == 1).alias("pos"), F.count_if(actual == 0).alias("neg"))
+        counts.groupBy(*by, "score")
+        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         .withColumn("_cell", F.floor(F.col("score") * SCORE_CELLS))
     )
-    cells = points.groupBy("_cell").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
-    higher = W.orderBy(F.col("_cell").desc()).rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy()
+    cells = points.groupBy(*by, "_cell").agg(
+        F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg")
+    )
+    whole = W.partitionBy(*by)
+    higher = whole.orderBy(F.col("_cell").desc()).rowsBetween(W.unboundedPreceding, -1)
     offsets = cells.select(
+        *by,
         "_cell",
         F.coalesce(F.sum("_pos").over(higher), F.lit(0)).alias("_pos_above"),
         F.coalesce(F.sum("_neg").over(higher), F.lit(0)).alias("_neg_above"),
         F.sum("_pos").over(whole).alias("all_pos"),
         F.sum("_neg").over(whole).alias("all_neg"),
     )
-    run = W.partitionBy("_cell").orderBy(F.col("score").desc())
-    return points.join(F.broadcast(offsets), "_cell").select(
+    run = W.partitionBy(*by, "_cell").orderBy(F.col("score").desc())
+    return points.join(F.broadcast(offsets), [*by, "_cell"]).select(
+        *by,
         "score",
         "pos",
         "neg",
@@ -135,8 +152,8 @@ def auc_value() -> Column:
     return F.try_divide(wins, 2 * pairs)
 
 
-def auc(scored: DataFrame, label: str = "label") -> DataFrame:
-    return ranked_scores(scored, label).agg(auc_value().alias("auc"))
+def auc(scored: DataFrame, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
+    return ranked_scores(scored, label, by).groupBy(*by).agg(auc_value().alias("auc"))
 
 
 def roc_curve(scored: DataFrame, label: str = "label") -> DataFrame:
@@ -158,34 +175,33 @@ def roc_curve(scored: DataFrame, label: str = "label") -> DataFrame:
     return origin.unionByName(points).orderBy(F.col("threshold").desc_nulls_first())
 
 
-def summary_row(scored: DataFrame, name: str, label: str = "label") -> DataFrame:
-    """AUC, recall and precision of one model. One aggregation by score feeds all three."""
-    actual, predicted = F.col(label), F.col("prediction")
-    by_score = scored.groupBy("score", "prediction").agg(
-        F.count_if(actual == 1).alias("pos"), F.count_if(actual == 0).alias("neg")
-    )
-    counts = by_score.agg(
-        F.sum(F.when(predicted == 1, F.col("pos")).otherwise(0)).alias("tp"),
-        F.sum(F.when(predicted == 1, F.col("neg")).otherwise(0)).alias("fp"),
-        F.sum(F.when(predicted == 0, F.col("pos")).otherwise(0)).alias("fn"),
+def model_summary(scored: DataFrame, by: Sequence[str], label: str = "label") -> DataFrame:
+    """AUC, recall and precision of every model in one frame of scores.
+
+    All of them derive from the counts per score, so the models score every row once.
+    """
+    counts = _score_counts(scored, label, by)
+    hits = F.col("prediction") == 1
+    rates = counts.groupBy(*by).agg(
+        _or_zero(ratio(F.sum(F.when(hits, F.col("pos"))), F.sum("pos"))).alias("recall"),
+        _or_zero(
+            ratio(F.sum(F.when(hits, F.col("pos"))), F.sum(F.when(hits, F.col("pos") + F.col("neg"))))
+        ).alias("precision"),
     )
-    tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
-    return counts.select(
-        F.lit(name).alias("model"),
-        round_even(auc(scored, label).scalar(), 4).alias("roc_auc"),
-        round_even(_or_zero(ratio(tp, tp + fn)), 4).alias("recall"),
-        round_even(_or_zero(ratio(tp, tp + fp)), 4).alias("precision"),
+    areas = _ranked(counts, by).groupBy(*by).agg(auc_value().alias("auc"))
+    # One row per model on both sides.
+    return rates.join(F.broadcast(areas), list(by)).select(
+        *by, *(round_even(F.col(c), 4).alias(n) for c, n in (
+            ("auc", "roc_auc"), ("recall", "recall"), ("precision", "precision")
+        ))
     )
 
 
-def model_summary(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 def best_model(summary: DataFrame, *by: str) -> DataFrame:
     """The model with the largest AUC, per task when ``by`` names one."""
     return summary.groupBy(*by).agg(
-        F.max_by("model", "roc_auc").alias("best_model"), F.max("roc_auc").alias("roc_auc")
+        F.min_by("model", F.struct(-F.col("roc_auc"), "model")).alias("best_model"),
+        F.max("roc_auc").alias("roc_auc"),
     )
 
 

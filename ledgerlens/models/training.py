@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.models.features import Task, scaling
 from ledgerlens.operators.sampling import SEED, stratified_sample, stratified_split
+from ledgerlens.sources.scratch import written
 
 # Inverse regularisation strength and iteration limit of the logistic regression.
 INVERSE_REGULARISATION = 1.0
@@ -72,12 +72,11 @@ def scaler(train: DataFrame, columns: list[str]) -> SQLTransformer:
 
 
 def prepare(features: DataFrame, task: Task) -> DataFrame:
-    """Cap (where the task has one) and split; kept, because every fit reads it many times."""
+    """Cap (where the task has one) and split; written, because every fit reads it many times."""
     identity = [task.key, *task.features]
     if task.max_rows:
         features = stratified_sample(features, task.label, identity, task.max_rows)
-    split = stratified_split(features, task.label, identity)
-    return split.persist(StorageLevel.MEMORY_AND_DISK)
+    return written(stratified_split(features, task.label, identity), f"{task.name}-split")
 
 
 def class_counts(train: DataFrame, label: str) -> dict[int, int]:

@@ -71,37 +71,54 @@ def info(frames: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, pieces)
 
 
-def describe(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
-    """Count, mean, sample deviation, extremes and quartiles, one row per numeric column.
+def describe(
+    frames: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]], approx: bool = False
+) -> DataFrame:
+    """Count, mean, sample deviation, extremes and quartiles per numeric column of every table.
 
-    Means are exact for integers and decimals. All quartiles of a table come out of the same
-    three aggregations, and no column is gathered in one task.
+    Means are exact for integers and decimals. The quartiles of all columns come out of the same
+    three aggregations over one long frame, and no column is gathered in one task.
     """
-    moments = df.agg(
-        *(
-            F.struct(
-                F.count(c).alias("n"),
-                mean(c).alias("mean"),
-                F.stddev_samp(F.col(c).cast("double")).alias("std"),
-                F.min(c).cast("double").alias("min"),
-                F.max(c).cast("double").alias("max"),
-            ).alias(c)
-            for c in columns
+    moments, values = [], []
+    for table, names in columns.items():
+        df = frames[table]
+        name = F.lit(table).alias("table_name")
+        moments.append(
+            df.agg(*(_moments(c).alias(c) for c in names))
+            .unpivot([], list(names), "column_name", "s")
+            .select(name, "column_name", "s.*")
+        )
+        values.append(
+            df.select(*(F.col(c).cast("double").alias(c) for c in names))
+            .unpivot([], list(names), "column_name", "value")
+            .select(F.concat_ws(".", name, "column_name").alias("place"), "value")
         )
-    ).unpivot([], list(columns), "column_name", "s")
-    values = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot(
-        [], list(columns), "column_name", "value"
-    )
     find = approx_quantiles if approx else exact_quantiles
-    quartiles = find(values, "value", QUARTILES, by="column_name")
-    return moments.join(F.broadcast(quartiles), "column_name", "left").select(
-        "column_name",
-        F.col("s.n").alias("n"),
-        F.col("s.mean").alias("mean"),
-        F.col("s.std").alias("std"),
-        F.col("s.min").alias("min"),
-        F.col("quantiles")[0].alias("p25"),
-        F.col("quantiles")[1].alias("p50"),
-        F.col("quantiles")[2].alias("p75"),
-        F.col("s.max").alias("max"),
+    quartiles = find(reduce(DataFrame.unionByName, values), "value", QUARTILES, by="place")
+    place = F.concat_ws(".", "table_name", "column_name")
+    # One row per column on both sides.
+    return (
+        reduce(DataFrame.unionByName, moments)
+        .withColumn("place", place)
+        .join(F.broadcast(quartiles), "place", "left")
+        .select(
+            "table_name",
+            "column_name",
+            "n",
+            "mean",
+            "std",
+            "min",
+            *(F.col("quantiles")[i].alias(p) for i, p in enumerate(("p25", "p50", "p75"))),
+            "max",
+        )
+    )
+
+
+def _moments(column: str) -> Column:
+    return F.struct(
+        F.count(column).alias("n"),
+        mean(column).alias("mean"),
+        F.stddev_samp(F.col(column).cast("double")).alias("std"),
+        F.min(column).cast("double").alias("min"),
+        F.max(column).cast("double").alias("max"),
     )

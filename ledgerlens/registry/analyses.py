@@ -413,14 +413,8 @@ MEASURES = {t: measure_columns(t) for t in TABLES if measure_columns(t)}
 )
 def prof_describe(context: Context) -> DataFrame:
     rounded = ("mean", "std", "p25", "p50", "p75")
-    pieces = [
-        profiling.describe(context[t], columns).withColumn("table_name", F.lit(t))
-        for t, columns in MEASURES.items()
-    ]
-    whole = pieces[0]
-    for piece in pieces[1:]:
-        whole = whole.unionByName(piece)
-    return whole.withColumns({c: round_even(F.col(c), 4) for c in rounded})
+    described = profiling.describe(context.bank, MEASURES)
+    return described.withColumns({c: round_even(F.col(c), 4) for c in rounded})
 
 
 # ---- orderings --------------------------------------------------------------------------------

@@ -209,25 +209,18 @@ def ml_confusion(context: Context) -> DataFrame:
     return evaluation.confusion_matrix(scores(context))
 
 
-def _f1(p: str, r: str) -> str:
-    return f"coalesce(2 * {p} * {r} / nullif({p} + {r}, 0), 0)"
-
-
 @query(
     "ml_class_report",
-    f"""with_rates as (
-      select cast(tn as double) as tn, cast(fp as double) as fp, cast(fn as double) as fn,
-        cast(tp as double) as tp from confusion_counts)""".replace("with_rates as (", "select * from (")
-    and """
+    """
     select class, round_even(precision, 4) as precision, round_even(recall, 4) as recall,
       round_even(f1, 4) as f1, support
     from (
-      select '0' as class, p0 as precision, r0 as recall, f0 as f1, s0 as support from rates
-      union all select '1', p1, r1, f1, s1 from rates
-      union all select 'accuracy', acc, acc, acc, s0 + s1 from rates
-      union all select 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, s0 + s1 from rates
+      select '0' as class, p0 as precision, r0 as recall, f0 as f1, s0 as support from class_rates
+      union all select '1', p1, r1, f1, s1 from class_rates
+      union all select 'accuracy', acc, acc, acc, s0 + s1 from class_rates
+      union all select 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, s0 + s1 from class_rates
       union all select 'weighted avg', (p0 * s0 + p1 * s1) / (s0 + s1),
-        (r0 * s0 + r1 * s1) / (s0 + s1), (f0 * s0 + f1 * s1) / (s0 + s1), s0 + s1 from rates) r""",
+        (r0 * s0 + r1 * s1) / (s0 + s1), (f0 * s0 + f1 * s1) / (s0 + s1), s0 + s1 from class_rates) r""",
 )
 def ml_class_report(context: Context) -> DataFrame:
     return evaluation.class_report(scores(context))
@@ -271,14 +264,25 @@ def ml_feature_importance(context: Context) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def all_scores(context: Context) -> DataFrame:
+    """Test scores of all six models as (task, model, label, prediction, score)."""
+    parts = [
+        fit.scored(model).select(
+            F.lit(task.name).alias("task"),
+            F.lit(name).alias("model"),
+            F.col(task.label).alias("label"),
+            "prediction",
+            "score",
+        )
+        for task in TASKS
+        for fit in [fitted(context, task)]
+        for name, model in fit.models().items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _summary(context: Context) -> DataFrame:
-    rows = []
-    for task in TASKS:
-        fit = fitted(context, task)
-        for name, model in fit.models().items():
-            row = evaluation.summary_row(fit.scored(model), name, task.label)
-            rows.append(row.withColumn("task", F.lit(task.name)))
-    return evaluation.model_summary(rows)
+    return evaluation.model_summary(all_scores(context), ["task", "model"])
 
 
 @query("ml_model_summary")

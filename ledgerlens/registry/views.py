@@ -157,6 +157,17 @@ VIEWS["confusion_counts"] = """
     count(*) filter (where label = 1 and prediction = 1) as tp
   from model_scores"""
 
+VIEWS["class_rates"] = """
+  select *, coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0) as f0,
+    coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) as f1
+  from (
+    select coalesce(cast(tn as double) / nullif(tn + fn, 0), 0) as p0,
+      coalesce(cast(tn as double) / nullif(tn + fp, 0), 0) as r0, tn + fp as s0,
+      coalesce(cast(tp as double) / nullif(tp + fp, 0), 0) as p1,
+      coalesce(cast(tp as double) / nullif(tp + fn, 0), 0) as r1, tp + fn as s1,
+      cast(tn + tp as double) / (tn + fp + fn + tp) as acc
+    from confusion_counts) c"""
+
 VIEWS["score_points"] = """
   select score, pos, neg, sum(pos) over (order by score desc) as cum_pos,
     sum(neg) over (order by score desc) as cum_neg,
