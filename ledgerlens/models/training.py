@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.models.features import Task, scaling
 from ledgerlens.operators.sampling import SEED, stratified_sample, stratified_split
-from ledgerlens.sources.scratch import written
+from ledgerlens.sources.scratch import new_folder, written
 
 # Inverse regularisation strength and iteration limit of the logistic regression.
 INVERSE_REGULARISATION = 1.0
@@ -100,7 +100,7 @@ def fit_logistic(train: DataFrame, task: Task, stages: list[Transformer]) -> Pip
         standardization=False,
         maxIter=MAX_ITERATIONS,
     )
-    return PipelineModel([*stages, estimator.fit(_apply(stages, train))])
+    return PipelineModel([*stages, _bare(estimator.fit(_apply(stages, train)))])
 
 
 def fit_forest(train: DataFrame, task: Task, stages: list[Transformer]) -> PipelineModel:
@@ -120,7 +120,7 @@ def fit_forest(train: DataFrame, task: Task, stages: list[Transformer]) -> Pipel
         seed=SEED,
     )
     weighted = _apply(stages, train).withColumn("class_weight", weight)
-    return PipelineModel([*stages, estimator.fit(weighted)])
+    return PipelineModel([*stages, _bare(estimator.fit(weighted))])
 
 
 def fit(features: DataFrame, task: Task) -> Fitted:
@@ -150,6 +150,17 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def _bare(model: Model) -> Model:
+    """The model without its training summary.
+
+    The summary holds the session and the training frame, and both would travel with every
+    scoring task. A saved model has neither.
+    """
+    path = new_folder(SparkSession.active(), "fitted")
+    model.write().save(path)
+    return type(model).load(path)
+
+
 def _apply(stages: list[Transformer], df: DataFrame) -> DataFrame:
     for stage in stages:
         df = stage.transform(df)
