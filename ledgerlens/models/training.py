@@ -8,11 +8,18 @@ from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.models.features import Task, scaling
-from ledgerlens.operators.sampling import SEED, stratified_sample, stratified_split
+from ledgerlens.operators.sampling import (
+    SEED,
+    draw_key,
+    pick_thresholds,
+    picked_by,
+    sample_quota,
+    train_quota,
+)
 from ledgerlens.sources.scratch import new_folder, written
 
 # Inverse regularisation strength and iteration limit of the logistic regression.
@@ -72,11 +79,34 @@ def scaler(train: DataFrame, columns: list[str]) -> SQLTransformer:
 
 
 def prepare(features: DataFrame, task: Task) -> DataFrame:
-    """Cap (where the task has one) and split; written, because every fit reads it many times."""
-    identity = [task.key, *task.features]
-    if task.max_rows:
-        features = stratified_sample(features, task.label, identity, task.max_rows)
-    return written(stratified_split(features, task.label, identity), f"{task.name}-split")
+    """Cap (where the task has one) and split.
+
+    The features are written once with their draw key, since sampling, splitting and every fit
+    read them again. Thresholds are one short text per class, so the split itself is an expression
+    on that table.
+    """
+    draw = F.col("draw_key")
+    label = task.label
+    data = written(
+        features.withColumn("draw_key", draw_key([task.key, *task.features])),
+        f"{task.name}-features",
+    )
+
+    def thresholds(rows: DataFrame, quota: Column) -> dict[int, str]:
+        return {r[label]: r["last"] for r in pick_thresholds(rows, label, draw, quota).collect()}
+
+    if task.max_rows and data.count() > task.max_rows:
+        data = data.filter(picked_by(thresholds(data, sample_quota(task.max_rows)), label, draw))
+    return data.withColumn("is_train", picked_by(thresholds(data, train_quota()), label, draw))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """At least one partition per core: trees cost far more per byte than the scan assumes.
+
+    Rows go by the hash of their unique key, so every run trains on the same partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def class_counts(train: DataFrame, label: str) -> dict[int, int]:
@@ -125,7 +155,7 @@ def fit_forest(train: DataFrame, task: Task, stages: list[Transformer]) -> Pipel
 
 def fit(features: DataFrame, task: Task) -> Fitted:
     data = prepare(features, task)
-    train = data.filter("is_train")
+    train = spread(data.filter("is_train"), task.key)
     class_counts(train, task.label)
     stages = encoders(data, task)
     return Fitted(

@@ -9,7 +9,7 @@ is the same however the data is partitioned and survives a lost executor.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -33,25 +33,21 @@ def class_sizes(df: DataFrame, label: str) -> DataFrame:
     return sizes.withColumn("all_rows", F.sum("class_rows").over(W.partitionBy()))
 
 
-def with_pick(
-    df: DataFrame, label: str, identity: Sequence[str], quota: Column, name: str,
-    seed: int = SEED,
-) -> DataFrame:
-    """Boolean ``name``: is the row among the first *quota* rows of its class?
+def pick_thresholds(df: DataFrame, label: str, draw: Column, quota: Column) -> DataFrame:
+    """One row (label, ``last``) per class: the draw key of the last of its first *quota* rows.
 
-    ``quota`` is an expression over ``class_rows`` and ``all_rows`` (and ``class_rank``, the place
-    of the class by size of its remainder, for quotas that hand out a remainder).
+    ``quota`` is an expression over ``class_rows`` and ``all_rows`` (and ``class_rank`` and
+    ``left_over``, for quotas that hand out a remainder). A class with quota 0 has no row.
     """
-    key = draw_key(identity, seed)
-    cell = F.substring(key, 1, CELL_DIGITS)
+    cell = F.substring(draw, 1, CELL_DIGITS)
     cells = df.groupBy(label, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
     running = W.partitionBy(label).orderBy("_cell")
-    classes = class_sizes_from(cells, label)
-    quotas = classes.select(label, quota.cast("bigint").alias("_quota"))
-    # One row per class (two classes in every model here): the cell that holds the last picked row, and how many to take from it.
+    quotas = class_sizes_from(cells, label).select(label, quota.cast("bigint").alias("_quota"))
+    # One row per class (two classes in every model here): the cell that holds the last picked
+    # row, and how many to take from it.
     edge = (
         cells.withColumn("_end", F.sum("_n").over(running))
-        .join(quotas, label)
+        .join(F.broadcast(quotas), label)
         .filter((F.col("_end") >= F.col("_quota")) & (F.col("_end") - F.col("_n") < F.col("_quota")))
         .select(
             F.col(label).alias("_label"),
@@ -60,23 +56,35 @@ def with_pick(
         )
     )
     order = W.partitionBy(label).orderBy("_key")
-    thresholds = (
-        df.select(label, key.alias("_key"), cell.alias("_cell"))
+    return (
+        df.select(label, draw.alias("_key"), cell.alias("_cell"))
         .join(F.broadcast(edge), (F.col(label) == F.col("_label")) & (F.col("_cell") == F.col("_edge")))
         .withColumn("_rn", F.row_number().over(order))
         .filter(F.col("_rn") == F.col("_take"))
-        .select(F.col(label).alias("_label"), F.col("_key").alias("_last"))
+        .select(label, F.col("_key").alias("last"))
     )
-    picked = F.coalesce(F.col("_key") <= F.col("_last"), F.lit(False))
+
+
+def with_pick(df: DataFrame, label: str, draw: Column, quota: Column, name: str) -> DataFrame:
+    """Boolean ``name``: is the row among the first *quota* rows of its class?"""
+    last = pick_thresholds(df, label, draw, quota).withColumnRenamed("last", "_last")
     # Again one row per class.
     return (
-        df.withColumn("_key", key)
-        .join(F.broadcast(thresholds), F.col(label) == F.col("_label"), "left")
-        .withColumn(name, picked)
-        .drop("_key", "_label", "_last")
+        df.withColumn("_draw_key", draw)
+        .join(F.broadcast(last), label, "left")
+        .withColumn(name, F.coalesce(F.col("_draw_key") <= F.col("_last"), F.lit(False)))
+        .drop("_draw_key", "_last")
     )
 
 
+def picked_by(thresholds: Mapping[int, str], label: str, draw: Column) -> Column:
+    """The same test with thresholds that are already known, as a plain expression."""
+    test = F.lit(False)
+    for value, last in thresholds.items():
+        test = test | ((F.col(label) == value) & (draw <= last))
+    return test
+
+
 def class_sizes_from(cells: DataFrame, label: str) -> DataFrame:
     """Class totals from the histogram, with the rank of each class for handing out remainders."""
     sizes = cells.groupBy(label).agg(F.sum("_n").alias("class_rows"))
@@ -95,29 +103,34 @@ def train_rows(all_rows: Column, test_share: float = TEST_SHARE) -> Column:
     return all_rows - F.ceil(all_rows * test_share)
 
 
-def stratified_sample(
-    df: DataFrame, label: str, identity: Sequence[str], cap: int = MAX_TRAIN_ROWS,
-    seed: int = SEED,
-) -> DataFrame:
-    """At most ``cap`` rows with the class ratio kept; everything when there are no more."""
+def sample_quota(cap: int) -> Column:
+    """Rows to take from a class so that at most ``cap`` are left and the ratio is kept."""
     share = F.floor(F.lit(float(cap)) * F.col("class_rows") / F.col("all_rows"))
-    quota = F.when(F.col("all_rows") <= cap, F.col("class_rows")).otherwise(
+    return F.when(F.col("all_rows") <= cap, F.col("class_rows")).otherwise(
         F.least(F.col("class_rows"), share)
     )
-    return with_pick(df, label, identity, quota, "_picked", seed).filter("_picked").drop("_picked")
 
 
-def stratified_split(
-    df: DataFrame, label: str, identity: Sequence[str], seed: int = SEED, name: str = "is_train"
+def train_quota() -> Column:
+    """Training rows of a class: the floor of its share, and one of the rows left over for the
+    classes with the largest remainders."""
+    exact = train_rows(F.col("all_rows")) * F.col("class_rows") / F.col("all_rows")
+    return F.floor(exact) + (F.col("class_rank") <= F.col("left_over")).cast("int")
+
+
+def stratified_sample(
+    df: DataFrame, label: str, draw: Column, cap: int = MAX_TRAIN_ROWS
 ) -> DataFrame:
-    """Mark 80 % of every class as training rows.
+    """At most ``cap`` rows with the class ratio kept; everything when there are no more."""
+    picked = with_pick(df, label, draw, sample_quota(cap), "_picked")
+    return picked.filter("_picked").drop("_picked")
 
-    Class quotas are the floors of the exact shares; rows left over go to the classes with the
-    largest remainders.
-    """
-    exact = train_rows(F.col("all_rows")) * F.col("class_rows") / F.col("all_rows")
-    quota = F.floor(exact) + (F.col("class_rank") <= F.col("left_over")).cast("int")
-    return with_pick(df, label, identity, quota, name, seed)
+
+def stratified_split(
+    df: DataFrame, label: str, draw: Column, name: str = "is_train"
+) -> DataFrame:
+    """Mark 80 % of every class as training rows."""
+    return with_pick(df, label, draw, train_quota(), name)
 
 
 def union_strata(parts: Sequence[DataFrame]) -> DataFrame:

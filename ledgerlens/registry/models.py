@@ -103,21 +103,21 @@ SAMPLE_SQL = f"""
 @query("ml_stratified_sample", SAMPLE_SQL)
 def ml_stratified_sample(context: Context) -> DataFrame:
     frame = features.fraud_features(context.bank, AS_OF).select("CARD_TXN_ID", "IS_FRAUD")
-    return sampling.stratified_sample(frame, "IS_FRAUD", ["CARD_TXN_ID"], SAMPLE_CAP)
+    return sampling.stratified_sample(frame, "IS_FRAUD", sampling.draw_key(["CARD_TXN_ID"]), SAMPLE_CAP)
 
 
 @query("union_strata", SAMPLE_SQL)
 def union_strata(context: Context) -> DataFrame:
     """The same sample, drawn class by class and put together."""
     frame = features.fraud_features(context.bank, AS_OF).select("CARD_TXN_ID", "IS_FRAUD")
-    drawn = sampling.stratified_sample(frame, "IS_FRAUD", ["CARD_TXN_ID"], SAMPLE_CAP)
+    drawn = sampling.stratified_sample(frame, "IS_FRAUD", sampling.draw_key(["CARD_TXN_ID"]), SAMPLE_CAP)
     return sampling.union_strata([drawn.filter(f"IS_FRAUD = {c}") for c in (0, 1)])
 
 
 @query("ml_stratified_split", "select LOAN_ID, is_default, is_train from split_loans")
 def ml_stratified_split(context: Context) -> DataFrame:
     frame = features.default_features(context.bank, AS_OF).select("LOAN_ID", "is_default")
-    return sampling.stratified_split(frame, "is_default", ["LOAN_ID"])
+    return sampling.stratified_split(frame, "is_default", sampling.draw_key(["LOAN_ID"]))
 
 
 SCALED = ("CREDIT_SCORE", "LOAN_AMOUNT")
@@ -137,7 +137,7 @@ SCALED = ("CREDIT_SCORE", "LOAN_AMOUNT")
 def ml_standard_scale(context: Context) -> DataFrame:
     frame = features.default_features(context.bank, AS_OF)
     frame = frame.select("LOAN_ID", "is_default", *SCALED)
-    split = sampling.stratified_split(frame, "is_default", ["LOAN_ID"])
+    split = sampling.stratified_split(frame, "is_default", sampling.draw_key(["LOAN_ID"]))
     scale = training.scaler(split.filter("is_train"), list(SCALED))
     return scale.transform(split).select(
         "LOAN_ID",

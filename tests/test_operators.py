@@ -111,7 +111,7 @@ def sampled_by_hand(data, quota):
 def test_split_is_exact(spark, zeros, ones):
     data = [(i, int(i < ones)) for i in range(zeros + ones)]
     df = spark.createDataFrame(data, "id int, y int")
-    got = {r.id for r in sampling.stratified_split(df, "y", ["id"]).collect() if r.is_train}
+    got = {r.id for r in sampling.stratified_split(df, "y", sampling.draw_key(["id"])).collect() if r.is_train}
     n = len(data)
     train = n - int(np.ceil(n * 0.2))
     share = {0: train * zeros / n, 1: train * ones / n}
@@ -125,12 +125,12 @@ def test_split_is_exact(spark, zeros, ones):
 def test_sample_keeps_the_ratio_and_needs_no_order(spark):
     data = [(i, int(i % 10 == 0)) for i in range(3000)]
     df = spark.createDataFrame(data, "id int, y int")
-    once = sampling.stratified_sample(df, "y", ["id"], cap=500)
-    again = sampling.stratified_sample(df.repartition(7), "y", ["id"], cap=500)
+    once = sampling.stratified_sample(df, "y", sampling.draw_key(["id"]), cap=500)
+    again = sampling.stratified_sample(df.repartition(7), "y", sampling.draw_key(["id"]), cap=500)
     assert rows(once) == rows(again)
     assert Counter(r.y for r in once.collect()) == {0: 450, 1: 50}
     assert {r.id for r in once.collect()} == sampled_by_hand(data, {0: 450, 1: 50})
-    assert sampling.stratified_sample(df, "y", ["id"], cap=3000).count() == 3000
+    assert sampling.stratified_sample(df, "y", sampling.draw_key(["id"]), cap=3000).count() == 3000
 
 
 def test_union_of_strata_keeps_everything(spark):
