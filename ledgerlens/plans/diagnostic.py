@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlens.bank import Bank
 from ledgerlens.functions.bands import ACCOUNT_AGE, CREDIT, UTILIZATION
 from ledgerlens.functions.scalars import (
+    at_or_after,
     mean,
     mean_pct,
     normalized,
@@ -30,6 +31,7 @@ from ledgerlens.operators.joins import (
     report_history,
 )
 from ledgerlens.operators.ranking import leading_key, leading_per_group, order_desc, top_by_size
+from ledgerlens.operators.skew import lookup_small, salted_lookup
 from ledgerlens.plans import derived, descriptive
 from ledgerlens.plans.derived import Day, present
 from ledgerlens.schema import (
@@ -112,6 +114,26 @@ def fraud_reports(bank: Bank) -> DataFrame:
     )
 
 
+def first_reports(bank: Bank) -> DataFrame:
+    """The first fraud report of every customer that made one."""
+    return present(fraud_reports(bank), "CUSTOMER_ID").groupBy("CUSTOMER_ID").agg(
+        F.min("fraud_report_date").alias("first_report")
+    )
+
+
+def txn_after_report(bank: Bank) -> DataFrame:
+    """Card transactions marked by whether any report of the customer came first.
+
+    Only the first report decides, so the pairs of transactions and reports are not needed.
+    """
+    owners = salted_lookup(
+        bank["cards"].select("CARD_ID", "CUSTOMER_ID"), first_reports(bank), "CUSTOMER_ID",
+        ["first_report"],
+    )
+    owned = lookup(bank["card_transaction"], owners, "CARD_ID", ["first_report"])
+    return owned.withColumn("had_prior_fraud_report", at_or_after("TXN_DATE", "first_report"))
+
+
 def customer_days(bank: Bank) -> DataFrame:
     """Card transactions added up per customer and day."""
     per_card = (
@@ -136,7 +158,12 @@ def txn_reports(bank: Bank) -> DataFrame:
     ``max(n_reports, 1)`` rows of that join, ``n_prior_reports`` of which have the mark.
     """
     owned = lookup(bank["card_transaction"], bank["cards"], "CARD_ID", ["CUSTOMER_ID"])
-    days = owned.select("CUSTOMER_ID", "TXN_DATE").distinct()
+    card_days = bank["card_transaction"].select("CARD_ID", "TXN_DATE").distinct()
+    days = (
+        lookup(card_days, bank["cards"], "CARD_ID", ["CUSTOMER_ID"])
+        .select("CUSTOMER_ID", "TXN_DATE")
+        .distinct()
+    )
     history = report_history(
         days, fraud_reports(bank), "CUSTOMER_ID", "TXN_DATE", "fraud_report_date"
     )
@@ -224,8 +251,10 @@ def network_rate(bank: Bank) -> DataFrame:
 
 
 def loans_with_network_rate(bank: Bank, as_of: Day = None) -> DataFrame:
-    """Every loan with the default rate of its type."""
-    return derived.loan_full(bank, as_of).join(network_rate(bank), "LOAN_TYPE", "left")
+    """Every loan with the default rate of its type: one of a few types, each of them hot."""
+    return lookup_small(
+        derived.loan_full(bank, as_of), network_rate(bank), "LOAN_TYPE", ["network_default_rate"]
+    )
 
 
 def branch_excess_raw(bank: Bank) -> DataFrame:
@@ -299,10 +328,19 @@ def escalated_tickets(bank: Bank, settled: Sequence[str] = SETTLED_TICKET_STATUS
 
 
 def accounts_marked(bank: Bank, settled: Sequence[str] = SETTLED_TICKET_STATUSES) -> DataFrame:
-    """Accounts of known customers with the mark ``had_escalated_ticket``."""
-    known = bank["accounts"].join(bank["customers"].select("CUSTOMER_ID"), "CUSTOMER_ID")
-    return mark_exists(
-        known, "CUSTOMER_ID", escalated_tickets(bank, settled), "had_escalated_ticket"
+    """Accounts of known customers with the mark ``had_escalated_ticket``.
+
+    The mark is found per customer, one row each, and then given to the accounts, of which one
+    customer may have very many.
+    """
+    marked = mark_exists(
+        bank["customers"].select("CUSTOMER_ID"),
+        "CUSTOMER_ID",
+        escalated_tickets(bank, settled),
+        "had_escalated_ticket",
+    )
+    return salted_lookup(
+        bank["accounts"], marked, "CUSTOMER_ID", ["had_escalated_ticket"], "inner"
     )
 
 

@@ -174,15 +174,8 @@ def pred_not_in_list(context: Context) -> DataFrame:
 )
 def pred_prior_event(context: Context) -> DataFrame:
     """Was there a report at or before the transaction? The first one decides, one per customer."""
-    first = (
-        diagnostic.fraud_reports(context.bank)
-        .groupBy("CUSTOMER_ID")
-        .agg(F.min("fraud_report_date").alias("first_report"))
-    )
-    owners = context["cards"].select("CARD_ID", "CUSTOMER_ID").join(first, "CUSTOMER_ID", "left")
-    owned = context["card_transaction"].join(owners, "CARD_ID", "left")
-    mark = scalars.at_or_after("TXN_DATE", "first_report")
-    return owned.select("CARD_TXN_ID", mark.alias("had_prior_fraud_report"))
+    marked = diagnostic.txn_after_report(context.bank)
+    return marked.select("CARD_TXN_ID", "had_prior_fraud_report")
 
 
 @query("fill_zero", "select CARD_ID, cast(total_spend as double) as total_spend from card_util")

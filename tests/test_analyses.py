@@ -103,6 +103,8 @@ def test_reports_are_not_deduplicated_unless_asked(make_bank):
         (False, 3, 1, 33.33),
         (True, 1, 1, 100.0),
     ]
+    marked = rows(diagnostic.txn_after_report(bank), "CARD_TXN_ID", "had_prior_fraud_report")
+    assert marked == [(1, True), (2, False), (3, False), (4, False)]
     lift = diagnostic.report_lift(bank).first()
     assert (lift.rate_with, lift.rate_without, lift.verdict) == (100.0, 54.55, "strong predictor")
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.quantiles import approx_quantiles, exact_quantiles
-from ledgerlens.operators import crosstab, joins, profiling, ranking, sampling
+from ledgerlens.operators import crosstab, joins, profiling, ranking, sampling, skew
 from tests.conftest import day, rows
 
 
@@ -28,6 +28,47 @@ def test_mark_adds_no_rows(spark):
     ]
 
 
+def third_on_one_key(spark, n=9000):
+    """Rows of which a third have key 7; some keys are null or unknown to the table."""
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 100 == 1, None).otherwise(F.col("id"))
+    return spark.range(n).select("id", key.cast("bigint").alias("k"))
+
+
+def test_hot_keys_are_found_and_few(spark):
+    assert skew.hot_keys(third_on_one_key(spark), "k").first().hot[0] == 7
+    assert skew.hot_keys(spark.range(9000), "id").first().hot == []
+    assert skew.hot_keys(spark.range(0), "id").first().hot == []
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_salted_lookup_equals_the_plain_join(spark, how):
+    facts = third_on_one_key(spark)
+    table = spark.range(0, 8000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    expected = rows(facts.join(table, "k", how), "id", "k", "v")
+    assert rows(skew.salted_lookup(facts, table, "k", ["v"], how), "id", "k", "v") == expected
+    assert rows(skew.lookup_small(facts, table, "k", ["v"], how), "id", "k", "v") == expected
+    big = skew.lookup_small(facts, table, "k", ["v"], how, small_rows=100)
+    assert rows(big, "id", "k", "v") == expected
+
+
+def test_salt_spreads_the_hot_key(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = spark.range(0, 9000).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+        per_task = {}
+        for name, df in (
+            ("plain", joins.lookup(third_on_one_key(spark), table, "k", ["v"])),
+            ("salted", skew.salted_lookup(third_on_one_key(spark), table, "k", ["v"])),
+        ):
+            sizes = df.groupBy(F.spark_partition_id()).count().collect()
+            per_task[name] = max(r["count"] for r in sizes)
+        assert per_task["plain"] > 3000 and per_task["salted"] < 2000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def pairs_by_hand(events, reports):
     """(event, prior reports, reports) by comparing every event with every report."""
     out = []

@@ -11,7 +11,7 @@ from ledgerlens.plans import derived, descriptive, diagnostic
 
 # Queries that run jobs while they are built (they train models or write files).
 EAGER = re.compile(r"^(ml_(lr|rf|predict|feature|model|best|score|high|save)|topk_risk|src_|sink_"
-                   r"|cat_create|ingest|convert)")
+                   r"|cat_create|ingest|convert|join_loan_network)")
 LAZY = sorted(n for n in contract.queries() if not EAGER.match(n))
 
 
