@@ -64,7 +64,7 @@ def fit_seconds(spark: SparkSession, sf_dir: str, task: features.Task) -> float:
     """Features, split and both models of one task."""
     bank = testbed.bank_on(spark, sf_dir)
     return timed(
-        lambda: training.fit(features.FEATURES[task.name](bank, testbed.AS_OF), task)
+        lambda: training.fit(features.FEATURES[task.name](bank, testbed.AS_OF), task).models()
     )
 
 

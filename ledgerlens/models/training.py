@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -27,14 +27,26 @@ INVERSE_REGULARISATION = 1.0
 MAX_ITERATIONS = 100
 
 
-@dataclass
 class Fitted:
-    """Both models of one task with the split frame they were made from."""
+    """Both models of one task on one split frame; each is trained when it is first used."""
 
-    task: Task
-    data: DataFrame
-    logistic: PipelineModel
-    forest: PipelineModel
+    def __init__(self, task: Task, data: DataFrame):
+        self.task = task
+        self.data = data
+        self.train = spread(data.filter("is_train"), task.key)
+        self.counts = class_counts(self.train, task.label)
+
+    @cached_property
+    def stages(self) -> list[Transformer]:
+        return encoders(self.data, self.task)
+
+    @cached_property
+    def logistic(self) -> PipelineModel:
+        return fit_logistic(self.train, self.task, self.stages, self.counts)
+
+    @cached_property
+    def forest(self) -> PipelineModel:
+        return fit_forest(self.train, self.task, self.stages, self.counts)
 
     def models(self) -> dict[str, PipelineModel]:
         return {"Logistic Regression": self.logistic, "Random Forest": self.forest}
@@ -117,12 +129,14 @@ def class_counts(train: DataFrame, label: str) -> dict[int, int]:
     return found
 
 
-def fit_logistic(train: DataFrame, task: Task, stages: list[Transformer]) -> PipelineModel:
+def fit_logistic(
+    train: DataFrame, task: Task, stages: list[Transformer], counts: dict[int, int]
+) -> PipelineModel:
     """L2 logistic regression on z-scores; the penalty is given per row of training data."""
     columns = task.encoded()
     stages = [*stages, scaler(_apply(stages, train), columns)]
     stages.append(VectorAssembler(inputCols=[c + "_z" for c in columns], outputCol="features"))
-    rows = sum(class_counts(train, task.label).values())
+    rows = sum(counts.values())
     estimator = LogisticRegression(
         labelCol=task.label,
         regParam=1.0 / (INVERSE_REGULARISATION * rows),
@@ -133,9 +147,10 @@ def fit_logistic(train: DataFrame, task: Task, stages: list[Transformer]) -> Pip
     return PipelineModel([*stages, _bare(estimator.fit(_apply(stages, train)))])
 
 
-def fit_forest(train: DataFrame, task: Task, stages: list[Transformer]) -> PipelineModel:
+def fit_forest(
+    train: DataFrame, task: Task, stages: list[Transformer], counts: dict[int, int]
+) -> PipelineModel:
     """Random forest on unscaled features with balanced class weights."""
-    counts = class_counts(train, task.label)
     rows = sum(counts.values())
     weight = F.create_map(
         *(F.lit(x) for c, n in counts.items() for x in (c, rows / (len(counts) * n)))
@@ -154,13 +169,8 @@ def fit_forest(train: DataFrame, task: Task, stages: list[Transformer]) -> Pipel
 
 
 def fit(features: DataFrame, task: Task) -> Fitted:
-    data = prepare(features, task)
-    train = spread(data.filter("is_train"), task.key)
-    class_counts(train, task.label)
-    stages = encoders(data, task)
-    return Fitted(
-        task, data, fit_logistic(train, task, stages), fit_forest(train, task, stages)
-    )
+    """Prepare the features for both models of the task; a label of one class raises."""
+    return Fitted(task, prepare(features, task))
 
 
 def predict(model: PipelineModel, df: DataFrame, *keep: str) -> DataFrame:

@@ -17,7 +17,7 @@ from ledgerlens.sources.scratch import written
 # A key is hot from this share of the rows on, so there can be at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 200
 # Counters of the frequency sketch; far more than 1 / HOT_SHARE, so no hot key is missed.
-TRACKED = 10_000
+TRACKED = 4096
 SALTS = 32
 # Rows up to which a lookup table is broadcast.
 SMALL_ROWS = 10_000

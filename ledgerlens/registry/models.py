@@ -23,7 +23,7 @@ _fitted: dict[tuple[str, str, str], training.Fitted] = {}
 
 
 def fitted(context: Context, task: features.Task) -> training.Fitted:
-    """Both models of a task, trained once per application and data folder."""
+    """Both models of a task, each trained at most once per application and data folder."""
     key = (context.spark.sparkContext.applicationId, context.sf_dir, task.name)
     if key not in _fitted:
         frame = features.FEATURES[task.name](context.bank, AS_OF)
