@@ -97,7 +97,8 @@ def test_report_history_equals_the_pairwise_join(spark):
 def test_report_history_group_is_bounded_by_days(spark):
     """A hot key with very many events reaches the window as one row per day."""
     hot = spark.range(20_000).select(
-        F.lit(1).alias("c"), F.date_add(F.lit(day("2001-01-01")), (F.col("id") % 10).cast("int")).alias("d")
+        F.lit(1).alias("c"),
+        F.date_add(F.lit(day("2001-01-01")), (F.col("id") % 10).cast("int")).alias("d"),
     )
     days = hot.groupBy("c", "d").agg(F.count(F.lit(1)).alias("n"))
     got = joins.report_history(
@@ -126,7 +127,8 @@ def test_crosstab_drops_missing_keys_and_keeps_unlisted_values(spark):
 
 
 def test_rankings_break_ties_and_put_nulls_last(spark):
-    df = spark.createDataFrame([("b", 2.0), ("a", 2.0), ("c", None), ("d", -9.0)], "k string, m double")
+    data = [("b", 2.0), ("a", 2.0), ("c", None), ("d", -9.0)]
+    df = spark.createDataFrame(data, "k string, m double")
     assert [r.k for r in ranking.order_desc(df, "m", "k").collect()] == ["a", "b", "d", "c"]
     assert [r.k for r in ranking.top(df, "m", 2, "k").collect()] == ["a", "b"]
     by_size = ranking.top_by_size(df, "m", 2, F.col("m"), "k")
@@ -152,12 +154,14 @@ def sampled_by_hand(data, quota):
 def test_split_is_exact(spark, zeros, ones):
     data = [(i, int(i < ones)) for i in range(zeros + ones)]
     df = spark.createDataFrame(data, "id int, y int")
-    got = {r.id for r in sampling.stratified_split(df, "y", sampling.draw_key(["id"])).collect() if r.is_train}
+    split = sampling.stratified_split(df, "y", sampling.draw_key(["id"]))
+    got = {r.id for r in split.collect() if r.is_train}
     n = len(data)
     train = n - int(np.ceil(n * 0.2))
     share = {0: train * zeros / n, 1: train * ones / n}
     quota = {c: int(share[c]) for c in share}
-    for c in sorted(share, key=lambda c: (-(share[c] - quota[c]), c))[: train - sum(quota.values())]:
+    by_remainder = sorted(share, key=lambda c: (-(share[c] - quota[c]), c))
+    for c in by_remainder[: train - sum(quota.values())]:
         quota[c] += 1
     assert got == sampled_by_hand(data, quota)
     assert len(got) == train
