@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.sources.scratch import written
 
-__all__ = ["batch_bytes", "read_table", "slices", "text_words", "written"]
+__all__ = ["batch_bytes", "importable", "read_table", "slices", "text_words", "written"]
+
+
+def importable(query: Callable) -> Callable:
+    """Let Python workers of a session that was started elsewhere import this package."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        home = str(Path(__file__).resolve().parents[2])
+        spark.sparkContext.environment.setdefault("PYTHONPATH", home)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

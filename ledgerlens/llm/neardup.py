@@ -12,7 +12,8 @@ is already connected cannot change the result and are not looked for.
 
 Chance of losing a link at the threshold: 32 bands of 3 registers miss a pair of similarity 0.75
 with probability (1 - 0.75^3)^32 = 2e-8; the estimate of 192 registers has a deviation of 0.031
-there, and its cut of 0.59 is five deviations below.
+there, and its cut of 0.59 is five deviations below. Members of buckets that stay open are
+compared by 1024 further minima of one byte each, with a cut five deviations below as well.
 """
 
 from __future__ import annotations
@@ -29,7 +30,10 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import read_table, written
 from ledgerlens.llm.components import components
 from ledgerlens.llm.shingles import (
+    FINE,
     REGISTERS,
+    fine_estimate,
+    fine_sketch,
     jaccard_estimate,
     linked,
     shingle_set,
@@ -40,8 +44,12 @@ PERCENT = 75
 BANDS, ROWS = 32, 3
 SLACK = 0.16
 """How far below the threshold an estimate may be before a pair is dropped unconfirmed."""
+FINE_SLACK = 0.07
+"""The same for the estimate of 1024 bytes, whose deviation at the threshold is 0.0135."""
 BLOCK = 512
 """Members of a bucket that are compared with another such block in one task."""
+CELL_ROWS = 4096
+"""Rows of small buckets that one call compares; each bucket by itself."""
 BEST = 4
 """Partners of a member that are confirmed before all others of its bucket."""
 
@@ -83,6 +91,14 @@ def classes_of(docs: DataFrame) -> DataFrame:
     return written(found.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
+def _fine_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [fine_sketch(shingle_set(t)).tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("node"), pa.array(found, pa.binary())], names=["node", "fine"]
+        )
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes = np.asarray(batch.column("node"))
@@ -162,6 +178,10 @@ class _Search:
         self.texts = written(
             texts.join(keys, "key").groupBy("node").agg(F.first("text").alias("text")), "texts"
         )
+        fine = self.texts.mapInArrow(_fine_sketches, "node long, fine binary")
+        self.fine = written(
+            fine.join(self.classes.select("node", "n", "sketch"), "node"), "fine-sketches"
+        )
         self.roots: DataFrame | None = None
         self.tried: DataFrame | None = None
 
@@ -210,7 +230,7 @@ class _Search:
         mixed = written(mixed.filter("lo <> hi").select("bucket"), "mixed")
         # A bucket of two was settled by its leader.
         rooted = rooted.filter("size > 2").join(mixed, "bucket")
-        return rooted.join(self.classes.select("node", "n", "sketch"), "node")
+        return rooted.join(self.fine, "node")
 
     def across(self, best: int | None) -> None:
         """Members of different components in one bucket, block by block."""
@@ -219,42 +239,60 @@ class _Search:
         rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         # Each block meets itself and every other: a member goes to one cell per block.
         cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = cells.select(
-            "bucket",
-            F.least("block", "other").alias("low"),
-            F.greatest("block", "other").alias("high"),
-            "block", "node", "root", "n", "sketch",
+        cells = written(
+            cells.select(
+                "bucket",
+                F.least("block", "other").alias("low"),
+                F.greatest("block", "other").alias("high"),
+                "block", "node", "root", "n", "sketch", "fine",
+            ),
+            "cells",
         )
-        pairs = cells.groupBy("bucket", "low", "high").applyInPandas(
-            _cross_pairs(self.least, best), "a long, b long"
+        groups = max(1, -(-cells.count() // CELL_ROWS))
+        dealt = F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(groups))
+        pairs = cells.withColumn("group", dealt).groupBy("group").applyInPandas(
+            _cross_pairs(self.least, self.percent / 100 - FINE_SLACK, best), "a long, b long"
         )
         self.merge(self.confirm(pairs.distinct()))
 
 
-def _cross_pairs(least: float, best: int | None):
-    def run(key, cell: pd.DataFrame) -> pd.DataFrame:
-        _, low, high = key
-        left = cell[cell["block"] == low].sort_values("node")
-        right = cell[cell["block"] == high].sort_values("node")
+def _cell_pairs(cell: dict[str, np.ndarray], least: float, fine_least: float, best: int | None):
+    """Likely pairs across components between the two blocks of one cell."""
+    left = np.flatnonzero(cell["block"] == cell["low"][0])
+    right = np.flatnonzero(cell["block"] == cell["high"][0])
+    same_block = cell["low"][0] == cell["high"][0]
+    nodes, roots, sizes = cell["node"][right], cell["root"][right], cell["n"][right]
+    regs, fine = cell["sketch"][right], cell["fine"][right]
+    for i in left:
+        other = roots != cell["root"][i]
+        if same_block:
+            other &= nodes > cell["node"][i]
+        at = np.flatnonzero(other)
+        guess = jaccard_estimate((regs[at] == cell["sketch"][i]).sum(axis=1), cell["n"][i], sizes[at])
+        at = at[guess >= least]
+        guess = fine_estimate((fine[at] == cell["fine"][i]).sum(axis=1))
+        at, guess = at[guess >= fine_least], guess[guess >= fine_least]
+        if best is not None:
+            at = at[np.lexsort((nodes[at], -guess))[:best]]
+        yield np.minimum(nodes[at], cell["node"][i]), np.maximum(nodes[at], cell["node"][i])
+
+
+def _cross_pairs(least: float, fine_least: float, best: int | None):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["bucket", "low", "high", "node"])
+        columns = {c: group[c].to_numpy() for c in ("low", "high", "block", "node", "root", "n")}
+        columns["sketch"] = _matrix(group["sketch"])
+        columns["fine"] = np.frombuffer(b"".join(group["fine"]), np.uint8).reshape(-1, FINE)
+        key = group[["bucket", "low", "high"]].to_numpy()
+        starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
         found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if len(left) and len(right):
-            regs, sizes = _matrix(right["sketch"]), right["n"].to_numpy()
-            nodes, roots = right["node"].to_numpy(), right["root"].to_numpy()
-            for node, root, n, own in zip(
-                left["node"], left["root"], left["n"], _matrix(left["sketch"]), strict=True
-            ):
-                other = roots != root
-                if low == high:
-                    other &= nodes > node
-                guess = jaccard_estimate(
-                    (regs[other] == own).sum(axis=1), np.int64(n), sizes[other]
-                )
-                good, at = nodes[other][guess >= least], guess[guess >= least]
-                if best is not None:
-                    good = good[np.argsort(-at, kind="stable")[:best]]
-                found_a.append(np.minimum(good, node))
-                found_b.append(np.maximum(good, node))
-        return pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+        for start, end in zip(starts, np.append(starts[1:], len(key)), strict=True):
+            cell = {c: v[start:end] for c, v in columns.items()}
+            for a, b in _cell_pairs(cell, least, fine_least, best):
+                found_a.append(a)
+                found_b.append(b)
+        found = pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+        return found.drop_duplicates()
 
     return run
 

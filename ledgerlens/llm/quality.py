@@ -212,7 +212,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed:
         net = fit(texts, group["quality"].to_numpy(np.int64), seed)
         return pd.DataFrame({"weights": [pickle.dumps(net.__dict__)]})
 
-    found = sample.groupBy(F.lit(1)).applyInPandas(fitted, "weights binary").head()
+    found = sample.groupBy(F.lit("all")).applyInPandas(fitted, "weights binary").head()
     # Only numpy arrays that this job has just pickled itself are read back.
     return Network(**pickle.loads(found[0])) if found else Network.constant(0.5)
 

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import neardup, quality
+from ledgerlens.llm import curves, mixing, neardup, packing, pii, quality, topk, urls, warc
+from ledgerlens.llm.common import importable
 
 QUERIES = {
-    "op3_near_duplicates": neardup.op3_near_duplicates,
-    "op10_quality": quality.op10_quality,
+    "op1_top_k": importable(topk.op1_top_k),
+    "op2_url_filter": importable(urls.op2_url_filter),
+    "op3_near_duplicates": importable(neardup.op3_near_duplicates),
+    "op4_warc": importable(warc.op4_warc),
+    "op5_packing": importable(packing.op5_packing),
+    "op6_surrogates": importable(pii.op6_surrogates),
+    "op7_mixing": importable(mixing.op7_mixing),
+    "op9_nearest": importable(curves.op9_nearest),
+    "op10_quality": importable(quality.op10_quality),
 }
 
 SQL = {
+    "op1_top_k": topk.SQL,
     "op3_near_duplicates": neardup.SQL,
+    "op4_warc": warc.SQL,
 }

@@ -11,6 +11,8 @@ REGISTERS = 192
 """Buckets of a sketch; each holds the minimum under a permutation of its own."""
 MANTISSA = 10
 """Mantissa bits a register keeps beside its count of leading zeros."""
+FINE = 1024
+"""Minima of a fine sketch."""
 
 CACHE_WORDS = 500_000
 _rng = np.random.default_rng(20_240_501)
@@ -19,6 +21,10 @@ _FLIP = _rng.integers(0, 1 << 32, REGISTERS, np.uint64).astype(np.uint32)
 _FACTOR = _rng.integers(0, 1 << 31, REGISTERS, np.uint64).astype(np.uint32) * np.uint32(
     2
 ) + np.uint32(1)
+_FINE_FLIP = _rng.integers(0, 1 << 32, FINE, np.uint64).astype(np.uint32)
+_FINE_FACTOR = _rng.integers(0, 1 << 31, FINE, np.uint64).astype(np.uint32) * np.uint32(
+    2
+) + np.uint32(1)
 
 
 class _WordHashes(dict):
@@ -70,6 +76,21 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return ((32 - exponent).astype(np.uint16) << np.uint16(MANTISSA)) | mantissa
 
 
+def fine_sketch(hashes: np.ndarray) -> np.ndarray:
+    """One byte of each of FINE minima: a second, longer sketch for doubtful pairs."""
+    low = np.full(FINE, 0xFFFFFFFF, np.uint32)
+    folded = hashes.astype(np.uint32)
+    for at in range(0, len(folded), 64):
+        part = (folded[at : at + 64, None] ^ _FINE_FLIP) * _FINE_FACTOR
+        np.minimum(low, part.min(axis=0), out=low)
+    return ((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+
+
+def fine_estimate(same: np.ndarray) -> np.ndarray:
+    """Jaccard estimate from equal bytes of fine sketches; bytes agree by chance once in 256."""
+    return (same / FINE - 1 / 256) / (1 - 1 / 256)
+
+
 def jaccard_estimate(same: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Jaccard estimate from equal registers of sets of sizes n and m.
 
