@@ -7,10 +7,11 @@ from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ledgerlens.sources.scratch import written
 
-__all__ = ["batch_bytes", "importable", "read_table", "slices", "text_words", "written"]
+__all__ = ["batch_bytes", "importable", "read_table", "slices", "text_words", "with_score", "written"]
 
 
 def importable(query: Callable) -> Callable:
@@ -29,6 +30,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_score(df: DataFrame, name: str) -> StructType:
+    """The schema of ``df`` and a column of doubles."""
+    return StructType([*df.schema.fields, StructField(name, DoubleType())])
+
+
 def text_words(text: str | None) -> list[bytes]:
     """Words of a whole text: A-Z lower-cased, cut at blanks and the controls 09 to 0D."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import batch_bytes, read_table, slices
+from ledgerlens.llm.common import batch_bytes, read_table, slices, with_score
 
 CHUNK, STEP = 512, 448
 WIDTH, STRIDE = 8, 4
@@ -223,7 +223,7 @@ def score(documents: DataFrame, net: Network) -> DataFrame:
     An input column of that name is replaced. Rows, repeated ones too, stay one to one.
     """
     kept = documents.drop("quality_score")
-    schema = kept.schema.add("quality_score", "double")
+    schema = with_score(kept, "quality_score")
     at = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

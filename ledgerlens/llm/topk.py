@@ -146,13 +146,13 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     candidates = rows.withColumns(
         {
             "block": F.pmod(hashed, F.lit(blocks)),
-            "part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"),
+            "part": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))),
             "asks": F.lit(False),
         }
     )
     queries = rows.filter(asks).withColumns(
         {
-            "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"),
+            "block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))),
             "part": F.pmod(hashed, F.lit(parts)),
             "asks": F.lit(True),
         }

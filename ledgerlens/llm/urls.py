@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import read_table, written
+from ledgerlens.llm.common import read_table, with_score, written
 
 RULES = (
     ("net/", "block"),
@@ -201,7 +201,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = urls.join(written(listed, "host-words"), "host", "left")
     known = rows.filter("_rule is not null").select("tokens", "path", "_rule.verdict")
     odds, prior = fit(known)
-    schema = rows.schema.add("score", "double")
+    schema = with_score(rows, "score")
     scored = rows.mapInArrow(_judge(odds, prior), schema)
     learned = F.when(F.col("score") > 0, "block").otherwise("allow")
     return scored.select(
