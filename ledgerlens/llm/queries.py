@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import curves, mixing, neardup, packing, pii, quality, topk, urls, warc
+from ledgerlens.llm import curves, idfiles, mixing, neardup, packing, pii, quality, topk, urls, warc
 from ledgerlens.llm.common import importable
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_packing": importable(packing.op5_packing),
     "op6_surrogates": importable(pii.op6_surrogates),
     "op7_mixing": importable(mixing.op7_mixing),
+    "op8_id_files": importable(idfiles.op8_id_files),
     "op9_nearest": importable(curves.op9_nearest),
     "op10_quality": importable(quality.op10_quality),
 }
