@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ledgerlens.sources.scratch import written
 
-__all__ = ["batch_bytes", "importable", "read_table", "slices", "text_words", "with_score", "written"]
+__all__ = ["batch_bytes", "importable", "read_table", "slices", "text_words", "unused", "with_score", "written"]
 
 
 def importable(query: Callable) -> Callable:
@@ -35,6 +35,14 @@ def with_score(df: DataFrame, name: str) -> StructType:
     return StructType([*df.schema.fields, StructField(name, DoubleType())])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or that name with underscores if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_words(text: str | None) -> list[bytes]:
     """Words of a whole text: A-Z lower-cased, cut at blanks and the controls 09 to 0D."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

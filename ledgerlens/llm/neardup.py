@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import read_table, written
+from ledgerlens.llm.common import read_table, unused, written
 from ledgerlens.llm.components import components
 from ledgerlens.llm.shingles import (
     FINE,
@@ -318,20 +318,30 @@ def link(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with ``n_shingles``, ``component_id`` and ``kept``.
 
-    Columns of those names are replaced. Documents without words have no shingles and are their
+    Columns of those names are replaced; all others pass through. Documents without words have no shingles and are their
     own component. Repeated rows share a component, and all rows with its smallest doc_id are
     kept. A missing doc_id is never the smallest unless no row of the component has one; a row
     without doc_id is kept only in that case.
     """
-    docs = docs.drop("n_shingles", "component_id", "kept", "_key", "_root")
+    docs = docs.drop("n_shingles", "component_id", "kept")
+    return _marked(docs, percent, _key_name(docs), _root_name(docs)).drop(_key_name(docs), _root_name(docs))
+
+
+def _key_name(docs: DataFrame) -> str:
+    return unused(docs, "text_key")
+
+
+def _root_name(docs: DataFrame) -> str:
+    return unused(docs, "root_class")
+
+
+def _marked(docs: DataFrame, percent: int, key: str, root: str) -> DataFrame:
+    """``docs`` with the three columns, and the names of text and component in ``key, root``."""
     found = link(docs, percent).select(
-        F.col("key").alias("_key"),
-        F.col("root").alias("_root"),
-        F.col("n").alias("n_shingles"),
-        "component_id",
+        F.col("key").alias(key), F.col("root").alias(root), F.col("n").alias("n_shingles"), "component_id"
     )
-    rows = docs.withColumn("_key", text_key()).join(found, "_key", "left")
-    own = F.when(F.col("_root").isNull(), F.col("doc_id").cast("long"))
+    rows = docs.withColumn(key, text_key()).join(found, key, "left")
+    own = F.when(F.col(root).isNull(), F.col("doc_id").cast("long"))
     rows = rows.withColumns(
         {
             "n_shingles": F.coalesce("n_shingles", F.lit(0).cast("long")),
@@ -349,13 +359,18 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays, and every document without words."""
-    kept = near_duplicates(docs).filter("kept")
+    # Columns named like the marks are set aside by other names meanwhile.
+    marks = {c: unused(docs, c) for c in ("n_shingles", "component_id", "kept") if c in docs.columns}
+    rows = docs.withColumnsRenamed(marks)
+    root = _root_name(rows)
+    kept = _marked(rows, PERCENT, _key_name(rows), root).filter("kept")
     # Rows repeated under one doc_id are all keepers of their group: one of them stays.
-    roots = kept.filter("_root is not null").groupBy("_root").agg(F.count("*").alias("rows"))
-    repeated = written(roots.filter("rows > 1").select("_root"), "repeated")
-    single = kept.join(repeated, "_root", "left_anti")
-    again = kept.join(repeated, "_root", "left_semi").dropDuplicates(["_root"])
-    return single.union(again).select(*docs.columns)
+    roots = kept.filter(F.col(root).isNotNull()).groupBy(root).agg(F.count("*").alias("rows"))
+    repeated = written(roots.filter("rows > 1").select(root), "repeated")
+    single = kept.join(repeated, root, "left_anti")
+    again = kept.join(repeated, root, "left_semi").dropDuplicates([root])
+    found = single.union(again).select(*rows.columns)
+    return found.withColumnsRenamed({v: k for k, v in marks.items()})
 
 
 SQL = r"""

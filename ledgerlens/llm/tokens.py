@@ -26,6 +26,11 @@ _UNSAFE_STOP = re.compile(r"[.,](?<=[\W_].)")
 _UNSAFE_STOP_BLANKS_GO = re.compile(r"[.,](?:(?<=[^\w\s].)|(?<=_.))")
 # Runs of blanks that one cut would split into other tokens than the whole run.
 _UNSAFE_BLANK = re.compile(r"\s{3}|\s{2}\Z")
+# Without these and without other blanks than space and line end, no run can be that long.
+_DOUBLE = ("  ", " \n", "\n ", "\n\n")
+_OTHER_BLANK = re.compile(
+    "[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+)
 
 
 def vocabulary(name: str) -> str:
@@ -63,7 +68,7 @@ class Encoder:
                 return None
         elif _UNSAFE_STOP.search(text):
             return None
-        elif len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        elif any(d in text for d in _DOUBLE) or _OTHER_BLANK.search(text):
             if _UNSAFE_BLANK.search(text):
                 return None
         cut = text.replace("\n", " " if self.drops_blanks else " \n")

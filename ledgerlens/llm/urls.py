@@ -144,7 +144,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for verdict, n in counts.items():
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([verdict] * len(at)), pa.array(at), pa.array(n[at])],
+            [pa.array([verdict] * len(at), pa.string()), pa.array(at), pa.array(n[at])],
             names=["verdict", "slot", "n"],
         )
 
