@@ -19,14 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import read_table, written
+from ledgerlens.llm.common import read_table, unused, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 """Tokens of the mix as a multiple of all tokens."""
 MOST = 2.0
 """How often a source may be repeated."""
-BLOCK = 20_000
+BLOCK = 4_000
 """Units that one task decides together."""
 HOT_ROWS = 1_000
 """Rows with one doc_id from which they are dealt to different blocks."""
@@ -232,14 +232,15 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words are kept or left by the same draw.
     """
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    row, copies, copy = (unused(docs, c) for c in ("mix_row", "mix_copies", "mix_copy"))
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     rows = numbered.select(
-        F.col("_row").alias("row"), F.col("doc_id").cast("long"), "source", words().alias("size")
+        F.col(row).alias("row"), F.col("doc_id").cast("long"), "source", words().alias("size")
     )
     picked = mix(written(rows, "sizes")).filter("copies > 0").select(
-        F.col("row").alias("_row"), F.col("copies").cast("int").alias("_copies")
+        F.col("row").alias(row), F.col("copies").cast("int").alias(copies)
     )
-    again = numbered.join(picked, "_row").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    again = numbered.join(picked, row).withColumn(
+        copy, F.explode(F.sequence(F.lit(1), F.col(copies)))
     )
     return again.select(*docs.columns)
