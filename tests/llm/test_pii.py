@@ -118,6 +118,7 @@ def test_main_path_has_no_python(spark, documents):
 def test_stage_moves_lengths(spark, documents):
     docs = documents([(1, "ip 1.2.3.4 x"), (2, None), (3, "plain")]).withColumn("n_replaced", F.lit("x"))
     after = pii.surrogates_in(spark, docs, "").orderBy("doc_id").collect()
+    assert [r["n_replaced"] for r in after] == ["x"] * 3
     assert [r["n_chars"] for r in after] == [len(after[0]["text"]), None, 5]
     assert pii.replace(documents([])).count() == 0
 
