@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.quantiles import approx_quantiles, exact_quantiles
+from ledgerlens.functions.quantiles import approx_quantiles, exact_quantiles, with_scalar
 from ledgerlens.functions.scalars import col
 
 
@@ -85,5 +85,5 @@ def with_quartile_band(
         .when(value <= edges["q75"], QUARTILE_LABELS[2])
         .when(value <= edges["high"], QUARTILE_LABELS[3])
     )
-    bound = df.withColumn("_edges", quartile_edges(df, column, approx).scalar())
+    bound = with_scalar(df, "_edges", quartile_edges(df, column, approx))
     return bound.withColumn(name, label).drop("_edges")

@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.quantiles import once, with_scalar
 from ledgerlens.functions.scalars import ratio, round_even
 from ledgerlens.models.features import Task
 
-# Scores between 0 and 1 are laid out in this many cells for running sums.
-SCORE_CELLS = 1000
+# The distinct scores are laid out in this many cells of about equal numbers for running sums.
+SCORE_CELLS = 256
+# Edges that one coarse step passes over.
+EDGE_STEP = 16
 
 
 def _confusion_columns(label: str) -> list[Column]:
@@ -96,9 +99,10 @@ def precision_recall(scored: DataFrame, label: str = "label") -> DataFrame:
 def ranked_scores(scored: DataFrame, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """One row per distinct score with the positives and negatives at it and above it.
 
-    Rows are counted per score first. The running sums then work within cells of equal score
-    width; what lies in higher cells comes from the cell totals, of which there are at most
-    ``SCORE_CELLS + 1`` per value of ``by`` (the models compared). No task ever sees all scores.
+    Rows are counted per score first. The running sums then work within cells between sketch
+    quantiles of the distinct scores, so scores that bunch up still spread over all cells; what
+    lies in higher cells comes from the cell totals, of which there are at most ``SCORE_CELLS``
+    per value of ``by`` (the models compared). No task ever sees all scores.
     """
     return _ranked(_score_counts(scored, label, by), by)
 
@@ -111,12 +115,32 @@ def _score_counts(scored: DataFrame, label: str, by: Sequence[str]) -> DataFrame
     )
 
 
+def _cell(edges: Column) -> Column:
+    """How many edges lie below the score, found in a coarse and a fine step."""
+
+    def below(some: Column) -> Column:
+        return F.size(F.filter(some, lambda e: e < F.col("score")))
+
+    steps = F.sequence(F.lit(1), F.lit(SCORE_CELLS // EDGE_STEP - 1))
+    coarse = F.transform(steps, lambda i: F.element_at(edges, (i * EDGE_STEP).cast("int")))
+    return once(
+        below(coarse) * EDGE_STEP,
+        lambda start: start + below(F.slice(edges, start + 1, EDGE_STEP)),
+    )
+
+
 def _ranked(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    points = counts.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    shares = [i / SCORE_CELLS for i in range(1, SCORE_CELLS)]
+    edges = points.groupBy(*by).agg(
+        F.percentile_approx("score", shares, 10 * SCORE_CELLS).alias("_edges")
+    )
     points = (
-        counts.groupBy(*by, "score")
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .withColumn("_cell", F.floor(F.col("score") * SCORE_CELLS))
+        points.join(F.broadcast(edges), list(by))
+        if by
+        else with_scalar(points, "_edges", edges)
     )
+    points = points.withColumn("_cell", once(F.col("_edges"), _cell)).drop("_edges")
     cells = points.groupBy(*by, "_cell").agg(
         F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg")
     )
@@ -167,7 +191,7 @@ def roc_curve(scored: DataFrame, label: str = "label") -> DataFrame:
         ratio("cum_neg", "all_neg").alias("fpr"),
         ratio("cum_pos", "all_pos").alias("tpr"),
     )
-    origin = ranked.agg(F.max("score").alias("_s")).select(
+    origin = scored.sparkSession.range(1).select(
         F.lit(None).cast("double").alias("threshold"),
         F.lit(0.0).alias("fpr"),
         F.lit(0.0).alias("tpr"),

@@ -25,6 +25,8 @@ from ledgerlens.sources.scratch import new_folder, written
 # Inverse regularisation strength and iteration limit of the logistic regression.
 INVERSE_REGULARISATION = 1.0
 MAX_ITERATIONS = 100
+# Rows of a training partition. It fixes the samples a forest draws, so it is no tuning knob.
+ROWS_PER_PART = 5_000
 
 
 class Fitted:
@@ -33,7 +35,7 @@ class Fitted:
     def __init__(self, task: Task, data: DataFrame):
         self.task = task
         self.data = data
-        self.train = spread(data.filter("is_train"), task.key)
+        self.train = spread(data.filter("is_fitted"), task.key)
         self.counts = class_counts(self.train, task.label)
 
     @cached_property
@@ -52,8 +54,17 @@ class Fitted:
         return {"Logistic Regression": self.logistic, "Random Forest": self.forest}
 
     def test(self) -> DataFrame:
+        """Every row outside the training part; the cap of the task never reaches these."""
         return self.data.filter("NOT is_train")
 
+    def rows_used(self) -> DataFrame:
+        """One row: training rows, those fitted on, and test rows."""
+        return self.data.agg(
+            F.count_if("is_train").alias("train_rows"),
+            F.count_if("is_fitted").alias("fitted_rows"),
+            F.count_if(~F.col("is_train")).alias("test_rows"),
+        )
+
     def scored(self, model: PipelineModel) -> DataFrame:
         return predict(model, self.test(), self.task.key, self.task.label)
 
@@ -91,8 +102,10 @@ def scaler(train: DataFrame, columns: list[str]) -> SQLTransformer:
 
 
 def prepare(features: DataFrame, task: Task) -> DataFrame:
-    """Cap (where the task has one) and split.
+    """Split, and cap the rows a model is fitted on where the task has a cap.
 
+    Every row is either training or test row (``is_train``). ``is_fitted`` marks the training rows
+    the models learn from: all, or a stratified sample of ``task.max_rows`` of them.
     The features are written once with their draw key, since sampling, splitting and every fit
     read them again. Thresholds are one short text per class, so the split itself is an expression
     on that table.
@@ -107,18 +120,22 @@ def prepare(features: DataFrame, task: Task) -> DataFrame:
     def thresholds(rows: DataFrame, quota: Column) -> dict[int, str]:
         return {r[label]: r["last"] for r in pick_thresholds(rows, label, draw, quota).collect()}
 
-    if task.max_rows and data.count() > task.max_rows:
-        data = data.filter(picked_by(thresholds(data, sample_quota(task.max_rows)), label, draw))
-    return data.withColumn("is_train", picked_by(thresholds(data, train_quota()), label, draw))
+    data = data.withColumn("is_train", picked_by(thresholds(data, train_quota()), label, draw))
+    if not task.max_rows:
+        return data.withColumn("is_fitted", F.col("is_train"))
+    train = data.filter("is_train")
+    fitted = picked_by(thresholds(train, sample_quota(task.max_rows)), label, draw)
+    return data.withColumn("is_fitted", F.col("is_train") & fitted)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """At least one partition per core: trees cost far more per byte than the scan assumes.
+    """Partitions of about ``ROWS_PER_PART`` rows, each in the order of the draw key.
 
-    Rows go by the hash of their unique key, so every run trains on the same partitions.
+    Forests draw their samples by partition number and row order. Both follow from the rows alone
+    here: not from cores, file layout or the order in which shuffled blocks arrive.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    parts = max(1, -(-df.count() // ROWS_PER_PART))
+    return df.repartition(parts, key).sortWithinPartitions("draw_key", key)
 
 
 def class_counts(train: DataFrame, label: str) -> dict[int, int]:

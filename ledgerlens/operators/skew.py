@@ -9,67 +9,56 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerlens.sources.scratch import written
+# Rows of one key that a task may get. It grows only when more than MOST_KEYS keys would be hot.
+ROWS_PER_TASK = 1_000_000
+MOST_KEYS = 10_000
+# Counters of the frequency sketch for each key it may report.
+COUNTERS = 16
 
-# A key is hot from this share of the rows on, so there can be at most 1 / HOT_SHARE hot keys.
-HOT_SHARE = 1 / 200
-# Counters of the frequency sketch; far more than 1 / HOT_SHARE, so no hot key is missed.
-TRACKED = 4096
-SALTS = 32
-# Rows up to which a lookup table is broadcast.
-SMALL_ROWS = 10_000
 
+def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> dict[object, int]:
+    """Number of tasks for every key with more than ``rows_per_task`` rows; null is a key too.
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """One row with the array ``hot`` of keys that hold more than ``HOT_SHARE`` of the rows.
-
-    One pass over the key column with a sketch of fixed size.
+    One count, then one pass over the key column with a sketch whose size follows from the number
+    of keys that can be hot. At most ``MOST_KEYS`` keys come back, whatever the data.
     """
-    frequent = F.expr(f"approx_top_k(`{key}`, {int(1 / HOT_SHARE)}, {TRACKED})")
-    found = df.agg(F.count(F.lit(1)).alias("_n"), frequent.alias("_top"))
-    heavy = F.filter("_top", lambda t: t["count"] > F.col("_n") * HOT_SHARE)
-    return found.select(F.transform(heavy, lambda t: t["item"]).alias("hot"))
+    rows = df.count()
+    target = max(rows_per_task, -(-rows // MOST_KEYS))
+    most = max(1, min(MOST_KEYS, rows // target))
+    frequent = F.expr(f"approx_top_k(`{key}`, {most}, {COUNTERS * most})")
+    found = df.agg(frequent.alias("top"), F.count_if(F.col(key).isNull()).alias("none")).first()
+    tasks = {t["item"]: -(-t["count"] // target) for t in found["top"] or [] if t["count"] > target}
+    if found["none"] > target:
+        tasks[None] = -(-found["none"] // target)
+    return tasks
 
 
 def salted_lookup(
-    facts: DataFrame, table: DataFrame, key: str, columns: Sequence[str], how: str = "left"
+    facts: DataFrame, table: DataFrame, key: str, columns: Sequence[str], how: str = "left",
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add ``columns`` of ``table`` (unique by ``key``) with hot keys spread over many tasks.
 
-    Rows with a hot key get a salt from their own content, so a repeated task gives the same
-    rows; the one table row of that key is repeated per salt. Other keys join as usual.
+    The hot keys are found first, once, and both sides see the same list of constants. Rows with a
+    hot key get a salt from their own content, so a repeated task gives the same rows; the one
+    table row of that key is repeated per salt. Rows without a key match nothing and are spread
+    as well. Other keys join as usual.
     """
-    hot = hot_keys(facts, key).scalar()
-    spread = F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    left = _with_salt(facts, hot, key, spread, F.lit(0))
-    right = _with_salt(table.select(key, *columns), hot, key, every, F.array(F.lit(0)))
-    right = right.withColumn("_salt", F.explode("_salt"))
+    hot = hot_keys(facts, key, rows_per_task)
+    if not hot:
+        return facts.join(table.select(key, *columns), key, how)
+    tasks = F.when(F.col(key).isNull(), hot.pop(None, 1))
+    if hot:
+        pairs = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])
+        kind = facts.schema[key].dataType
+        pairs = pairs.cast(T.MapType(kind, T.LongType()))
+        tasks = tasks.otherwise(F.element_at(pairs, F.col(key)))
+    tasks = F.coalesce(tasks, F.lit(1)).cast("long")
+    left = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), tasks))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1))
+    right = table.select(key, *columns).withColumn("_salt", every)
     return left.join(right, [key, "_salt"], how).drop("_salt")
-
-
-def _with_salt(df: DataFrame, hot: Column, key: str, hot_salt: Column, salt: Column) -> DataFrame:
-    is_hot = F.array_contains("_hot", F.col(key))
-    return (
-        df.withColumn("_hot", hot)
-        .withColumn("_salt", F.when(is_hot, hot_salt).otherwise(salt))
-        .drop("_hot")
-    )
-
-
-def lookup_small(
-    facts: DataFrame, table: DataFrame, key: str, columns: Sequence[str], how: str = "left",
-    small_rows: int = SMALL_ROWS,
-) -> DataFrame:
-    """Lookup in a table that should be small, such as rates per product.
-
-    The table is written and counted first. It is broadcast only when it has at most
-    ``small_rows`` rows; a larger one is joined by shuffle with hot keys spread.
-    """
-    table = written(table.select(key, *columns), "lookup")
-    if table.count() <= small_rows:
-        return facts.join(F.broadcast(table), key, how)
-    return salted_lookup(facts, table, key, columns, how)

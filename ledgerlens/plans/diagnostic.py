@@ -31,7 +31,7 @@ from ledgerlens.operators.joins import (
     report_history,
 )
 from ledgerlens.operators.ranking import leading_key, leading_per_group, order_desc, top_by_size
-from ledgerlens.operators.skew import lookup_small, salted_lookup
+from ledgerlens.operators.skew import salted_lookup
 from ledgerlens.plans import derived, descriptive
 from ledgerlens.plans.derived import Day, present
 from ledgerlens.schema import (
@@ -251,10 +251,12 @@ def network_rate(bank: Bank) -> DataFrame:
 
 
 def loans_with_network_rate(bank: Bank, as_of: Day = None) -> DataFrame:
-    """Every loan with the default rate of its type: one of a few types, each of them hot."""
-    return lookup_small(
-        derived.loan_full(bank, as_of), network_rate(bank), "LOAN_TYPE", ["network_default_rate"]
-    )
+    """Every loan with the default rate of its type: one of a few types, each of them hot.
+
+    Nothing runs until the result is used. The rates are one row per type, so adaptive execution
+    broadcasts them once it has measured their size.
+    """
+    return derived.loan_full(bank, as_of).join(network_rate(bank), "LOAN_TYPE", "left")
 
 
 def branch_excess_raw(bank: Bank) -> DataFrame:

@@ -46,7 +46,5 @@ def csv_path(context: Context, table: str) -> str:
 
 def database(context: Context) -> str:
     """A scratch database below the shared folder."""
-    location = _once("database", context, lambda folder: None)
-    name = f"{DATABASE}_{location[-8:]}"
-    catalog.create_database(context.spark, name, location)
-    return name
+    catalog.create_database(context.spark, DATABASE, _once("database", context, lambda folder: None))
+    return DATABASE

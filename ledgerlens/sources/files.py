@@ -73,24 +73,19 @@ def write_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
 def registry_report(
     spark: SparkSession, folder: str, tables: Sequence[str] = TABLES, suffix: str = ".parquet"
 ) -> DataFrame:
-    """One row per expected table: is there a file or folder ``<table><suffix>`` below ``folder``?
+    """One row per expected table: is there a file or folder ``<folder>/<table><suffix>``?
 
-    The listing runs on Spark; file contents are not read.
+    Only these paths are asked for, at the file system that holds them; nothing else below the
+    folder is listed and no content is read.
     """
-    listing = _listing(spark, folder)
-    pattern = r"([^/]+)" + suffix.replace(".", r"\.") + r"(?:/|$)"
-    found = (
-        listing.select(F.regexp_extract("path", pattern, 1).alias("table_name"))
-        .filter(F.col("table_name") != "")
-        .groupBy("table_name")
-        .agg(F.count(F.lit(1)).alias("n_files"))
-    )
-    expected = spark.createDataFrame([(t,) for t in tables], "table_name string")
-    return expected.join(found, "table_name", "left").select(
-        "table_name",
-        F.col("n_files").isNotNull().alias("present"),
-        F.coalesce("n_files", F.lit(0)).cast("bigint").alias("n_files"),
-    )
+    found = []
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{table}{suffix}")
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        present = system.exists(path)
+        files = system.getContentSummary(path).getFileCount() if present else 0
+        found.append((table, present, files))
+    return spark.createDataFrame(found, "table_name string, present boolean, n_files bigint")
 
 
 def require_tables(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,21 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names, visible to every executor.
 
-    Only a session that runs in one process may fall back to a folder of this machine.
+    Where it is not set, a folder below ``spark.sql.warehouse.dir``, which the executors share as
+    well, takes its place for the session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    if not warehouse:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="ledgerlens-")
+    folder = f"{warehouse.rstrip('/')}/_scratch-{spark.sparkContext.applicationId}"
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A path below the shared folder that no earlier run has used."""
-    return f"{shared_folder(spark)}/ledgerlens/{purpose}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/ledgerlens/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete everything this application has written to the shared folder.
+
+    Frames that read from there cannot be used afterwards, so call it at the end of a job.
+    """
+    home = f"{shared_folder(spark)}/ledgerlens/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(home)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:

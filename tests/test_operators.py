@@ -35,20 +35,21 @@ def third_on_one_key(spark, n=9000):
 
 
 def test_hot_keys_are_found_and_few(spark):
-    assert skew.hot_keys(third_on_one_key(spark), "k").first().hot[0] == 7
-    assert skew.hot_keys(spark.range(9000), "id").first().hot == []
-    assert skew.hot_keys(spark.range(0), "id").first().hot == []
+    assert skew.hot_keys(third_on_one_key(spark), "k", 500) == {7: 7}
+    nulls = spark.range(9000).select(F.when(F.col("id") > 4000, F.col("id")).alias("k"))
+    assert skew.hot_keys(nulls, "k", 1000) == {None: 5}
+    assert skew.hot_keys(spark.range(9000), "id", 500) == {}
+    assert skew.hot_keys(spark.range(0), "id") == {}
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_salted_lookup_equals_the_plain_join(spark, how):
+@pytest.mark.parametrize("rows_per_task", [50, 500, 10_000])
+def test_salted_lookup_equals_the_plain_join(spark, how, rows_per_task):
     facts = third_on_one_key(spark)
     table = spark.range(0, 8000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     expected = rows(facts.join(table, "k", how), "id", "k", "v")
-    assert rows(skew.salted_lookup(facts, table, "k", ["v"], how), "id", "k", "v") == expected
-    assert rows(skew.lookup_small(facts, table, "k", ["v"], how), "id", "k", "v") == expected
-    big = skew.lookup_small(facts, table, "k", ["v"], how, small_rows=100)
-    assert rows(big, "id", "k", "v") == expected
+    spread = skew.salted_lookup(facts, table, "k", ["v"], how, rows_per_task)
+    assert rows(spread, "id", "k", "v") == expected
 
 
 def test_salt_spreads_the_hot_key(spark):
@@ -59,7 +60,7 @@ def test_salt_spreads_the_hot_key(spark):
         per_task = {}
         for name, df in (
             ("plain", joins.lookup(third_on_one_key(spark), table, "k", ["v"])),
-            ("salted", skew.salted_lookup(third_on_one_key(spark), table, "k", ["v"])),
+            ("salted", skew.salted_lookup(third_on_one_key(spark), table, "k", ["v"], rows_per_task=300)),
         ):
             sizes = df.groupBy(F.spark_partition_id()).count().collect()
             per_task[name] = max(r["count"] for r in sizes)

@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as contract
+from ledgerlens.registry import CHECKS, QUERIES, check_sql
 from tests.compare import connect, difference
 
-QUERIES = contract.queries()
-CHECKS = contract.oracle_sql()
+CHECKS = {name: check_sql(name) for name in CHECKS}
 
 
 @pytest.fixture(scope="module")
