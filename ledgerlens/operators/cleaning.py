@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.schema import date_columns
+from ledgerlens.schema import date_columns, struct_for
 
 # Bounds of the integer types, narrowest first.
 INTEGER_BOUNDS = (
@@ -26,23 +26,84 @@ def clean_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*(name.strip().upper() for name in df.columns))
 
 
-def to_date_or_null(value: Column | str) -> Column:
-    """Date of a text, timestamp or date value; what cannot be read is null."""
-    value = F.col(value) if isinstance(value, str) else value
-    return F.to_date(F.try_to_timestamp(value.cast("string")))
+# Forms a date may have besides ISO 8601, tried in this order; each with or without a time.
+DATE_FORMATS = ("yyyy/M/d", "M/d/yyyy", "d-MMM-yyyy", "d.M.yyyy")
+TIME_FORMATS = ("", " H:mm:ss", " H:mm")
 
 
-def parse_dates(df: DataFrame, table: str) -> DataFrame:
-    """Make the known date columns of ``table`` dates; timestamps keep their time of day."""
-    kinds = dict(df.dtypes)
-    fixes = {
-        name: to_date_or_null(name)
-        for name in date_columns(table)
-        if name in kinds and kinds[name] != "date" and not kinds[name].startswith("timestamp")
-    }
+def read_date(value: Column | str, formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """Timestamp of a text in ISO form or one of ``formats``; what cannot be read is null.
+
+    The time of day is kept: two days apart and 26 hours apart are not the same.
+    """
+    value = F.trim(F.col(value) if isinstance(value, str) else value)
+    ways = [F.try_to_timestamp(value)]
+    ways += [F.try_to_timestamp(value, F.lit(d + t)) for d in formats for t in TIME_FORMATS]
+    return F.coalesce(*ways)
+
+
+def read_number(value: Column | str, kind: T.DataType) -> Column:
+    """Number of a text; what is no number of that kind is null, and nothing is rounded.
+
+    Amounts get eight decimals, so rates such as 8.375 stay as they are. An amount with more
+    decimals than that counts as unreadable.
+    """
+    value = F.trim(F.col(value) if isinstance(value, str) else value)
+    if not isinstance(kind, T.DecimalType):
+        return value.try_cast(kind)
+    found = value.try_cast(EXACT_AMOUNT)
+    return F.when(found == value.try_cast("decimal(38,18)"), found)
+
+
+EXACT_AMOUNT = "decimal(26,8)"
+
+
+def type_columns(df: DataFrame, table: str, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+    """Give the columns of ``table`` that are stored as text their declared kind.
+
+    Dates become timestamps. Columns that are typed already, and unknown ones, stay as they are.
+    """
+    known = {f.name: f.dataType for f in struct_for(table)}
+    fixes = {}
+    for name, stored in df.dtypes:
+        kind = known.get(name)
+        if stored != "string" or kind is None or isinstance(kind, T.StringType):
+            continue
+        dated = isinstance(kind, (T.DateType, T.TimestampType))
+        fixes[name] = read_date(name, formats) if dated else read_number(name, kind)
     return df.withColumns(fixes) if fixes else df
 
 
+def parse_dates(df: DataFrame, table: str, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+    """Read the known date columns of ``table`` that are stored as text, time of day included."""
+    kinds = dict(df.dtypes)
+    names = [n for n in date_columns(table) if kinds.get(n) == "string"]
+    return df.withColumns({n: read_date(n, formats) for n in names}) if names else df
+
+
+def unread_values(raw: DataFrame, table: str, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+    """Per column of a text table: values that are there, and those that cannot be read."""
+    names = raw.columns
+    text = raw.select([F.nullif(F.trim(c), F.lit("")).alias(c) for c in names])
+    typed = type_columns(text.withColumn("_row", F.struct(*names)), table, formats)
+    found = typed.agg(
+        *[F.count(F.col("_row")[c]).alias(f"n_{i}") for i, c in enumerate(names)],
+        *[
+            F.count_if(F.col("_row")[c].isNotNull() & F.col(c).isNull()).alias(f"u_{i}")
+            for i, c in enumerate(names)
+        ],
+    )
+    parts = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.col(f"n_{i}").alias("n_values"),
+            F.col(f"u_{i}").alias("n_unread"),
+        )
+        for i, c in enumerate(names)
+    ]
+    return found.select(F.explode(F.array(*parts)).alias("part")).select("part.*")
+
+
 def _narrowest(low: Column, high: Column, wide: str) -> Column:
     kind = F.when(low.isNull(), F.lit(wide))
     for name, least, most in INTEGER_BOUNDS:

@@ -37,18 +37,20 @@ def clean_headers(context: Context) -> DataFrame:
 
 @query(
     "clean_dates",
-    """select LOAN_ID, case when LOAN_ID % 7 in (0, 1) then cast(null as date)
-      else START_DATE end as START_DATE from loan""",
+    """select LOAN_ID, case when LOAN_ID % 7 not in (0, 1) then cast(START_DATE as varchar)
+      || case when LOAN_ID % 7 = 2 then ' 23:00:00' else ' 00:00:00' end end as START_DATE
+    from loan""",
 )
 def clean_dates(context: Context) -> DataFrame:
-    """Dates stored as text, some of them unreadable or missing."""
-    text = (
-        F.when(F.col("LOAN_ID") % 7 == 0, "garbage")
-        .when(F.col("LOAN_ID") % 7 == 1, F.lit(None))
-        .otherwise(F.col("START_DATE").cast("string"))
-    )
+    """Dates stored as text in several forms, some of them unreadable or missing."""
+    key, day = F.col("LOAN_ID") % 7, F.col("START_DATE")
+    text = F.when(key == 0, "garbage").when(key == 1, F.lit(None))
+    text = text.when(key == 2, F.concat(day.cast("string"), F.lit(" 23:00")))
+    for i, form in enumerate(cleaning.DATE_FORMATS, 3):
+        text = text.when(key == i, F.date_format(day, form))
     stored = context["loan"].select("LOAN_ID", text.alias("START_DATE"))
-    return cleaning.parse_dates(stored, "loan")
+    read = cleaning.parse_dates(stored, "loan")
+    return read.withColumn("START_DATE", F.date_format("START_DATE", "yyyy-MM-dd HH:mm:ss"))
 
 
 def _narrow_sql(table: str, column: str) -> str:

@@ -6,9 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerlens.operators.cleaning import clean_headers, parse_dates
+from ledgerlens.operators.cleaning import DATE_FORMATS, clean_headers, type_columns
 from ledgerlens.schema import EVENT_TABLES, TABLES, struct_for
 
 # Codecs per kind of table and the size above which a file is reported.
@@ -27,32 +26,41 @@ def read_parquet(spark: SparkSession, path: str, table: str | None = None) -> Da
 
 
 def read_exported_parquet(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Scan Parquet written elsewhere: any header spelling, dates of any type."""
-    return parse_dates(clean_headers(spark.read.parquet(path)), table)
+    """Scan Parquet written elsewhere: any header spelling, values typed or still text."""
+    return type_columns(clean_headers(spark.read.parquet(path)), table)
 
 
-def read_csv(
-    spark: SparkSession, path: str, table: str, partitions: int | None = None
+def read_text_fields(
+    spark: SparkSession, path: str, partitions: int | None = None, multiline: bool = False
 ) -> DataFrame:
-    """Scan CSV with a header line, plain or gzip (chosen by the ``.gz`` suffix).
+    """Scan CSV with a header line, plain or gzip (by the ``.gz`` suffix), every field as text.
 
-    The first line of the files names the columns, so they may come in any order and spelling.
-    Every column is read as text and cast once; a date that cannot be read is null. A gzip file
-    cannot be split, so pass ``partitions`` to spread its rows right after the scan.
+    A quote inside quotes is doubled. Fields with line breaks need ``multiline``, which reads each
+    file in one task. A gzip file cannot be split either; ``partitions`` spreads the rows after
+    the scan.
     """
-    raw = clean_headers(spark.read.csv(path, header=True, inferSchema=False, multiLine=False))
-    if partitions:
-        raw = raw.repartition(partitions)
-    known = {f.name: f.dataType for f in struct_for(table)}
-    return raw.select(*(_typed(name, known.get(name)) for name in raw.columns))
+    raw = spark.read.csv(
+        path, header=True, inferSchema=False, multiLine=multiline, quote='"', escape='"'
+    )
+    return raw.repartition(partitions) if partitions else raw
 
 
-def _typed(name: str, kind: T.DataType | None):
-    if kind is None or isinstance(kind, T.StringType):
-        return F.col(name)
-    if isinstance(kind, T.DateType):
-        return F.to_date(F.try_to_timestamp(F.col(name))).alias(name)
-    return F.col(name).cast(kind).alias(name)
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    table: str,
+    partitions: int | None = None,
+    multiline: bool = False,
+    formats: Sequence[str] = DATE_FORMATS,
+) -> DataFrame:
+    """Scan CSV and type its columns; see :func:`read_text_fields` for the file format.
+
+    The first line of the files names the columns, so they may come in any order and spelling.
+    Dates become timestamps with their time of day, numbers keep all their digits, and a value
+    that cannot be read is null. ``cleaning.unread_values`` counts those.
+    """
+    raw = clean_headers(read_text_fields(spark, path, partitions, multiline))
+    return type_columns(raw, table, formats)
 
 
 def codec_for(table: str) -> str:
@@ -99,13 +107,18 @@ def require_tables(
 
 
 def convert_to_parquet(
-    spark: SparkSession, sources: Mapping[str, str], out_folder: str, large_mb: int = LARGE_MB
+    spark: SparkSession, sources: Mapping[str, str], out_folder: str, large_mb: int = LARGE_MB,
+    partitions: int | None = None, multiline: bool = False,
 ) -> DataFrame:
-    """Convert CSV files (plain or gzip) to Parquet and report rows and sizes per table."""
+    """Convert CSV files (plain or gzip) to Parquet and report rows and sizes per table.
+
+    Fields are written as the text they are; :func:`read_exported_parquet` types them on loading.
+    """
     pieces = []
     for table, source in sources.items():
         target = f"{out_folder}/{table}.parquet"
-        write_parquet(read_csv(spark, source, table), target, codec_for(table))
+        fields = read_text_fields(spark, source, partitions, multiline)
+        write_parquet(fields, target, codec_for(table))
         rows = spark.read.parquet(target).agg(F.count(F.lit(1)).alias("n_rows"))
         pieces.append(
             rows.select(

@@ -165,12 +165,43 @@ def test_headers_are_trimmed_and_upper_case(spark):
     assert cleaning.clean_headers(df).columns == ["CARD_ID", "CARD TYPE"]
 
 
+def at(*parts):
+    return dt.datetime(*parts)
+
+
 def test_unreadable_dates_are_null(spark):
     df = spark.createDataFrame(
         [("2001-02-03",), ("garbage",), (None,), ("2001-02-03 04:05:06",)], "START_DATE string"
     )
     got = [r[0] for r in cleaning.parse_dates(df, "loan").collect()]
-    assert got == [day("2001-02-03"), None, None, day("2001-02-03")]
+    assert got == [at(2001, 2, 3), None, None, at(2001, 2, 3, 4, 5, 6)]
+
+
+def test_dates_are_read_in_every_declared_form(spark):
+    texts = ["2020/01/15", "01/15/2020", "15-Jan-2020", "15.1.2020", " 2020-01-15 ", "1/15/2020 07:30"]
+    df = spark.createDataFrame([(t,) for t in texts], "START_DATE string")
+    got = [r[0] for r in cleaning.parse_dates(df, "loan").collect()]
+    assert got == [at(2020, 1, 15)] * 5 + [at(2020, 1, 15, 7, 30)]
+
+
+def test_text_and_timestamps_give_the_same_days(spark):
+    rows_ = [("2024-01-01 23:00", "2024-01-02 01:00"), ("2024-01-01 01:00", "2024-01-02 01:00")]
+    df = spark.createDataFrame(rows_, "DATE_OPENED string, DATE_RESOLVED string")
+    read = cleaning.parse_dates(df, "support_ticket")
+    days = read.select(scalars.elapsed_days(read, "DATE_RESOLVED", "DATE_OPENED").alias("d")).collect()
+    assert [r.d for r in days] == [0, 1]
+
+
+def test_numbers_are_not_rounded_and_failures_are_counted(spark):
+    df = spark.createDataFrame(
+        [("1", "8.375", "2001-01-01"), ("x", "1000.555", "no day"), (None, "1.123456789", "")],
+        "LOAN_ID string, LOAN_AMOUNT string, START_DATE string",
+    )
+    typed = cleaning.type_columns(df, "loan").collect()
+    assert [r.LOAN_ID for r in typed] == [1, None, None]
+    assert [r.LOAN_AMOUNT for r in typed] == [Decimal("8.375"), Decimal("1000.555"), None]
+    report = {r.column_name: (r.n_values, r.n_unread) for r in cleaning.unread_values(df, "loan").collect()}
+    assert report == {"LOAN_ID": (2, 1), "LOAN_AMOUNT": (3, 1), "START_DATE": (2, 1)}
 
 
 def test_timestamps_keep_their_time(spark):

@@ -1,5 +1,6 @@
 """Readers, writers, catalog and warehouse options."""
 
+import datetime as dt
 import gzip
 import os
 import uuid
@@ -9,7 +10,7 @@ import pytest
 from ledgerlens.bank import Bank
 from ledgerlens.schema import TABLES, struct_for
 from ledgerlens.sources import catalog, files, local, scratch, warehouse
-from tests.conftest import day, rows
+from tests.conftest import rows
 
 
 def test_scratch_follows_the_session(spark):
@@ -33,13 +34,37 @@ def test_csv_with_messy_header_and_bad_dates(spark, tmp_path):
     (tmp_path / "plain.csv").write_text(text)
     with gzip.open(tmp_path / "zipped.csv.gz", "wt") as f:
         f.write(text)
-    expected = [("North", day("2001-02-03"), 1), ("South", None, 2), (None, None, 3)]
+    expected = [("North", dt.datetime(2001, 2, 3), 1), ("South", None, 2), (None, None, 3)]
     for name in ("plain.csv", "zipped.csv.gz"):
         df = files.read_csv(spark, str(tmp_path / name), "branches")
-        assert [k for _, k in df.dtypes] == ["string", "date", "bigint"]
+        assert [k for _, k in df.dtypes] == ["string", "timestamp", "bigint"]
         assert rows(df) == sorted(expected, key=repr)
 
 
+def test_quotes_and_line_breaks(spark, tmp_path):
+    (tmp_path / "q.csv").write_text(
+        'BRANCH_ID,BRANCH_NAME,OPENED_DATE\n1,"The ""Old"" Mill, North",2001-02-03\n2,"two\nlines",\n'
+    )
+    df = files.read_csv(spark, str(tmp_path / "q.csv"), "branches", multiline=True)
+    assert rows(df, "BRANCH_ID", "BRANCH_NAME") == [(1, 'The "Old" Mill, North'), (2, "two\nlines")]
+
+
+def test_conversion_keeps_every_field_as_it_is(spark, tmp_path):
+    (tmp_path / "loan.csv").write_text("LOAN_ID,INTEREST_RATE,START_DATE\n1,8.375,15-Jan-2020 10:30\n2,x,soon\n")
+    files.convert_to_parquet(spark, {"loan": str(tmp_path / "loan.csv")}, str(tmp_path / "out"))
+    path = str(tmp_path / "out" / "loan.parquet")
+    assert rows(spark.read.parquet(path)) == [("1", "8.375", "15-Jan-2020 10:30"), ("2", "x", "soon")]
+    typed = files.read_exported_parquet(spark, path, "loan")
+    assert [float(r[0]) if r[0] else None for r in typed.select("INTEREST_RATE").collect()] == [8.375, None]
+
+
+def test_registry_asks_only_for_the_tables_of_the_folder(spark, tmp_path):
+    write_all(spark, tmp_path / "x.parquet" / "bank", skip=("loan",))
+    spark.range(1).write.parquet(str(tmp_path / "x.parquet" / "bank" / "backup" / "loan.parquet"))
+    report = files.registry_report(spark, str(tmp_path / "x.parquet" / "bank")).collect()
+    assert [r.table_name for r in report if not r.present] == ["loan"]
+
+
 def test_gzip_rows_are_spread(spark, tmp_path):
     with gzip.open(tmp_path / "b.csv.gz", "wt") as f:
         f.write("BRANCH_ID\n" + "\n".join(map(str, range(1000))))
