@@ -272,6 +272,11 @@ def _cell_pairs(cell: dict[str, np.ndarray], least: float, fine_least: float, be
         at = at[guess >= least]
         guess = fine_estimate((fine[at] == cell["fine"][i]).sum(axis=1))
         at, guess = at[guess >= fine_least], guess[guess >= fine_least]
+        # A pair that shares several buckets is proposed in the first of them only. That one is
+        # open too, or it holds just these two, and then its leader has settled them.
+        bands = (regs[at] == cell["sketch"][i])[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
+        first = bands.all(axis=2).argmax(axis=1) == cell["band"][i]
+        at, guess = at[first], guess[first]
         if best is not None:
             at = at[np.lexsort((nodes[at], -guess))[:best]]
         yield np.minimum(nodes[at], cell["node"][i]), np.maximum(nodes[at], cell["node"][i])
@@ -281,6 +286,7 @@ def _cross_pairs(least: float, fine_least: float, best: int | None):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["bucket", "low", "high", "node"])
         columns = {c: group[c].to_numpy() for c in ("low", "high", "block", "node", "root", "n")}
+        columns["band"] = group["bucket"].to_numpy() >> 48
         columns["sketch"] = _matrix(group["sketch"])
         columns["fine"] = np.frombuffer(b"".join(group["fine"]), np.uint8).reshape(-1, FINE)
         key = group[["bucket", "low", "high"]].to_numpy()
