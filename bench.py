@@ -44,6 +44,10 @@ HEADLINE = (
     "join_txn_card_type",
     "join_txn_reports",
     "prof_describe",
+    "profile_cardinality",
+    "insight_table_facts",
+    "ingest_all",
+    "convert_report",
     "ml_stratified_split",
     "ml_auc",
 )

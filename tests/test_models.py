@@ -56,6 +56,47 @@ def test_weights_add_up_to_the_rows(toy):
     assert len({r.class_rows * r.weight for r in weights}) == 1
 
 
+def test_the_cap_leaves_test_rows_alone(spark):
+    capped = Task("capped", "id", ("x", "kind"), "y", trees=2, depth=2, text_features=("kind",), max_rows=100)
+    df = spark.createDataFrame(toy_rows(), "id bigint, x double, kind string, y int")
+    fit = training.fit(df, capped)
+    used = fit.rows_used().first()
+    assert (used.train_rows, used.fitted_rows, used.test_rows) == (320, 100, 80)
+    assert fit.scored(fit.forest).count() == 80
+
+
+def test_forest_does_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(training, "ROWS_PER_PART", 90)
+    df = spark.createDataFrame(toy_rows(), "id bigint, x double, kind string, y int")
+    scores = []
+    for layout in (df.repartition(7), df.orderBy(F.col("id").desc()).coalesce(2)):
+        fit = training.fit(layout, TOY)
+        scores.append({r.id: r.score for r in fit.scored(fit.forest).collect()})
+    assert scores[0] == scores[1]
+
+
+def test_scores_that_bunch_up_spread_over_the_cells(spark):
+    n = 200_000
+    scored = spark.range(n).select(
+        (F.lit(0.04) + F.col("id") * (0.0002 / n)).alias("score"),
+        (F.col("id") % 7 == 0).cast("int").alias("label"),
+        F.lit(0).alias("prediction"),
+    )
+    points = evaluation._score_counts(scored, "label", ())
+    edges = points.agg(
+        F.percentile_approx(
+            "score",
+            [i / evaluation.SCORE_CELLS for i in range(1, evaluation.SCORE_CELLS)],
+            10 * evaluation.SCORE_CELLS,
+        ).alias("e")
+    ).first().e
+    cells = points.select(evaluation._cell(F.lit(edges)).alias("c")).groupBy("c").count()
+    assert cells.agg(F.max("count")).first()[0] < n / 100
+    ranked = evaluation.ranked_scores(scored)
+    last = ranked.agg(F.max("cum_pos").alias("p"), F.max("cum_neg").alias("n"), F.first("all_pos").alias("a")).first()
+    assert last.p == last.a and last.p + last.n == n
+
+
 def test_split_keeps_the_class_ratio(toy):
     counts = {(r.is_train, r.y): r["count"] for r in toy.data.groupBy("is_train", "y").count().collect()}
     assert counts == {(True, 0): 240, (True, 1): 80, (False, 0): 60, (False, 1): 20}

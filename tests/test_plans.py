@@ -29,6 +29,12 @@ def test_no_python_and_no_pairwise_join(name, spark, sf_dir):
         assert bad not in plan
 
 
+def test_quantile_edges_are_planned_once(spark, sf_dir):
+    plan = plan_of(QUERIES["desc_segmentation"](spark, sf_dir))
+    assert len(plan) < 100_000
+    assert plan.count("Subquery:") <= 5
+
+
 def scans(df):
     """Columns read per scan."""
     return [set(re.findall(r"(\w+):", s)) for s in re.findall(r"ReadSchema: struct<(.*?)>", plan_of(df))]
