@@ -28,6 +28,7 @@ from ledgerlens.sources.scratch import new_folder
 END_ID = 2
 BLOCK_IDS = 1 << 17
 """Ids of a block; a longer document is a block of its own."""
+BLOCKS_PER_TASK = 32
 TABLE = "table.bin"
 FILE_MAGIC, TAIL = b"LLID0001", "<QLL8s"
 TAIL_SIZE = struct.calcsize(TAIL)
@@ -289,7 +290,9 @@ def read(files: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:
     ``ids`` are little-endian unsigned 32-bit integers. Blocks are spread over all tasks.
     """
     blocks = written(files.select("file", "first").mapInArrow(_blocks(folder), BLOCK), "blocks")
-    dealt = blocks.repartition(F.xxhash64("file", "offset"))
+    # A number of its own keeps the few, small rows from being put into one task.
+    tasks = max(1, -(-blocks.count() // BLOCKS_PER_TASK))
+    dealt = blocks.repartition(tasks, F.xxhash64("file", "offset"))
     return dealt.mapInArrow(_decoded(folder, with_ids), DOCUMENT)
 
 

@@ -15,9 +15,12 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 1_000_000
 """Pieces a worker remembers; the cache starts anew when it is full."""
 
+AT_ONCE = 10_000
+"""Pieces given to the tokenizer together; what it returns is many times the size of the ids."""
+
 LONGEST_PIECE = 64
 """Longer pieces are encoded, not remembered."""
 
@@ -93,7 +96,10 @@ class Encoder:
         if len(self.cache) + len(wanted) > CACHE_WORDS:
             self.cache = {"": b""} if self.drops_blanks else {}
         missing = [p for p in wanted if p not in self.cache]
-        fresh = dict(zip(missing, self._whole([self._unit(p) for p in missing]), strict=True))
+        fresh: dict[str, bytes] = {}
+        for at in range(0, len(missing), AT_ONCE):
+            some = missing[at : at + AT_ONCE]
+            fresh.update(zip(some, self._whole([self._unit(p) for p in some]), strict=True))
         self.cache.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST_PIECE)
         lookup = self.cache if all(len(p) <= LONGEST_PIECE for p in missing) else self.cache | fresh
         whole = iter(self._whole([t for t, p in zip(texts, cut, strict=True) if p is None]))
@@ -111,7 +117,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def batches(texts: list[str], chars: int = 4_000_000):
+def batches(texts: list[str], chars: int = 2_000_000):
     """Consecutive slices of ``texts`` of about ``chars`` characters, one text at least."""
     start = total = 0
     for i, text in enumerate(texts):

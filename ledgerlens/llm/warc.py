@@ -31,6 +31,7 @@ ARCHIVE_BYTES = 256 << 20
 """Size from which a task begins another archive."""
 RANGE_BYTES = 4 << 20
 """Neighbouring records are read together up to this size."""
+RANGES_PER_TASK = 2
 RECORDS, INDEX = "archive/records.warc.gz", "indexes/index.jsonl"
 FORM = "WARC/1.1"
 
@@ -259,9 +260,11 @@ def _read(folder: str, with_payload: bool):
 def read(archives: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """All records of ``archives (archive)`` in ``folder``; payloads are checked and may be left out."""
     ranges = archives.mapInArrow(_places(folder), "archive string, offset long, lengths array<long>")
-    # A few ranges a task, whatever the size of the archives.
+    # A few ranges a task, whatever the size of the archives; a number of its own keeps the few,
+    # small rows from being put into one task.
     spread = written(ranges, "ranges")
-    dealt = spread.repartition(F.xxhash64("archive", "offset"))
+    tasks = max(1, -(-spread.count() // RANGES_PER_TASK))
+    dealt = spread.repartition(tasks, F.xxhash64("archive", "offset"))
     return dealt.mapInArrow(_read(folder, with_payload), RECORD)
 
 
