@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.schema import TABLES
+from ledgerlens.schema import EVENT_TABLES, TABLES
 from ledgerlens.sources.catalog import read_table
 from ledgerlens.sources.files import read_csv, read_exported_parquet, require_tables
 
@@ -39,10 +39,21 @@ class Bank(Mapping[str, DataFrame]):
         return cls(lambda t: read_exported_parquet(spark, f"{folder}/{t}.parquet", t), spark)
 
     @classmethod
-    def from_csv(cls, spark: SparkSession, folder: str, suffix: str = ".csv") -> Bank:
-        """``<folder>/<table>.csv`` or, with the suffix ``.csv.gz``, gzip files."""
+    def from_csv(
+        cls, spark: SparkSession, folder: str, suffix: str = ".csv",
+        partitions: int | None = None, multiline: bool = False,
+    ) -> Bank:
+        """``<folder>/<table>.csv`` or, with the suffix ``.csv.gz``, gzip files.
+
+        A gzip file is read by one task; ``partitions`` spreads the rows of event tables after it.
+        """
         require_tables(spark, folder, suffix=suffix)
-        return cls(lambda t: read_csv(spark, f"{folder}/{t}{suffix}", t), spark)
+
+        def load(table: str) -> DataFrame:
+            parts = partitions if table in EVENT_TABLES else None
+            return read_csv(spark, f"{folder}/{table}{suffix}", table, parts, multiline)
+
+        return cls(load, spark)
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str) -> Bank:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.schema import KEYS
 
+# Connections that read one table at a time.
+DEFAULT_PARTITIONS = 16
 # Environment variables that hold the connection.
 ENV_URL = "BANK_WAREHOUSE_URL"
 ENV_USER = "BANK_WAREHOUSE_USER"
@@ -78,7 +80,12 @@ class Warehouse:
             return None
         return KeyRange(int(row[0]), int(row[1]), partitions)
 
-    def read(self, spark: SparkSession, table: str, partitions: int = 1) -> DataFrame:
-        """Lazy frame over the whole table; filters and columns are pushed to the warehouse."""
+    def read(
+        self, spark: SparkSession, table: str, partitions: int = DEFAULT_PARTITIONS
+    ) -> DataFrame:
+        """Lazy frame over the whole table; filters and columns are pushed to the warehouse.
+
+        The table is read in ``partitions`` ranges of its key; one asks for no key range.
+        """
         span = self.key_range(spark, table, partitions) if partitions > 1 else None
         return spark.read.format("jdbc").options(**self.options(table, span)).load()
