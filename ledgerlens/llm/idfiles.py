@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import rans, tokens
-from ledgerlens.llm.common import read_table, slices, written
+from ledgerlens.llm.common import read_table, written
 from ledgerlens.sources.scratch import new_folder
 
 END_ID = 2
 BLOCK_IDS = 1 << 17
 """Ids of a block; a longer document is a block of its own."""
 BLOCKS_PER_TASK = 32
+ROWS_AT_ONCE = 256
+"""Documents whose texts and ids a worker holds at a time."""
 TABLE = "table.bin"
 FILE_MAGIC, TAIL = b"LLID0001", "<QLL8s"
 TAIL_SIZE = struct.calcsize(TAIL)
@@ -44,15 +46,12 @@ def _encoded(path: str, end_id: int, kind: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-            at = 0
-            for some in slices([len(t) for t in texts], 8_000_000):
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                texts = ["" if t is None else t for t in part.column("text").to_pylist()]
                 found = [
-                    ids.astype(kind).tobytes()
-                    for ids in tokens.encode_all(path, texts[some], end_id)
+                    ids.astype(kind).tobytes() for ids in tokens.encode_all(path, texts, end_id)
                 ]
-                part = batch.slice(at, len(found))
-                at += len(found)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "ids"]
                 )

@@ -18,7 +18,7 @@ import numpy as np
 CACHE_WORDS = 1_000_000
 """Pieces a worker remembers; the cache starts anew when it is full."""
 
-AT_ONCE = 10_000
+AT_ONCE = 4_000
 """Pieces given to the tokenizer together; what it returns is many times the size of the ids."""
 
 LONGEST_PIECE = 64
@@ -117,7 +117,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def batches(texts: list[str], chars: int = 2_000_000):
+def batches(texts: list[str], chars: int = 1_000_000):
     """Consecutive slices of ``texts`` of about ``chars`` characters, one text at least."""
     start = total = 0
     for i, text in enumerate(texts):
