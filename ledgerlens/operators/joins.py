@@ -49,9 +49,10 @@ def report_history(
 
     ``days`` is unique by ``(key, day)``; other columns pass through. A join of every event with
     every report of its customer would emit all pairs of a group; counting needs none of them.
-    Reports are counted per day, both sides are laid on one time line, and a running sum gives the
-    reports so far. A group has at most one row per calendar day and side, however many events its
-    key has.
+    Reports are counted per day (or instant), both sides are laid on one time line, and a running sum
+    gives the reports so far. It runs within the month; what earlier months hold comes from one row
+    per key and month. So a task holds one month of a key, also where days are timestamps and a
+    busy key has a row for every instant.
     """
     events = days.withColumns({"_filed": F.lit(0).cast("bigint"), "_event": F.lit(True)})
     filed = (
@@ -60,17 +61,30 @@ def report_history(
         .agg(F.count(F.lit(1)).alias("_filed"))
         .withColumn("_event", F.lit(False))
     )
-    same_key = W.partitionBy(key)
-    so_far = same_key.orderBy(F.col(day).asc_nulls_first()).rangeBetween(
+    line = events.unionByName(filed, allowMissingColumns=True)
+    # Reports without a day are in a month of their own, before all others, and prior to nothing.
+    line = line.withColumn("_month", F.date_trunc("month", F.col(day)))
+    dated = F.when(F.col(day).isNotNull(), F.col("_filed")).otherwise(F.lit(0))
+    months = line.groupBy(F.col(key).alias("_key"), F.col("_month").alias("_of")).agg(
+        F.sum("_filed").alias("_all"), F.sum(dated).alias("_dated")
+    )
+    whole = W.partitionBy("_key")
+    earlier = whole.orderBy(F.col("_of").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    months = months.select(
+        "_key",
+        "_of",
+        F.sum("_all").over(whole).alias("n_reports"),
+        F.coalesce(F.sum("_dated").over(earlier), F.lit(0)).alias("_before"),
+    )
+    so_far = W.partitionBy(key, "_month").orderBy(F.col(day)).rangeBetween(
         W.unboundedPreceding, W.currentRow
     )
-    dated = F.when(F.col(day).isNotNull(), F.col("_filed")).otherwise(F.lit(0))
+    counted = line.withColumn("_within", F.sum(dated).over(so_far)).filter("_event")
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_month").eqNullSafe(F.col("_of"))
     return (
-        events.unionByName(filed, allowMissingColumns=True)
-        .withColumn("n_reports", F.sum("_filed").over(same_key))
-        .withColumn("n_prior_reports", F.sum(dated).over(so_far))
-        .filter("_event")
-        .drop("_filed", "_event")
+        counted.join(months, same)
+        .withColumn("n_prior_reports", F.col("_before") + F.col("_within"))
+        .drop("_filed", "_event", "_month", "_within", "_key", "_of", "_before")
     )
 
 

@@ -1,5 +1,6 @@
 """Joins, cross tables, rankings, sampling and quantiles against brute force."""
 
+import datetime as dt
 import random
 from collections import Counter
 
@@ -95,6 +96,20 @@ def test_report_history_equals_the_pairwise_join(spark):
     assert rows(got, "c", "d", "n_reports", "n_prior_reports") == pairs_by_hand(events, reports)
 
 
+def test_report_history_with_times_over_several_months(spark):
+    rng = random.Random(8)
+    whens = [dt.datetime(2001, 1, 30) + dt.timedelta(hours=7 * i) for i in range(200)] + [None]
+    pick = lambda: rng.choice([1, 1, 1, 2, None])
+    events = sorted({(pick(), rng.choice(whens)) for _ in range(150)}, key=repr)
+    reports = [(pick(), rng.choice(whens)) for _ in range(80)]
+    got = joins.report_history(
+        spark.createDataFrame(events, "c int, d timestamp"),
+        spark.createDataFrame(reports, "c int, r timestamp"),
+        "c", "d", "r",
+    )
+    assert rows(got, "c", "d", "n_reports", "n_prior_reports") == pairs_by_hand(events, reports)
+
+
 def test_report_history_group_is_bounded_by_days(spark):
     """A hot key with very many events reaches the window as one row per day."""
     hot = spark.range(20_000).select(
