@@ -5,7 +5,8 @@ the fraction is an inclusion probability. Probabilities move along the null spac
 constraints, tokens and documents, three units at a time, until they are 0 or 1, so both totals
 hold at every step. Sources are cut into blocks for this; a block leaves two undecided units at
 most, which meet in blocks of the next level until one block a source is left. What it leaves is
-the landing: the rounding of two units that misses the source's tokens least.
+the landing: the rounding of two units that misses the source's tokens least. What the roundings of
+a source miss in all is then made up by turning decided units of that source.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ BLOCK = 4_000
 HOT_ROWS = 1_000
 """Rows with one doc_id from which they are dealt to different blocks."""
 SEED = 11
-MAKE_UP = 64
-"""Most drawn units of a source that the landing turns."""
+RANGES = 65_536
+"""Ranges of the draw among which units of one source and size are counted."""
 
 
 def words(text="text") -> F.Column:
@@ -114,7 +115,7 @@ def landing(start: list[float], chances: list[float], sizes: list[int]) -> list[
     """Round the open chances so that the total size is missed least, then the count.
 
     A single very long unit may stay open to the end. What its rounding misses is made up by units
-    that were drawn before, as long as turning one of them brings the total closer.
+    that were drawn before in this block, as long as turning one brings the total closer.
     """
     open_units = [i for i, x in enumerate(chances) if 0 < x < 1]
     p, size = np.array(chances, float), np.array(sizes, float)
@@ -131,7 +132,7 @@ def landing(start: list[float], chances: list[float], sizes: list[int]) -> list[
             ),
         )
     free = np.array([0 < x < 1 for x in start], bool)
-    for _ in range(MAKE_UP):
+    while True:  # ends, as every turn brings the total closer
         miss = float((p * size).sum()) - wanted
         after = np.where(free, np.abs(miss + np.where(p > 0.5, -size, size)), np.inf)
         if not len(after) or after.min() >= abs(miss):
@@ -157,6 +158,68 @@ def _decide(seed: int, level: int, last: bool):
     return run
 
 
+def _turns(cells: pd.DataFrame) -> pd.DataFrame:
+    """Units to turn of each size of a source, largest first, then one more if that is closer."""
+    cells = cells.sort_values("size", ascending=False).reset_index(drop=True)
+    rest, take = abs(float(cells["miss"].iloc[0])), []
+    for size, n in zip(cells["size"].tolist(), cells["n"].tolist(), strict=True):
+        take.append(min(n, int(rest // size)))
+        rest -= take[-1] * size
+    cells["take"] = take
+    after = np.where(cells["take"] < cells["n"], np.abs(rest - cells["size"]), np.inf)
+    if after.min() < rest:
+        cells.loc[int(after.argmin()), "take"] += 1
+    return cells.loc[cells["take"] > 0, ["of", "size", "n", "take"]]
+
+
+def settled(done: DataFrame, seed: int) -> DataFrame:
+    """``done`` with decided units turned until each source is as near its target as they allow.
+
+    A source that took too much gives drawn units back, one that took too little draws more;
+    certain units stay. Counts by source and size say how many of each size are turned, counts by
+    range of the draw which ones, so no more than the units of one range are ranked together.
+    """
+    of = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    units = done.select(
+        "row",
+        of.alias("of"),
+        "size",
+        "target",
+        "chance",
+        F.floor(wanted).alias("base"),
+        (wanted - F.floor(wanted)).alias("start"),
+        F.pmod(F.xxhash64("doc_id", "row", F.lit(seed)), F.lit(2**62)).alias("draw"),
+    )
+    taken = F.sum(F.col("size") * (F.col("base") + F.col("chance")))
+    misses = units.groupBy("of").agg((taken - F.first("target")).alias("miss"))
+    misses = written(misses.filter("abs(miss) > 0.5"), "misses")
+    # Turning a unit of twice the miss or more brings nothing closer.
+    free = units.filter("start > 0 and start < 1 and size > 0").join(misses, "of").filter(
+        F.col("size") < 2 * F.abs("miss")
+    ).filter(F.col("chance") == F.when(F.col("miss") > 0, 1.0).otherwise(0.0))
+    free = written(free.select("row", "of", "size", "draw", "miss"), "free")
+    cells = free.groupBy("of", "size").agg(F.count("*").alias("n"), F.first("miss").alias("miss"))
+    turns = written(
+        cells.groupBy("of").applyInPandas(_turns, "of string, size long, n long, take long"), "turns"
+    )
+    within = F.floor(F.col("draw") / (2**62 // RANGES)).alias("range")
+    some = free.join(turns.filter("take < n").drop("n"), ["of", "size"]).select(
+        "row", "of", "size", "draw", "take", within
+    )
+    ranges = some.groupBy("of", "size", "range").agg(F.count("*").alias("n"))
+    running = Window.partitionBy("of", "size").orderBy("range")
+    ranges = ranges.withColumn("before", F.sum("n").over(running) - F.col("n"))
+    some = some.join(ranges.drop("n"), ["of", "size", "range"]).filter("before < take")
+    order = Window.partitionBy("of", "size", "range").orderBy("draw", "row")
+    some = some.withColumn("turn", F.row_number().over(order) + F.col("before"))
+    whole = free.join(turns.filter("take = n").select("of", "size"), ["of", "size"])
+    turned = whole.select("row").union(some.filter("turn <= take").select("row"))
+    turned = written(turned.withColumn("turned", F.lit(True)), "turned")
+    other = F.when(F.col("turned"), 1 - F.col("chance")).otherwise(F.col("chance"))
+    return done.join(turned, "row", "left").withColumn("chance", other).drop("turned")
+
+
 def mix(rows: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED) -> DataFrame:
     """``row, doc_id, size, source, source_size, target, copies`` for ``rows (row, doc_id, source,
     size)``, one row each.
@@ -196,8 +259,8 @@ def mix(rows: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED) ->
         found = written(
             rows.groupBy("source", "block").applyInPandas(_decide(seed, level, last), ROW), "flight"
         )
-        settled = found if last else found.filter("chance = 0 or chance = 1")
-        done = settled if done is None else done.union(settled)
+        fixed = found if last else found.filter("chance = 0 or chance = 1")
+        done = fixed if done is None else done.union(fixed)
         if last:
             break
         # A block leaves two units at most, so this many blocks make one block of the next level.
@@ -209,6 +272,7 @@ def mix(rows: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED) ->
     base = F.when(
         F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))
     ).otherwise(0)
+    done = settled(done, seed)
     return done.withColumn("copies", (base + F.col("chance")).cast("long")).drop("chance")
 
 

@@ -86,6 +86,36 @@ def test_sources_come_near_their_targets(spark, monkeypatch):
     assert sorted(map(key, found)) == sorted(map(key, again))
 
 
+@pytest.mark.parametrize("block", [150, 450])
+def test_a_long_document_is_made_up_beside_a_large_source(spark, monkeypatch, block):
+    """Sources of one block and of several, each with one very long document, null source too."""
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    rng = random.Random(5)
+    rows = [(i, "a-large", rng.randint(300, 700)) for i in range(1200)]
+    at = 10_000
+    for source in ("b", "c", "d", None):
+        rows += [(at + i, source, rng.randint(300, 700)) for i in range(400)]
+        rows.append((at + 400, source, 100_000))
+        at += 1000
+    found = mixing.mix(rows_of(spark, rows), weights=(5, 2, 2, 1, 2), share=0.7).collect()
+    assert len(found) == len(rows)
+    by = {}
+    for r in found:
+        by.setdefault(r["source"], []).append(r)
+    for source, own in by.items():
+        wanted = own[0]["target"] / own[0]["source_size"]
+        assert all(int(wanted) <= r["copies"] <= int(wanted) + 1 for r in own)
+        taken = sum(r["copies"] * r["size"] for r in own)
+        assert abs(taken - own[0]["target"]) <= 300, source
+
+
+def test_turned_units_of_one_size_are_counted_out(spark):
+    done = [(i, i, 5, "s", 5000, 2000.0, 1.0 if i < 700 else 0.0) for i in range(1000)]
+    found = mixing.settled(spark.createDataFrame(done, mixing.ROW), 1).collect()
+    assert sum(r["chance"] for r in found) == 400 and len({r["row"] for r in found}) == 1000
+    assert all(r["chance"] == 0 for r in found if r["row"] >= 700)
+
+
 def test_empty_and_wordless(spark, documents):
     assert mixing.mix(rows_of(spark, [])).count() == 0
     found = mixing.mix(rows_of(spark, [(1, "a", 0), (2, None, 0)])).collect()
