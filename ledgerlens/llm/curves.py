@@ -2,12 +2,13 @@
 
 Vectors are projected on a few random directions, cut into cells (shifted anew for each curve) and
 ordered along a Hilbert curve. Each of several such orders is range-partitioned by Spark and cut
-into blocks of consecutive rows; a query looks at its own block and its neighbours on every curve.
-Windows compare vectors rounded to 8 bits and keep a few partners each; these merge and are ranked
-by the cosine of the original vectors in double precision.
+into blocks of consecutive rows; a query looks at its own block and its neighbours on every curve. Within a
+cell each curve orders by a direction of its own, so that a cluster in one cell is not cut alike by
+all curves. Windows compare the vectors in double precision and keep as many partners as an answer
+holds, so a window loses none of the nearest it sees; partners merge and are ranked by cosine.
 
-Equal vectors are one entry of the index, with as many of their smallest ids as an answer can
-hold, so a vector that a third of all rows share is no hot spot.
+Vectors of one direction are one entry of the index, with as many of their smallest ids as an
+answer can hold, so a vector that a third of all rows share is no hot spot.
 
 On vectors without cluster structure near neighbours are hardly nearer than others, and windows
 must cover a fixed share of all rows to find nine of ten; that share is a parameter.
@@ -35,8 +36,6 @@ SHARE = 0.02
 """Share of all entries that a query looks at on each side of it, on every curve."""
 SAMPLE = 2_000
 """Vectors that the cell borders are fitted on; every vector is indexed."""
-KEEP = 8
-"""Partners that a window keeps for each query."""
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -73,6 +72,7 @@ class Curves:
 
     directions: np.ndarray
     borders: np.ndarray
+    within: np.ndarray
 
     @classmethod
     def fit(cls, sample: np.ndarray, curves: int = CURVES) -> Curves:
@@ -86,7 +86,7 @@ class Curves:
             for a in range(AXES):
                 at = (np.arange(1, cells) + rng.uniform(-0.5, 0.5)) / cells
                 borders[c, a] = np.quantile(along[:, a], at)
-        return cls(directions, borders)
+        return cls(directions, borders, rng.normal(size=(curves, sample.shape[1])))
 
     def keys(self, vectors: np.ndarray, curve: int) -> np.ndarray:
         along = vectors @ self.directions[curve]
@@ -102,17 +102,51 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
+def directions(vectors: np.ndarray) -> np.ndarray:
+    """Vectors divided by their largest component: the same doubles for all that are parallel."""
+    return vectors / np.abs(vectors).max(axis=1, keepdims=True) + 0.0
+
+
+def decoded(codes, size: int) -> np.ndarray:
+    """Directions of vectors that are stored as bytes of floats or doubles."""
+    rows = [np.frombuffer(c, np.float32 if len(c) == 4 * size else np.float64) for c in codes]
+    return directions(np.array(rows, np.float64).reshape(len(rows), size))
+
+
+def _directed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Direction of each vector, and its bytes as floats where those hold it exactly."""
+    for batch in batches:
+        vectors = packed(batch.column("vector"))
+        ways, codes = [], []
+        for v in map(np.frombuffer, vectors):
+            with np.errstate(over="ignore", under="ignore"):
+                short = v.astype(np.float32)
+            ways.append(directions(v[None])[0].tobytes())
+            codes.append((short if (short == v).all() else v).tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("vec_id"),
+                batch.column("asks"),
+                pa.array([len(v) // 8 for v in vectors], pa.int32()),
+                pa.array(ways, pa.binary()),
+                pa.array(codes, pa.binary()),
+            ],
+            names=["vec_id", "asks", "size", "direction", "code"],
+        )
+
+
+DIRECTED = "vec_id long, asks boolean, size int, direction binary, code binary"
+
+
 def _entries(fitted: dict[int, Curves]):
-    """One row per entry and curve, with the vector rounded to bytes."""
+    """One row per entry and curve: its cell, and its place within the cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("size").to_numpy()
             for size in np.unique(sizes).tolist():
                 some = batch.filter(pa.array(sizes == size))
-                vectors = unit(stacked(packed(some.column("vector"))))
-                codes = np.rint(vectors * 127).astype(np.int8)
-                codes = pa.array([c.tobytes() for c in codes], pa.binary())
+                vectors = unit(decoded(some.column("code").to_pylist(), size))
                 own = fitted[size]
                 for curve in range(len(own.directions)):
                     n = len(vectors)
@@ -121,17 +155,17 @@ def _entries(fitted: dict[int, Curves]):
                             pa.array(np.full(n, curve, np.int32)),
                             some.column("size"),
                             pa.array(own.keys(vectors, curve)),
+                            pa.array(vectors @ own.within[curve]),
                             some.column("entry"),
                             some.column("asks"),
-                            codes,
                         ],
-                        names=["curve", "size", "key", "entry", "asks", "code"],
+                        names=["curve", "size", "key", "within", "entry", "asks"],
                     )
 
     return run
 
 
-ENTRY = "curve int, size int, key long, entry long, asks boolean, code binary"
+ENTRY = "curve int, size int, key long, within double, entry long, asks boolean"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,20 +185,29 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window(keep: int):
-    """Best partners of each query among the rows of one block."""
+    """Best partners of each query among the rows of one block, its own entry aside."""
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
         rows, asked = cell[~cell["visits"]], cell[cell["visits"]]
         found_q, found_r = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(rows) and len(asked):
-            left = stacked(asked["code"], np.int8).astype(np.float32)
-            right = stacked(rows["code"], np.int8).astype(np.float32)
-            right /= np.sqrt((right * right).sum(axis=1, keepdims=True))
-            near = left @ right.T
-            most = min(keep, len(rows))
-            picked = np.argpartition(-near, most - 1, axis=1)[:, :most]
-            found_q.append(np.repeat(asked["entry"].to_numpy(), most))
-            found_r.append(rows["entry"].to_numpy()[picked].ravel())
+            size = int(cell["size"].iloc[0])
+            left, right = decoded(asked["code"], size), decoded(rows["code"], size)
+            near = unit(left) @ unit(right).T
+            ids, queries = rows["entry"].to_numpy(), asked["entry"].to_numpy()
+            near[queries[:, None] == ids] = -np.inf
+            # What rounding may move across the last place is compared by the final score.
+            slack = 8 * size * np.finfo(np.float64).eps
+            for q, scores in enumerate(near):
+                picked = np.flatnonzero(scores > -np.inf)
+                if len(picked) > keep:
+                    last = np.partition(scores, len(scores) - keep)[len(scores) - keep]
+                    picked = np.flatnonzero(scores >= last - slack)
+                if len(picked) > keep:
+                    exact = np.array([cosine(left[q], right[r]) for r in picked])
+                    picked = picked[np.lexsort((ids[picked], -exact))[:keep]]
+                found_q.append(np.full(len(picked), queries[q]))
+                found_r.append(ids[picked])
         return pd.DataFrame({"asking": np.concatenate(found_q), "entry": np.concatenate(found_r)})
 
     return run
@@ -172,8 +215,11 @@ def _window(keep: int):
 
 def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pairs = zip(packed(batch.column("left")), packed(batch.column("right")), strict=True)
-        score = [cosine(np.frombuffer(a), np.frombuffer(b)) for a, b in pairs]
+        columns = (batch.column(c).to_pylist() for c in ("left", "right", "size"))
+        score = [
+            cosine(*(decoded([x], size)[0] for x in (a, b)))
+            for a, b, size in zip(*columns, strict=True)
+        ]
         yield pa.RecordBatch.from_arrays(
             [batch.column("asking"), batch.column("entry"), pa.array(score, pa.float64())],
             names=["asking", "entry", "score"],
@@ -194,17 +240,23 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, share: float
     lengths never meet. See ``usable`` for other rows that take no part and for repeated ids.
     """
     rows = usable(embeddings).filter(F.exists("vector", lambda x: x != 0))
-    rows = written(rows.withColumn("asks", F.col("vec_id") % every == 0), "vectors")
-    # The k + 1 smallest ids of equal vectors; Spark cuts each group before it is shuffled.
-    order = Window.partitionBy("vector").orderBy("vec_id")
+    rows = rows.withColumn("asks", F.col("vec_id") % every == 0)
+    rows = written(rows.mapInArrow(_directed, DIRECTED), "vectors")
+    # The k + 1 smallest ids of one direction; Spark cuts each group before it is shuffled.
+    order = Window.partitionBy("direction").orderBy("vec_id")
     low = rows.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= k + 1)
-    members = low.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    asked = rows.filter("asks").select("vector", F.lit(True).alias("asks")).distinct()
-    entries = members.join(asked, "vector", "left").select(
+    members = low.groupBy("direction").agg(
+        F.array_sort(F.collect_list("vec_id")).alias("ids"),
+        F.min_by("code", "vec_id").alias("code"),
+        F.first("size").alias("size"),
+    )
+    asked = rows.filter("asks").select("direction", F.lit(True).alias("asks")).distinct()
+    entries = members.join(asked, "direction", "left").select(
         F.element_at("ids", 1).alias("entry"),
         "ids",
-        "vector",
-        F.size("vector").alias("size"),
+        "direction",
+        "code",
+        "size",
         F.coalesce("asks", F.lit(False)).alias("asks"),
     )
     entries = written(entries, "entries")
@@ -212,11 +264,12 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, share: float
     fitted = {}
     for size in sizes:
         some = entries.filter(F.col("size") == size).orderBy(F.xxhash64("entry")).limit(SAMPLE)
-        fitted[size] = Curves.fit(unit(np.array([r["vector"] for r in some.select("vector").collect()])))
-    keyed = written(entries.mapInArrow(_entries(fitted), ENTRY), "keys")
+        fitted[size] = Curves.fit(unit(stacked(r["direction"] for r in some.select("direction").collect())))
+    asking = entries.select("entry", "size", "code", "asks")
+    keyed = written(asking.mapInArrow(_entries(fitted), ENTRY), "keys")
     parts = max(8, -(-sum(sizes.values()) * CURVES // (128 * BLOCK)))
-    sorted_rows = keyed.repartitionByRange(parts, "curve", "size", "key", "entry")
-    sorted_rows = sorted_rows.sortWithinPartitions("curve", "size", "key", "entry")
+    sorted_rows = keyed.repartitionByRange(parts, "curve", "size", "key", "within", "entry")
+    sorted_rows = sorted_rows.sortWithinPartitions("curve", "size", "key", "within", "entry")
     cut = sorted_rows.mapInArrow(_chunks, f"{ENTRY}, chunk long")
     cut = written(cut.withColumn("part", F.spark_partition_id()), "chunks")
     # Blocks of a curve are numbered through: one small row for each partition and curve.
@@ -233,18 +286,22 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, share: float
         F.create_map(*[F.lit(x) for pair in reach.items() for x in pair]), F.col("size")
     )
     around = F.sequence(F.col("block") - wide, F.col("block") + wide)
-    columns = ["curve", "size", "block", "entry", "code", "visits"]
-    visits = blocks.filter("asks").withColumn("block", F.explode(around))
-    cells = blocks.withColumn("visits", F.lit(False)).select(columns).union(
-        visits.withColumn("visits", F.lit(True)).select(columns)
-    )
+    # A row stands in its own block, and a query also visits the blocks around it.
+    here = F.array(F.struct(F.col("block"), F.lit(False).alias("visits")))
+    visited = F.transform(around, lambda b: F.struct(b.alias("block"), F.lit(True).alias("visits")))
+    places = F.when(F.col("asks"), F.concat(here, visited)).otherwise(here)
+    cells = blocks.join(entries.select("entry", "code"), "entry").select(
+        "curve", "size", "entry", "code", F.explode(places).alias("place")
+    ).select("curve", "size", "place.block", "entry", "code", "place.visits")
     pairs = cells.groupBy("curve", "size", "block").applyInPandas(
-        _window(KEEP), "asking long, entry long"
+        _window(k), "asking long, entry long"
     )
-    left = entries.select(F.col("entry").alias("asking"), F.col("vector").alias("left"))
-    right = entries.select("entry", F.col("vector").alias("right"))
-    scored = pairs.distinct().join(left, "asking").join(right, "entry").select(
-        "asking", "entry", "left", "right"
+    # Other ids of a query's own entry are its nearest, and no window has to find them.
+    same = entries.filter("asks").select(F.col("entry").alias("asking"), "entry")
+    left = entries.select(F.col("entry").alias("asking"), F.col("code").alias("left"))
+    right = entries.select("entry", "size", F.col("code").alias("right"))
+    scored = pairs.distinct().union(same).join(left, "asking").join(right, "entry").select(
+        "asking", "entry", "size", "left", "right"
     ).mapInArrow(_cosines, "asking long, entry long, score double")
     # Every entry stands for its smallest ids; k + 1 of them hold the answer of each query.
     listed = scored.join(entries.select("entry", "ids"), "entry").select(
@@ -257,9 +314,10 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, share: float
     lists = listed.groupBy("asking").agg(
         F.array_sort(F.collect_list(F.struct("turn", "vec_id", "score"))).alias("found")
     )
-    lists = lists.join(left, "asking").select(F.col("left").alias("vector"), "found")
-    asking = rows.filter("asks").select(F.col("vec_id").alias("query_id"), "vector")
-    answers = asking.join(written(lists, "answers"), "vector").select(
+    ways = entries.select(F.col("entry").alias("asking"), "direction")
+    lists = lists.join(ways, "asking").select("direction", "found")
+    asking = rows.filter("asks").select(F.col("vec_id").alias("query_id"), "direction")
+    answers = asking.join(written(lists, "answers"), "direction").select(
         "query_id",
         F.posexplode(
             F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)

@@ -103,6 +103,33 @@ def test_nearest_finds_nine_of_ten_and_all_copies(spark):
     assert [c for _, c, _ in sorted(found[0])] == [5000, 5001, 5002, 5003, 5004]
 
 
+def test_nearest_within_clusters_of_near_copies(spark):
+    """Clusters below and above the rows of a window, tight and tighter, and parallel vectors."""
+    rng = np.random.default_rng(9)
+    parts = []
+    for n, spread in ((60, 0.05), (300, 0.02), (300, 1e-4), (2500, 0.02)):
+        parts.append(rng.normal(size=64) + spread * rng.normal(size=(n, 64)))
+    parts.append(rng.integers(1, 9, 64) * np.arange(1, 61)[:, None] / 8)
+    values = np.concatenate(parts).astype(np.float32)
+    labels = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(values)]
+    found = {}
+    for r in curves.nearest(table(spark, rows), every=20).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    units = curves.unit(values.astype(np.float64))
+    hits = {}
+    for q in range(0, len(rows), 20):
+        scores = units @ units[q]
+        scores[q] = -2
+        if labels[q] == 4:  # all alike: the smallest ids win
+            same = [i for i in np.flatnonzero(labels == 4).tolist() if i != q][:5]
+            assert [c for _, c in sorted(found[q])] == same
+            continue
+        best = set(np.argsort(-scores, kind="stable")[:5].tolist())
+        hits.setdefault(int(labels[q]), []).append(len(best & {c for _, c in found[q]}) / 5)
+    assert all(np.mean(own) >= 0.9 for own in hits.values()), {c: np.mean(o) for c, o in hits.items()}
+
+
 def test_hilbert_visits_every_cell_by_single_steps():
     side = 8
     cells = np.stack(np.meshgrid(*[np.arange(side)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
