@@ -50,7 +50,7 @@ PERSON = (
     rf"|(?:{_GIVEN_WORDS}) {NAME})"
 )
 SECRET_KEYS = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
-SECRET = rf"(?=[pPsStTaA])(?i:{SECRET_KEYS} ?[=:] ?[\"']?)[^\s\"',;]{{6,200}}"
+SECRET = rf"(?=[pPsStTaA])(?i:{SECRET_KEYS} ?[=:] ?[\"']?)[^\s\"',;]{{6,}}+"
 AWS = r"A(?:KIA|SIA)[0-9A-Z]{16}\b"
 EMAIL = r"(?=[\p{L}\p{N}._%+-])(?<![._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -133,15 +133,24 @@ def canonical(kind: Column, found: Column) -> Column:
 
 def _drawn(key: str, kind: Column, seed: Column, value: Column, attempt: Column, hexed) -> Column:
     """``value`` with every letter and digit replaced, by a stream keyed on ``seed``."""
-    stream = F.array_join(
-        F.transform(
-            F.sequence(F.lit(0), F.floor(F.greatest(F.length(value) - 1, F.lit(0)) / 32)),
-            lambda b: F.sha2(F.concat_ws("|", F.lit(key), kind, attempt, b, seed), 256),
-        ),
-        "",
+    # Numbers and characters are arrays and blocks hash a digest of the seed, so that a long value
+    # takes time in proportion to its length.
+    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.length(value) - 1, F.lit(0)) / 32))
+
+    def block(b: Column, seeded: Column) -> Column:
+        return let(
+            F.sha2(F.concat_ws("|", F.lit(key), kind, attempt, b, seeded), 256),
+            lambda digest: F.transform(
+                F.sequence(F.lit(1), F.lit(63), F.lit(2)),
+                lambda at: F.conv(F.substring(digest, at, F.lit(2)), 16, 10).cast("int"),
+            ),
+        )
+
+    stream = let(
+        F.sha2(seed, 256), lambda seeded: F.flatten(F.transform(blocks, lambda b: block(b, seeded)))
     )
 
-    def drawn_from(stream: Column, char: Column, lower: Column, number: Column) -> Column:
+    def drawn_from(char: Column, lower: Column, number: Column) -> Column:
         def of(alphabet: str) -> Column:
             return F.substring(F.lit(alphabet), number % len(alphabet) + 1, F.lit(1))
 
@@ -158,17 +167,11 @@ def _drawn(key: str, kind: Column, seed: Column, value: Column, attempt: Column,
         drawn = drawn.when(F.rlike(char, F.lit(r"^\p{L}$")), of(LATIN)).otherwise(lower)
         return let(drawn, lambda d: F.when(char == lower, d).otherwise(F.upper(d)))
 
-    def draw(stream: Column, i: Column) -> Column:
-        number = F.conv(F.substring(stream, 2 * i - 1, F.lit(2)), 16, 10).cast("int")
-        return let(
-            F.struct(F.substring(value, i, F.lit(1)).alias("c"), number.alias("n")),
-            lambda x: let(
-                F.lower(x["c"]), lambda lower: drawn_from(stream, x["c"], lower, x["n"])
-            ),
-        )
+    def draw(char: Column, number: Column) -> Column:
+        return let(F.lower(char), lambda lower: drawn_from(char, lower, number))
 
-    every = F.sequence(F.lit(1), F.length(value))
-    drawn = let(stream, lambda s: F.array_join(F.transform(every, lambda i: draw(s, i)), ""))
+    numbers = F.slice(stream, F.lit(1), F.length(value))
+    drawn = F.array_join(F.zip_with(F.split(value, ""), numbers, draw), "")
     return F.when(F.length(value) == 0, value).otherwise(drawn)
 
 

@@ -67,6 +67,16 @@ def test_secrets_keep_their_form(shown):
     assert key not in shown[0][4] and ssn not in shown[0][4]
 
 
+@pytest.mark.parametrize("size", [201, 1_000, 10_000])
+def test_long_secrets_are_replaced_to_their_end(documents, size):
+    value = "".join("aB3_x-9.Q"[i % 9] if i % 7 else "zK5"[i % 3] for i in range(size))
+    new = replaced(documents, [f'token = "{value}" and x', f"password={value}"])
+    token = re.fullmatch(r'token = "([^"]*)" and x', new[0])[1]
+    assert new[1] == f"password={token}" and len(token) == size
+    # By chance some letters stay; no run of the value does.
+    assert not any(value[i : i + 12] in token for i in range(size - 11))
+
+
 def test_names_keep_gender_and_script(shown):
     title, first, last, other, last_2, last_3, anna, rest, muller = re.match(
         r"(Mrs\.) (\w+) (\w+) met (\w+) (\w+) and Mr\. (\w+)\. (\w+) (\w+) und Herr (\w+)", shown[1][5]
