@@ -43,19 +43,29 @@ def read_date(value: Column | str, formats: Sequence[str] = DATE_FORMATS) -> Col
 
 
 def read_number(value: Column | str, kind: T.DataType) -> Column:
-    """Number of a text; what is no number of that kind is null, and nothing is rounded.
+    """Number of a text; what is no number of that kind is null.
 
-    Amounts get eight decimals, so rates such as 8.375 stay as they are. An amount with more
-    decimals than that counts as unreadable.
+    Amounts get eight decimals, so rates such as 8.375 stay as they are. A float written in full,
+    such as 0.30000000000000004 or 33.333333333333336, is rounded to them; an amount of fewer than
+    FLOAT_DIGITS digits with more decimals counts as unreadable. An integer may be written as a
+    float without a fraction, such as 12.0 or 1e+16.
     """
     value = F.trim(F.col(value) if isinstance(value, str) else value)
-    if not isinstance(kind, T.DecimalType):
-        return value.try_cast(kind)
-    found = value.try_cast(EXACT_AMOUNT)
-    return F.when(found == value.try_cast("decimal(38,18)"), found)
+    if isinstance(kind, T.DecimalType):
+        amount = value.try_cast(EXACT_AMOUNT)
+        digits = F.regexp_replace(value, r"^[+-]?[0.]*|[.]|[eE].*$", "")
+        whole = amount == value.try_cast("decimal(38,18)")
+        return F.when(whole | (F.length(digits) >= FLOAT_DIGITS), amount)
+    found = value.try_cast(kind)
+    if isinstance(kind, T.IntegralType):
+        exact = value.try_cast("decimal(38,18)")
+        found = F.coalesce(found, F.when(exact == F.floor(exact), exact.try_cast(kind)))
+    return found
 
 
 EXACT_AMOUNT = "decimal(26,8)"
+# Fixed value: a double that is no short decimal is written with this many digits or more.
+FLOAT_DIGITS = 15
 
 
 def type_columns(df: DataFrame, table: str, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:

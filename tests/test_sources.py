@@ -49,6 +49,18 @@ def test_quotes_and_line_breaks(spark, tmp_path):
     assert rows(df, "BRANCH_ID", "BRANCH_NAME") == [(1, 'The "Old" Mill, North'), (2, "two\nlines")]
 
 
+def test_numbers_as_floats_write_them(spark, tmp_path):
+    (tmp_path / "loan.csv").write_text(
+        "LOAN_ID,CUSTOMER_ID,LOAN_AMOUNT,INTEREST_RATE\n1,12.0,0.30000000000000004,8.375\n"
+        "2.0,33.0,33.333333333333336,7\n2.0,,1e-05,-2.675000000000000045\n9007199254740993,1e+16,x,7\n4,12.5,1.005,nan\n"
+    )
+    df = files.read_csv(spark, str(tmp_path / "loan.csv"), "loan")
+    read = [tuple(None if x is None else float(x) if i > 1 else x for i, x in enumerate(r)) for r in df.collect()]
+    assert read == [
+        (1, 12, 0.3, 8.375), (2, 33, 33.33333333, 7.0), (2, None, 0.00001, -2.675), (9007199254740993, 10**16, None, 7.0), (4, None, 1.005, None)
+    ]
+
+
 def test_conversion_keeps_every_field_as_it_is(spark, tmp_path):
     (tmp_path / "loan.csv").write_text("LOAN_ID,INTEREST_RATE,START_DATE\n1,8.375,15-Jan-2020 10:30\n2,x,soon\n")
     files.convert_to_parquet(spark, {"loan": str(tmp_path / "loan.csv")}, str(tmp_path / "out"))
