@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import curves, idfiles, mixing, neardup, packing, pii, quality, topk, urls, warc
+from ledgerlens.llm import (
+    curves,
+    divergence,
+    idfiles,
+    mixing,
+    neardup,
+    packing,
+    pii,
+    quality,
+    resampling,
+    tokencount,
+    topk,
+    urls,
+    warc,
+)
 from ledgerlens.llm.common import importable
 
 QUERIES = {
@@ -16,10 +30,15 @@ QUERIES = {
     "op8_id_files": importable(idfiles.op8_id_files),
     "op9_nearest": importable(curves.op9_nearest),
     "op10_quality": importable(quality.op10_quality),
+    "op11_source_divergence": importable(divergence.op11_source_divergence),
+    "op12_token_counts": importable(tokencount.op12_token_counts),
+    "op13_importance_resampling": importable(resampling.op13_importance_resampling),
 }
 
 SQL = {
     "op1_top_k": topk.SQL,
     "op3_near_duplicates": neardup.SQL,
     "op4_warc": warc.SQL,
+    "op11_source_divergence": divergence.SQL,
+    "op13_importance_resampling": resampling.SQL,
 }
