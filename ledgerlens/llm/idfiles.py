@@ -22,15 +22,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import rans, tokens
-from ledgerlens.llm.common import read_table, written
+from ledgerlens.llm.common import read_table, slices, written
 from ledgerlens.sources.scratch import new_folder
 
 END_ID = 2
 BLOCK_IDS = 1 << 17
 """Ids of a block; a longer document is a block of its own."""
 BLOCKS_PER_TASK = 32
-ROWS_AT_ONCE = 256
-"""Documents whose texts and ids a worker holds at a time."""
+CHARS_AT_ONCE = 4_000_000
+"""Characters of whole documents that a worker encodes at a time."""
 TABLE = "table.bin"
 FILE_MAGIC, TAIL = b"LLID0001", "<QLL8s"
 TAIL_SIZE = struct.calcsize(TAIL)
@@ -45,28 +45,38 @@ def _encoded(path: str, end_id: int, kind: str):
     """Ids of each document as bytes, in the smallest integers the vocabulary allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = tokens.encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
-                texts = ["" if t is None else t for t in part.column("text").to_pylist()]
-                found = [
-                    ids.astype(kind).tobytes() for ids in tokens.encode_all(path, texts, end_id)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "ids"]
+            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
+            for part in slices([len(t) for t in texts], CHARS_AT_ONCE):
+                ids, lengths = own.encode_flat(texts[part], end_id)
+                ends = np.append(0, np.cumsum(lengths)) * np.dtype(kind).itemsize
+                raw = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(),
+                    len(lengths),
+                    [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype(kind))],
                 )
+                names = batch.column("doc_id").slice(part.start, len(lengths))
+                yield pa.RecordBatch.from_arrays([names, raw.cast(pa.binary())], ["doc_id", "ids"])
 
     return run
 
 
+def _joined(raw: pa.Array, kind: str) -> np.ndarray:
+    """Ids of all documents of a column of bytes, without a copy."""
+    ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+    size = np.dtype(kind).itemsize
+    count = (int(ends[-1]) - int(ends[0])) // size
+    return np.frombuffer(raw.buffers()[2], kind, count, int(ends[0])) if count else np.zeros(0, kind)
+
+
 def _counts(kind: str, size: int):
     """Occurrences of each id in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for raw in batch.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(raw, kind), minlength=size)
+            total += np.bincount(_joined(batch.column("ids"), kind), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
