@@ -25,8 +25,8 @@ from ledgerlens.llm.common import read_table, written
 from ledgerlens.llm.vectors import packed, stacked, usable
 
 SCALE = 256
-LARGEST = 1 << 28
-"""Vectors with a scaled component beyond this take no part: 64-bit scores could overflow."""
+SAFE = float(1 << 62)
+"""Where a product of norms stays below this, no sum of products leaves 64 bits."""
 K, EVERY = 5, 50
 SEGMENTS = (16, 4, 2)
 """Segment lengths, coarse to fine."""
@@ -49,13 +49,26 @@ def statistics(vectors: np.ndarray, length: int) -> np.ndarray:
     return np.hstack([mean, deviation]) * np.sqrt(np.hstack([counts, counts]))
 
 
+def whole(queries: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as integers that hold every inner product: 64 bits where these do, else Python's."""
+    norms = [
+        np.sqrt((m.astype(np.float64) ** 2).sum(axis=1)).max(initial=0) for m in (queries, rows)
+    ]
+    if norms[0] * norms[1] < SAFE and max(norms) < SAFE:
+        return queries.astype(np.int64), rows.astype(np.int64)
+    return tuple(
+        np.array([int(x) for x in m.ravel().tolist()], object).reshape(m.shape)
+        for m in (queries, rows)
+    )
+
+
 def search(
     queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int
 ) -> tuple[list[tuple[int, int, int]], int]:
     """``(query_id, vec_id, score)`` of the k best rows of each query, and how many were scored."""
     order = np.argsort(ids, kind="stable")
     rows, ids = rows[order], ids[order]
-    exact_q, exact_r = queries.astype(np.int64), rows.astype(np.int64)
+    exact_q, exact_r = whole(queries, rows)
     levels = [
         (statistics(queries.astype(np.float64), n), statistics(rows.astype(np.float64), n))
         for n in SEGMENTS
@@ -72,7 +85,9 @@ def search(
         left = others[FIRST:]
 
         def cut(best, score):
-            keep = np.lexsort((ids[best], -score))[:k]
+            # Sorted by id first, so that a stable sort leaves ties to the smaller id.
+            keep = np.argsort(ids[best], kind="stable")
+            keep = keep[np.argsort(-score[keep], kind="stable")][:k]
             return best[keep], score[keep]
 
         scored += len(best)
@@ -82,48 +97,63 @@ def search(
             if not len(left):
                 break
             bound = stats_r[left] @ stats_q[i] + room
-            good = bound >= (score[-1] if len(score) == k else -np.inf)
+            good = bound >= (float(score[-1]) if len(score) == k else -np.inf)
             left, bound = left[good], bound[good]
         left = left[np.argsort(-bound, kind="stable")] if len(left) else left
         bound = np.sort(bound)[::-1]
         for at in range(0, len(left), STEP):
-            if len(score) == k and bound[at] < score[-1]:
+            if len(score) == k and bound[at] < float(score[-1]):
                 break
             some = left[at : at + STEP]
             scored += len(some)
             best, score = cut(
                 np.append(best, some), np.append(score, exact_r[some] @ exact_q[i])
             )
-        found += [(own, int(v), int(s)) for v, s in zip(ids[best], score, strict=True)]
+        found += [(own, int(v), fitting(s)) for v, s in zip(ids[best], score, strict=True)]
     return found, scored
 
 
+def fitting(score: int) -> int:
+    """``score``, if the column of 64 bits can hold it."""
+    if not -(1 << 63) <= score < 1 << 63:
+        raise OverflowError(f"the inner product {score} does not fit in 64 bits")
+    return int(score)
+
+
 def _scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Scaled integers as bytes, with their number; what is too large is left out."""
+    """Scaled integers as bytes of doubles, or of 32 bits where these hold them."""
     for batch in batches:
-        ids, sizes, values = [], [], []
-        for vec_id, raw in zip(
-            batch.column("vec_id").to_pylist(), packed(batch.column("vector")), strict=True
-        ):
-            scaled = np.floor(SCALE * np.frombuffer(raw))
-            if np.abs(scaled).max() < LARGEST:
-                ids.append(vec_id)
-                sizes.append(len(scaled))
-                values.append(scaled.astype(np.int32).tobytes())
+        sizes, values = [], []
+        for raw in packed(batch.column("vector")):
+            with np.errstate(over="ignore"):
+                scaled = np.floor(SCALE * np.frombuffer(raw))
+            if not np.isfinite(scaled).all():
+                raise OverflowError("a scaled component leaves the range of doubles")
+            small = np.abs(scaled).max() < 1 << 31
+            sizes.append(len(scaled))
+            values.append(scaled.astype(np.int32 if small else np.float64).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(values, pa.binary())],
+            [batch.column("vec_id"), pa.array(sizes, pa.int32()), pa.array(values, pa.binary())],
             names=["vec_id", "size", "value"],
         )
 
 
+def _matrix(values: pd.Series, size: int) -> np.ndarray:
+    """Rows of scaled integers; all are doubles where one of them is."""
+    if all(len(v) == 4 * size for v in values):
+        return stacked(values, np.int32)
+    kinds = (np.int32 if len(v) == 4 * size else np.float64 for v in values)
+    return np.array([np.frombuffer(v, k).astype(np.float64) for v, k in zip(values, kinds)])
+
+
 def _compare(k: int):
     def run(cell: pd.DataFrame) -> pd.DataFrame:
-        asked, rows = cell[cell["asks"]], cell[~cell["asks"]]
+        asked, rows, size = cell[cell["asks"]], cell[~cell["asks"]], int(cell["size"].iloc[0])
         found: list = []
         if len(asked) and len(rows):
             found, _ = search(
-                stacked(asked["value"], np.int32), asked["vec_id"].to_numpy(),
-                stacked(rows["value"], np.int32), rows["vec_id"].to_numpy(), k,
+                _matrix(asked["value"], size), asked["vec_id"].to_numpy(),
+                _matrix(rows["value"], size), rows["vec_id"].to_numpy(), k,
             )
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
@@ -134,8 +164,10 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k largest integer inner products of each query.
 
     Queries are the vectors whose vec_id is divisible by ``every``; a query is not its own
-    candidate; ties go to the smaller vec_id. Vectors of different lengths never meet. See
-    ``usable`` for rows that take no part and for repeated ids.
+    candidate; ties go to the smaller vec_id. Vectors of different lengths never meet. Components
+    of any size take part: large products are summed in Python integers, and a score among the
+    best that 64 bits cannot hold is an error, as is a component that leaves the range of doubles
+    when scaled. See ``usable`` for rows that take no part and for repeated ids.
     """
     rows = usable(embeddings).mapInArrow(_scaled, "vec_id long, size int, value binary")
     rows = written(rows, "integers")
