@@ -28,9 +28,10 @@ RULES = (
     ("example.com/de/", "block"),
     ("org/fr/", "allow"),
 )
-LABEL = 63
-"""Longer host labels are no valid names; they stay one token."""
-LONGEST_WORD = 20
+PREFIX = 20
+"""Longer words are looked for where their first PREFIX characters are found."""
+LABELS_AT_ONCE = 2_000
+"""Host labels that are split in one call."""
 UNKNOWN = 10.0
 """An unknown piece of n characters is as likely as UNKNOWN^-n of one occurrence."""
 SLOTS = 1 << 16
@@ -66,23 +67,31 @@ def unigrams(texts: DataFrame) -> DataFrame:
     """``word, n`` over the whole texts of all pages, tags left out."""
     plain = F.lower(F.regexp_replace("html", "<[^>]*>", " "))
     words = F.explode(F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]+"), 0))
-    counted = texts.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return counted.filter(F.length("word") <= LONGEST_WORD)
+    return texts.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def best_split(label: str, logs: dict[str, float], total: float) -> list[str]:
-    """Most likely words of a label; single unknown characters are joined into one token."""
-    base = np.log(max(total, 1.0))
+    """Most likely words of a label; unknown characters in a row are joined into one token.
+
+    An unknown piece costs the same for each character wherever it begins, so the best beginning
+    so far is all that has to be kept of it, and labels and words may be of any length.
+    """
+    base, unknown = np.log(max(total, 1.0)), np.log(UNKNOWN)
+    ending: list[list[tuple[int, float]]] = [[] for _ in range(len(label) + 1)]
+    for word, value in logs.items():
+        at = label.find(word)
+        while at >= 0:
+            ending[at + len(word)].append((at, value))
+            at = label.find(word, at + 1)
     best, back = [0.0] + [-np.inf] * len(label), [0] * (len(label) + 1)
+    opened, begun = 0, 0.0
     for end in range(1, len(label) + 1):
-        for start in range(max(0, end - LONGEST_WORD), end):
-            piece = label[start:end]
-            value = logs.get(piece)
-            if value is None:
-                value = -np.log(UNKNOWN) * len(piece)
-            score = best[start] + value - base
-            if score > best[end]:
-                best[end], back[end] = score, start
+        choices = [(begun - unknown * end - base, -opened)]
+        choices += [(best[start] + value - base, -start) for start, value in ending[end]]
+        best[end], start = max(choices)
+        back[end] = -start
+        if best[end] + unknown * end > begun:
+            opened, begun = end, best[end] + unknown * end
     words, end = [], len(label)
     while end:
         words.append(label[back[end] : end])
@@ -90,28 +99,43 @@ def best_split(label: str, logs: dict[str, float], total: float) -> list[str]:
     return words[::-1]
 
 
+def pieces_of(labels: DataFrame, words: DataFrame) -> DataFrame:
+    """``label, word, n``: every word of the table that occurs in a label.
+
+    All substrings of up to PREFIX characters meet the table. A longer word is tried only where
+    its first PREFIX characters stand, and only in the lengths that words with that beginning have.
+    """
+    size = F.length("label")
+    starts = labels.withColumn("start", F.explode(F.sequence(F.lit(1), size)))
+    reach = F.least(F.lit(PREFIX), size - F.col("start") + 1)
+    short = starts.select("label", "start", F.explode(F.sequence(F.lit(1), reach)).alias("n_chars"))
+    piece = F.substring("label", F.col("start"), F.col("n_chars")).alias("word")
+    head = F.substring("word", 1, PREFIX).alias("head")
+    lengths = words.filter(F.length("word") > PREFIX).select(head, F.length("word").alias("n_chars"))
+    long = starts.filter(size - F.col("start") >= PREFIX)
+    long = long.withColumn("head", F.substring("label", F.col("start"), F.lit(PREFIX)))
+    long = long.join(lengths.distinct(), "head").filter(F.col("start") + F.col("n_chars") - 1 <= size)
+    pieces = short.select("label", piece).unionByName(long.select("label", piece))
+    return pieces.distinct().join(words, "word").select("label", "word", "n")
+
+
 def segmented(labels: DataFrame, words: DataFrame) -> DataFrame:
-    """``label, tokens`` for distinct host labels."""
+    """``label, tokens`` for distinct host labels of any length."""
     total = float(words.agg(F.sum("n")).head()[0] or 0)
-    size = F.length("label")
-    short = labels.filter(size <= LABEL).withColumn(
-        "start", F.explode(F.sequence(F.lit(1), size))
-    )
-    reach = F.least(F.lit(LONGEST_WORD), size - F.col("start") + 1)
-    pieces = short.select("label", "start", F.explode(F.sequence(F.lit(1), reach)).alias("n_chars"))
-    pieces = pieces.select(
-        "label", F.substring("label", F.col("start"), F.col("n_chars")).alias("word")
-    ).distinct()
-    known = pieces.join(words, "word", "left").select("label", "word", "n")
+    calls = max(1, -(-labels.count() // LABELS_AT_ONCE))
+    alone = labels.select("label", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("n"))
+    known = pieces_of(labels, words).unionByName(alone)
+    known = known.withColumn("call", F.pmod(F.xxhash64("label"), F.lit(calls)))
 
-    def split(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows["n"].notna()]
-        logs = dict(zip(rows["word"], np.log(rows["n"].astype(float)), strict=True))
-        return pd.DataFrame({"label": [key[0]], "tokens": [best_split(key[0], logs, total)]})
+    def split(rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for label, own in rows.groupby("label", sort=False):
+            own = own[own["n"].notna()].sort_values("word")
+            logs = dict(zip(own["word"], np.log(own["n"].astype(float)), strict=True))
+            found.append((label, best_split(label, logs, total)))
+        return pd.DataFrame(found, columns=["label", "tokens"])
 
-    found = known.groupBy("label").applyInPandas(split, "label string, tokens array<string>")
-    long = labels.filter(size > LABEL).select("label", F.array("label").alias("tokens"))
-    return found.union(long)
+    return known.groupBy("call").applyInPandas(split, "label string, tokens array<string>")
 
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
@@ -192,7 +216,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     parts = hosts.select("host", F.posexplode(F.split("host", "[^\\p{L}\\p{N}]+")).alias("at", "label"))
     parts = parts.filter("label <> ''")
     words = written(unigrams(pages.select("html")), "words")
-    split = segmented(parts.select("label").distinct(), words)
+    split = segmented(written(parts.select("label").distinct(), "labels"), words)
     listed = parts.join(split, "label").groupBy("host").agg(
         F.flatten(
             F.transform(F.array_sort(F.collect_list(F.struct("at", "tokens"))), lambda x: x["tokens"])

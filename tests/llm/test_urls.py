@@ -42,6 +42,20 @@ def test_viterbi_finds_the_best_split():
         assert abs(score - plain_split(label, counts, total)) < 1e-9
 
 
+def test_long_words_and_labels_are_split(spark):
+    long = "donaudampfschifffahrtsgesellschaft"
+    label = "k" * 300 + long + "station" + long + "x"
+    labels = spark.createDataFrame([(label,), ("q",), (long,), (long[:25],)], "label string")
+    words = [(long, 9), ("station", 50), (long[:21], 2), ("k" * 70, 3), ("other" * 30, 4), (long[:20] + "z", 5)]
+    words = spark.createDataFrame(words, "word string, n long")
+    pieces = {(r["label"], r["word"]) for r in urls.pieces_of(labels, words).collect()}
+    table = [r["word"] for r in words.collect()]
+    assert pieces == {(r["label"], w) for r in labels.collect() for w in table if w in r["label"]}
+    got = {r["label"]: r["tokens"] for r in urls.segmented(labels, words).collect()}
+    assert got[label][-4:] == [long, "station", long, "x"] and "".join(got[label]) == label
+    assert got["q"] == ["q"] and got[long] == [long] and got[long[:25]] == [long[:21], long[21:25]]
+
+
 def plain_parts(url):
     if url is None or "://" not in url:
         return "", ""
