@@ -14,6 +14,8 @@ from __future__ import annotations
 import itertools
 import random
 import zlib
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -29,8 +31,6 @@ MOST = 2.0
 """How often a source may be repeated."""
 BLOCK = 4_000
 """Units that one task decides together."""
-HOT_ROWS = 1_000
-"""Rows with one doc_id from which they are dealt to different blocks."""
 SEED = 11
 RANGES = 65_536
 """Ranges of the draw among which units of one source and size are counted."""
@@ -142,12 +142,46 @@ def landing(start: list[float], chances: list[float], sizes: list[int]) -> list[
     return p.tolist()
 
 
-ROW = "row long, doc_id long, size long, source string, source_size long, target double, chance double"
+ROW = (
+    "row long, doc_id long, text_key long, number long, size long, source string,"
+    " source_size long, target double, chance double"
+)
+SAME = ("doc_id", "source", "size", "text_key")
+"""What equal rows have in common."""
+DRAWN = ("doc_id", "size", "text_key", "number")
+"""What a draw depends on, beside the source and the seed."""
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``number``: 0, 1, 2 ... within rows that are equal but for ``row``.
+
+    Rows without an equal are all number 0. The others are numbered within the partition they
+    were written by, and go on where earlier partitions end, so a row that is repeated without end
+    meets in no task. Which of equal rows gets which number changes nothing.
+    """
+    repeated = rows.groupBy(*SAME).count().filter("count > 1").drop("count")
+    repeated = repeated.select(*(F.col(c).alias(f"of_{c}") for c in SAME), F.lit(True).alias("repeated"))
+    on = reduce(and_, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in SAME))
+    marked = rows.join(written(repeated, "repeated"), on, "left").select(*rows.columns, "repeated")
+    single = marked.filter("repeated is null").withColumn("number", F.lit(0).cast("long"))
+    part = F.shiftright("row", 33)
+    many = written(marked.filter("repeated").withColumn("part", part), "equal-rows")
+    own = Window.partitionBy(*SAME, "part").orderBy("row")
+    many = many.withColumn("number", F.row_number().over(own) - 1)
+    parts = many.groupBy(*SAME, "part").agg(F.count("*").alias("n"))
+    running = Window.partitionBy(*SAME).orderBy("part")
+    parts = parts.withColumn("before", F.sum("n").over(running) - F.col("n")).drop("n")
+    keys = (*SAME, "part")
+    parts = parts.select(*(F.col(c).alias(f"of_{c}") for c in keys), "before")
+    on = reduce(and_, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in keys))
+    number = (F.col("number") + F.col("before")).cast("long").alias("number")
+    many = many.join(parts, on).select(*rows.columns, number)
+    return single.select(*many.columns).unionByName(many)
 
 
 def _decide(seed: int, level: int, last: bool):
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["draw", "doc_id", "size", "row"]).reset_index(drop=True)
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["draw", *DRAWN]).reset_index(drop=True)
         rng = random.Random(zlib.crc32(repr((seed, level, *map(str, key))).encode()))
         sizes = group["size"].tolist()
         start = group["chance"].tolist()
@@ -189,7 +223,8 @@ def settled(done: DataFrame, seed: int) -> DataFrame:
         "chance",
         F.floor(wanted).alias("base"),
         (wanted - F.floor(wanted)).alias("start"),
-        F.pmod(F.xxhash64("doc_id", "row", F.lit(seed)), F.lit(2**62)).alias("draw"),
+        F.pmod(F.xxhash64(*DRAWN, F.lit(seed)), F.lit(2**62)).alias("draw"),
+        *(F.col(c) for c in DRAWN if c != "size"),
     )
     taken = F.sum(F.col("size") * (F.col("base") + F.col("chance")))
     misses = units.groupBy("of").agg((taken - F.first("target")).alias("miss"))
@@ -198,20 +233,20 @@ def settled(done: DataFrame, seed: int) -> DataFrame:
     free = units.filter("start > 0 and start < 1 and size > 0").join(misses, "of").filter(
         F.col("size") < 2 * F.abs("miss")
     ).filter(F.col("chance") == F.when(F.col("miss") > 0, 1.0).otherwise(0.0))
-    free = written(free.select("row", "of", "size", "draw", "miss"), "free")
+    free = written(free.select("row", "of", *DRAWN, "draw", "miss"), "free")
     cells = free.groupBy("of", "size").agg(F.count("*").alias("n"), F.first("miss").alias("miss"))
     turns = written(
         cells.groupBy("of").applyInPandas(_turns, "of string, size long, n long, take long"), "turns"
     )
     within = F.floor(F.col("draw") / (2**62 // RANGES)).alias("range")
     some = free.join(turns.filter("take < n").drop("n"), ["of", "size"]).select(
-        "row", "of", "size", "draw", "take", within
+        "row", "of", *DRAWN, "draw", "take", within
     )
     ranges = some.groupBy("of", "size", "range").agg(F.count("*").alias("n"))
     running = Window.partitionBy("of", "size").orderBy("range")
     ranges = ranges.withColumn("before", F.sum("n").over(running) - F.col("n"))
     some = some.join(ranges.drop("n"), ["of", "size", "range"]).filter("before < take")
-    order = Window.partitionBy("of", "size", "range").orderBy("draw", "row")
+    order = Window.partitionBy("of", "size", "range").orderBy("draw", *DRAWN)
     some = some.withColumn("turn", F.row_number().over(order) + F.col("before"))
     whole = free.join(turns.filter("take = n").select("of", "size"), ["of", "size"])
     turned = whole.select("row").union(some.filter("turn <= take").select("row"))
@@ -222,18 +257,16 @@ def settled(done: DataFrame, seed: int) -> DataFrame:
 
 def mix(rows: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED) -> DataFrame:
     """``row, doc_id, size, source, source_size, target, copies`` for ``rows (row, doc_id, source,
-    size)``, one row each.
+    size, text_key)``, one row each.
 
     ``row`` tells rows apart and must be fixed (written). ``copies`` is 0, 1 or more and never
-    above ``most``. Documents without words count as documents only. The draw depends on doc_id,
-    size and the seed, so reruns over the same rows agree.
+    above ``most``. Documents without words count as documents only. A draw depends on doc_id,
+    size, source, ``text_key`` (a hash of the text, or 0 where equal rows need not be told apart),
+    a running number within rows that are equal in all of these, and the seed. So reruns over the
+    same rows agree, in whatever order, files or partitions they come.
     """
     share_of = written(targets(rows, weights, share, most), "targets")
-    hot = rows.groupBy("doc_id").count().filter(F.col("count") > HOT_ROWS)
-    hot = written(hot.select("doc_id", F.lit(True).alias("hot")), "hot")
-    rows = rows.join(hot, rows["doc_id"].eqNullSafe(hot["doc_id"]), "left").select(
-        rows["*"], F.when(F.col("hot"), F.col("row")).alias("salt")
-    )
+    rows = numbered(rows)
     wanted = share_of.withColumn(
         "wanted",
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0),
@@ -242,7 +275,7 @@ def mix(rows: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED) ->
     rows = rows.withColumns(
         {
             "base": F.floor("wanted"),
-            "draw": F.xxhash64("doc_id", "salt", F.lit(seed)),
+            "draw": F.xxhash64(*DRAWN, F.lit(seed)),
             "blocks": F.ceil(F.col("documents") / BLOCK),
         }
     )
@@ -266,7 +299,7 @@ def mix(rows: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED) ->
         # A block leaves two units at most, so this many blocks make one block of the next level.
         level, blocks = level + 1, -(-blocks // (BLOCK // 2))
         rows = found.filter("chance > 0 and chance < 1").withColumn(
-            "draw", F.xxhash64("doc_id", "row", F.lit(seed + level))
+            "draw", F.xxhash64(*DRAWN, F.lit(seed + level))
         )
         rows = rows.withColumn("block", F.pmod(F.col("draw"), F.lit(blocks)))
     base = F.when(
@@ -279,7 +312,10 @@ def mix(rows: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED) ->
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = read_table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("long"), "source", words().alias("size")
+        F.col("doc_id").cast("long"),
+        "source",
+        words().alias("size"),
+        F.lit(0).cast("long").alias("text_key"),
     )
     rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "sizes")
     return mix(rows).select(
@@ -297,14 +333,18 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words are kept or left by the same draw.
     """
     row, copies, copy = (unused(docs, c) for c in ("mix_row", "mix_copies", "mix_copy"))
-    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    rows = numbered.select(
-        F.col(row).alias("row"), F.col("doc_id").cast("long"), "source", words().alias("size")
+    kept = written(docs.withColumn(row, F.monotonically_increasing_id()), "kept")
+    rows = kept.select(
+        F.col(row).alias("row"),
+        F.col("doc_id").cast("long"),
+        "source",
+        words().alias("size"),
+        F.xxhash64("text").alias("text_key"),
     )
     picked = mix(written(rows, "sizes")).filter("copies > 0").select(
         F.col("row").alias(row), F.col("copies").cast("int").alias(copies)
     )
-    again = numbered.join(picked, row).withColumn(
+    again = kept.join(picked, row).withColumn(
         copy, F.explode(F.sequence(F.lit(1), F.col(copies)))
     )
     return again.select(*docs.columns)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import mixing
 
@@ -59,13 +60,13 @@ def test_chances_are_met_on_average():
 
 
 def rows_of(spark, rows):
-    numbered = [(i, *r) for i, r in enumerate(rows)]
-    return spark.createDataFrame(numbered, "row long, doc_id long, source string, size long")
+    numbered = [(i, *r, 0) for i, r in enumerate(rows)]
+    schema = "row long, doc_id long, source string, size long, text_key long"
+    return spark.createDataFrame(numbered, schema)
 
 
 def test_sources_come_near_their_targets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 60)
-    monkeypatch.setattr(mixing, "HOT_ROWS", 20)
     rng = random.Random(4)
     rows = [(i, f"s{i % 4}" if i % 3 else "big", rng.randint(1, 200)) for i in range(900)]
     rows += [(None, None, 10)] * 40 + [(7, "s1", 12)] * 50 + [(1000, "huge", 5000), (1001, "huge", 3)]
@@ -110,12 +111,41 @@ def test_a_long_document_is_made_up_beside_a_large_source(spark, monkeypatch, bl
 
 
 def test_turned_units_of_one_size_are_counted_out(spark):
-    done = [(i, i, 5, "s", 5000, 2000.0, 1.0 if i < 700 else 0.0) for i in range(1000)]
+    done = [(i, i, 0, 0, 5, "s", 5000, 2000.0, 1.0 if i < 700 else 0.0) for i in range(1000)]
     found = mixing.settled(spark.createDataFrame(done, mixing.ROW), 1).collect()
     assert sum(r["chance"] for r in found) == 400 and len({r["row"] for r in found}) == 1000
     assert all(r["chance"] == 0 for r in found if r["row"] >= 700)
 
 
+def test_reruns_agree_whatever_the_splits(spark, monkeypatch, tmp_path):
+    """Sources of many blocks, a doc_id with a third of all rows and equal rows, read in other splits."""
+    monkeypatch.setattr(mixing, "BLOCK", 50)
+    rng = random.Random(6)
+    rows = [(i, "t", f"s{i % 2}", "w " * rng.randint(0, 60)) for i in range(800)]
+    rows += [(5, "t", "s1", "w " * rng.choice([7, 7, 30])) for _ in range(400)]
+    rows += [(None, "t", None, "w w")] * 60
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    found = []
+    for n, cores in ((1, 8), (4, 3), (13, 8)):
+        spark.conf.set("spark.sql.shuffle.partitions", cores)
+        path = f"{tmp_path}/{n}/documents.parquet"
+        frame.orderBy(F.rand(n)).repartition(n).write.parquet(path)
+        found.append(sorted(map(tuple, mixing.op7_mixing(spark, f"{tmp_path}/{n}").collect()), key=repr))
+        docs = spark.read.parquet(path)
+        found[-1].append(sorted(map(tuple, mixing.mixed(spark, docs, "").collect()), key=repr))
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert len(found[0]) == len(rows) + 1
+    assert found[0] == found[1] == found[2]
+
+
+def test_equal_rows_are_numbered(spark):
+    rows = [((p << 33) + i, 1, "s", 2, 0) for p in range(3) for i in range(4)] + [(99, None, None, 2, 0)]
+    schema = "row long, doc_id long, source string, size long, text_key long"
+    got = mixing.numbered(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(r["number"] for r in got if r["doc_id"] == 1) == list(range(12))
+    assert [r["number"] for r in got if r["doc_id"] is None] == [0]
+
+
 def test_empty_and_wordless(spark, documents):
     assert mixing.mix(rows_of(spark, [])).count() == 0
     found = mixing.mix(rows_of(spark, [(1, "a", 0), (2, None, 0)])).collect()
