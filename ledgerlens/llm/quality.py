@@ -25,21 +25,18 @@ WIDTH, STRIDE = 8, 4
 DEPTH, FILTERS = 8, 32
 TRAIN_ROWS = 1_500
 """Most labelled rows of each class that a network is fitted on."""
-TRAIN_CHUNKS = 12
-"""Chunks of a training document, evenly spread; scoring uses every chunk."""
+AT_ONCE = 256
+"""Chunks whose windows are held at a time, in training as in scoring."""
 KEEP_FROM = 0.3
 """Score from which a document is predicted to be of quality 1."""
 
 
-def chunks(raw: bytes, most: int | None = None) -> np.ndarray:
+def chunks(raw: bytes) -> np.ndarray:
     """Overlapping chunks of a document, one row each; short ones are filled with zero bytes."""
     count = 1 if len(raw) <= CHUNK else 1 + -(-(len(raw) - CHUNK) // STEP)
     whole = np.zeros((count - 1) * STEP + CHUNK, np.uint8)
     whole[: len(raw)] = np.frombuffer(raw, np.uint8)
-    rows = np.lib.stride_tricks.sliding_window_view(whole, CHUNK)[::STEP]
-    if most and count > most:
-        rows = rows[np.linspace(0, count - 1, most).astype(int)]
-    return rows
+    return np.lib.stride_tricks.sliding_window_view(whole, CHUNK)[::STEP]
 
 
 @dataclass
@@ -83,11 +80,34 @@ class Network:
 
     def pooled(self, rows: np.ndarray) -> np.ndarray:
         """Strongest response of each filter in each chunk."""
+        return self.strongest(rows)[0]
+
+    def strongest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """That response, and the window it comes from."""
         found = np.empty((len(rows), FILTERS), np.float32)
-        for at in range(0, len(rows), 256):
-            some = self.windows(rows[at : at + 256]) @ self.filters
-            found[at : at + 256] = np.maximum(some.max(axis=1) + self.shift, 0)
-        return found
+        best = np.empty((len(rows), FILTERS), np.int64)
+        for at in range(0, len(rows), AT_ONCE):
+            some = self.windows(rows[at : at + AT_ONCE]) @ self.filters
+            best[at : at + AT_ONCE] = some.argmax(axis=1)
+            top = np.take_along_axis(some, best[at : at + AT_ONCE, None], 1)[:, 0]
+            found[at : at + AT_ONCE] = np.maximum(top + self.shift, 0)
+        return found, best
+
+    def back(self, rows: np.ndarray, best: np.ndarray, grad: np.ndarray) -> tuple:
+        """Gradients of filters and embedding from those of the strongest responses."""
+        d_filters = np.zeros_like(self.filters)
+        d_embed = np.zeros((256, DEPTH))
+        for at in range(0, len(rows), AT_ONCE):
+            some, own, flow = (x[at : at + AT_ONCE] for x in (rows, best, grad))
+            each = np.arange(len(some))
+            picked = self.windows(some)[each[:, None], own]
+            d_filters += np.einsum("cf,cfk->kf", flow, picked)
+            flow = (flow[:, :, None] * self.filters.T[None]).reshape(-1, DEPTH)
+            where = (own * STRIDE)[:, :, None] + np.arange(WIDTH)
+            bytes_at = some[each[:, None, None], where].reshape(-1)
+            for k in range(DEPTH):
+                d_embed[:, k] += np.bincount(bytes_at, flow[:, k], 256)
+        return d_filters, d_embed
 
     def logits(self, features: np.ndarray) -> np.ndarray:
         return features @ self.out + self.bias
@@ -105,7 +125,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = 14) -> Network:
-    """Train by Adam on class-balanced log loss.
+    """Train by Adam on class-balanced log loss, over all chunks of every text.
 
     Without rows the score is a half; with one class only it is near that class.
     """
@@ -114,7 +134,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = 14)
     if len(set(labels.tolist())) < 2:
         return Network.constant(0.99 if labels[0] else 0.01)
     net, rng = Network.fresh(seed), np.random.default_rng(seed)
-    cut = [chunks(t, TRAIN_CHUNKS) for t in texts]
+    cut = [chunks(t) for t in texts]
     weight = np.where(labels == 1, 0.5 / (labels == 1).mean(), 0.5 / (labels == 0).mean())
     names = ("embed", "filters", "shift", "out")
     state = {k: [np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))] for k in names}
@@ -128,11 +148,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = 14)
             rows = np.concatenate([cut[i] for i in some])
             counts = np.array([len(cut[i]) for i in some])
             starts = np.cumsum(counts) - counts
-            windows = net.windows(rows)
-            raw = windows @ net.filters
-            best = raw.argmax(axis=1)
-            top = np.take_along_axis(raw, best[:, None], 1)[:, 0] + net.shift
-            pooled = np.maximum(top, 0)
+            pooled, best = net.strongest(rows)
             features = combined(pooled, starts)
             error = (sigmoid(net.logits(features)) - labels[some]) * weight[some] / len(some)
             error = error.astype(np.float32)
@@ -141,15 +157,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7, epochs: int = 14)
             is_max = pooled == features[doc, FILTERS:]
             grad = back[doc, :FILTERS] / counts[doc, None] + back[doc, FILTERS:] * is_max
             grad *= pooled > 0
-            picked = windows[np.arange(len(rows))[:, None], best]
-            d_filters = np.einsum("cf,cfk->kf", grad, picked)
-            flow = (grad[:, :, None] * net.filters.T[None]).reshape(-1, WIDTH, DEPTH)
-            where = (best * STRIDE)[:, :, None] + np.arange(WIDTH)
-            bytes_at = rows[np.arange(len(rows))[:, None, None], where].reshape(-1)
-            flow = flow.reshape(-1, DEPTH)
-            d_embed = np.stack(
-                [np.bincount(bytes_at, flow[:, k], 256) for k in range(DEPTH)], axis=1
-            )
+            d_filters, d_embed = net.back(rows, best, grad)
             grads = {
                 "embed": d_embed,
                 "filters": d_filters,

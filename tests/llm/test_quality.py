@@ -56,6 +56,60 @@ def test_pooling_matches_a_plain_convolution():
     assert np.allclose(net.pooled(row)[0], np.maximum(plain, 0), atol=1e-4)
 
 
+def plain_score(net, text):
+    """Score of one document, window by window."""
+    best = []
+    for row in quality.chunks(text):
+        spots = range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)
+        windows = np.array([net.embed[row[at : at + quality.WIDTH]].reshape(-1) for at in spots])
+        best.append(np.maximum((windows @ net.filters).max(axis=0) + net.shift, 0))
+    features = np.concatenate([np.mean(best, axis=0), np.max(best, axis=0)])
+    return 1 / (1 + np.exp(-(features @ net.out + net.bias)))
+
+
+def test_scores_and_gradients_match_plain_ones(monkeypatch):
+    net = quality.Network.fresh(4)
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(1, 256, n).astype(np.uint8)) for n in (5, 600, 9000)]
+    assert np.allclose(quality.scores(net, texts), [plain_score(net, t) for t in texts], atol=1e-5)
+    # The gradient of all strongest responses together, by small steps of single weights.
+    monkeypatch.setattr(quality, "AT_ONCE", 3)
+    for name in ("embed", "filters", "shift", "out"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    rows = quality.chunks(texts[2])
+    pooled, best = net.strongest(rows)
+    d_filters, d_embed = net.back(rows, best, (pooled > 0).astype(np.float32))
+    spots = (np.arange(len(rows))[:, None, None], (best * quality.STRIDE)[:, :, None] + np.arange(quality.WIDTH))
+    def total():
+        picked = net.embed[rows[spots]].reshape(len(rows), quality.FILTERS, -1)
+        return (np.einsum("cfk,kf->cf", picked, net.filters) * (pooled > 0)).sum()
+    for array, found in ((net.filters, d_filters), (net.embed, d_embed)):
+        for at in [(3, 5), (20, 7), (60, 2)]:
+            before = total()
+            array[at] += 1e-4
+            assert np.isclose((total() - before) / 1e-4, found[at], rtol=1e-3, atol=1e-3)
+            array[at] -= 1e-4
+
+
+def test_learns_from_the_whole_of_long_texts(spark, documents):
+    """What tells the classes apart is a few words in one of some 60 chunks."""
+    rng = np.random.default_rng(8)
+    rows, labels = [], []
+    for i in range(160):
+        words = rng.choice(GOOD.split(), 5000).tolist()
+        if i % 2 == 0:
+            at = int(rng.integers(0, 5000))
+            words[at : at + 8] = ["BUY!!"] * 8
+        rows.append((i, " ".join(words)))
+        labels.append((i, i % 2, 0))
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    net = quality.train(documents(rows), known)
+    found = quality.score(documents(rows), net).collect()
+    held = [r for r in found if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    right = sum((r["quality_score"] >= 0.5) == bool(r["doc_id"] % 2) for r in held)
+    assert right / len(held) > 0.9
+
+
 def test_nulls_empty_tables_and_clashing_columns(spark, documents):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = documents([(1, None), (2, ""), (None, "x"), (2, "")])
