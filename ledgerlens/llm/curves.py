@@ -107,10 +107,15 @@ def directions(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.abs(vectors).max(axis=1, keepdims=True) + 0.0
 
 
+def originals(codes, size: int) -> np.ndarray:
+    """Vectors that are stored as bytes of floats or doubles."""
+    rows = [np.frombuffer(c, np.float32 if len(c) == 4 * size else np.float64) for c in codes]
+    return np.array(rows, np.float64).reshape(len(rows), size)
+
+
 def decoded(codes, size: int) -> np.ndarray:
     """Directions of vectors that are stored as bytes of floats or doubles."""
-    rows = [np.frombuffer(c, np.float32 if len(c) == 4 * size else np.float64) for c in codes]
-    return directions(np.array(rows, np.float64).reshape(len(rows), size))
+    return directions(originals(codes, size))
 
 
 def _directed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +222,7 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns = (batch.column(c).to_pylist() for c in ("left", "right", "size"))
         score = [
-            cosine(*(decoded([x], size)[0] for x in (a, b)))
+            cosine(*(originals([x], size)[0] for x in (a, b)))
             for a, b, size in zip(*columns, strict=True)
         ]
         yield pa.RecordBatch.from_arrays(
@@ -278,7 +283,7 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, share: float
     starts = starts.withColumn(
         "first", F.sum("chunks").over(own) - F.col("chunks")
     ).drop("chunks")
-    blocks = cut.join(F.broadcast(starts), ["curve", "size", "part"]).withColumn(
+    blocks = cut.join(starts, ["curve", "size", "part"]).withColumn(
         "block", F.col("first") + F.col("chunk")
     )
     reach = {size: max(1, round(share * n / BLOCK)) for size, n in sizes.items()}
@@ -317,14 +322,20 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, share: float
     ways = entries.select(F.col("entry").alias("asking"), "direction")
     lists = lists.join(ways, "asking").select("direction", "found")
     asking = rows.filter("asks").select(F.col("vec_id").alias("query_id"), "direction")
+    # All that the entries list is scored once more, each id with its own vector.
     answers = asking.join(written(lists, "answers"), "direction").select(
-        "query_id",
-        F.posexplode(
-            F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-        ).alias("at", "one"),
-    )
+        F.col("query_id").alias("asking"), F.explode("found.vec_id").alias("entry")
+    ).filter("asking <> entry")
+    own = rows.select("vec_id", "code", "size")
+    left = own.select(F.col("vec_id").alias("asking"), F.col("code").alias("left"))
+    right = own.select(F.col("vec_id").alias("entry"), "size", F.col("code").alias("right"))
+    answers = answers.join(left, "asking").join(right, "entry").select(
+        "asking", "entry", "size", "left", "right"
+    ).mapInArrow(_cosines, "asking long, entry long, score double")
+    best = Window.partitionBy("asking").orderBy(F.col("score").desc(), "entry")
+    answers = answers.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return answers.select(
-        "query_id", (F.col("at") + 1).alias("rank"), "one.vec_id", "one.score"
+        F.col("asking").alias("query_id"), "rank", F.col("entry").alias("vec_id"), "score"
     )
 
 

@@ -46,6 +46,27 @@ def test_top_k_is_exact(spark, monkeypatch):
     assert got == brute_scores(rows + ODD[-2:], 10, 5)
 
 
+def test_components_of_any_size_take_part(spark):
+    rng = np.random.default_rng(4)
+    rows = vectors(30, 8)
+    large = [[0.0, *map(float, rng.normal(0, 2.0**n, 7).astype(np.float32))] for n in range(10, 21)]
+    rows += [(100 + i, v) for i, v in enumerate(large)] + [(200, [2.0**36] + [0.0] * 7)]
+    exact = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in exact:
+        if q % 5 == 0:
+            best = sorted((-sum(a * b for a, b in zip(exact[q], exact[c])), c) for c in exact if c != q)
+            want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best[:5])]
+    got = sorted(tuple(r) for r in topk.top_k(table(spark, rows), every=5).collect())
+    assert got == sorted(want)
+    # A score among the best that 64 bits cannot hold is an error, not another number.
+    large = np.full((1, 256), float(1 << 30))
+    with pytest.raises(OverflowError):
+        topk.search(large, np.array([0]), np.repeat(large, 2, 0), np.array([0, 1]), 5)
+    best, _ = topk.search(large, np.array([0]), np.vstack([-large * 4, large / 64]), np.array([1, 2]), 1)
+    assert best == [(0, 2, 2**62)]
+
+
 def test_bounds_hold_and_prune():
     rng = np.random.default_rng(1)
     centres = rng.normal(0, 60, (20, 64))
@@ -73,8 +94,9 @@ def brute_nearest(rows, every, k):
     for q, v in rows:
         if q % every == 0:
             best = sorted(
-                (-curves.cosine(np.array(v, float), np.array(w, float)), c)
+                (-float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))), c)
                 for c, w in rows if c != q and len(w) == len(v)
+                for a, b in [(np.array(v, float), np.array(w, float))]
             )
             found[q] = [(c, -s) for s, c in best[:k]]
     return found
@@ -96,7 +118,8 @@ def test_nearest_finds_nine_of_ten_and_all_copies(spark):
         hit += len({c for c, _ in best} & {c for _, c, _ in own})
         total += len(best)
         lookup = dict(best)
-        assert all(s == pytest.approx(lookup[c], abs=1e-12) for _, c, s in own if c in lookup)
+        # The very number that the original vectors give.
+        assert all(s == lookup[c] for _, c, s in own if c in lookup)
     assert hit / total >= 0.9
     # Among equal vectors the smallest ids win, for each of them that asks.
     assert [c for _, c, _ in sorted(found[5050])] == [0, 5000, 5001, 5002, 5003]
