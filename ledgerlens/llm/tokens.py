@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 
 from ledgerlens.llm.common import slices
 
-CACHE_WORDS = 500_000
-"""Pieces a worker remembers; when there are more, those of the batch at hand stay."""
+CACHE_WORDS = 1_000_000
+"""Pieces a worker remembers; when there are more, the half that most batches held stays."""
 
 AT_ONCE = 32_000
 """Characters given to the tokenizer together; what it returns is many times the
@@ -89,8 +89,19 @@ class Encoder:
         self.start = np.zeros(1 << 12, np.int64)
         self.length = np.zeros(1 << 12, np.int64)
         self.note = np.zeros(1 << 12, np.uint8)
+        self.seen = np.zeros(1 << 12, np.int32)
         self.used = 0
 
+    def _halve(self) -> None:
+        """Forget the pieces that the fewest batches held."""
+        held, seen = list(self.slot), self.seen[: len(self.slot)]
+        at = np.sort(np.argsort(-seen, kind="stable")[: CACHE_WORDS // 2])
+        lengths, seen = self.length[at], seen[at]
+        ids = self._gathered(at, lengths)
+        self._forget()
+        self._keep([held[i] for i in at.tolist()], ids, lengths)
+        self.seen[: len(at)] = seen
+
     def _noted(self, piece: str) -> int:
         last = piece[-1:]
         if self.drops_blanks:
@@ -108,8 +119,9 @@ class Encoder:
         """Remember the ids of new pieces."""
         known, wanted = len(self.slot), len(self.slot) + len(pieces)
         while len(self.start) < wanted:
-            self.start, self.length, self.note = (
-                np.append(a, np.zeros_like(a)) for a in (self.start, self.length, self.note)
+            self.start, self.length, self.note, self.seen = (
+                np.append(a, np.zeros_like(a))
+                for a in (self.start, self.length, self.note, self.seen)
             )
         while len(self.ids) < self.used + len(ids):
             self.ids = np.append(self.ids, np.zeros_like(self.ids))
@@ -178,15 +190,11 @@ class Encoder:
         lists = pc.split_pattern(pa.array(map(self._cut, texts), pa.large_string()), " ")
         pieces = lists.flatten().dictionary_encode()
         names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.slot) + len(names) > CACHE_WORDS and self.slot:
-            kept = [n for n in names if n in self.slot]
-            at = np.fromiter(map(self.slot.__getitem__, kept), np.int64, len(kept))
-            lengths = self.length[at]
-            ids = self._gathered(at, lengths)
-            self._forget()
-            self._keep(kept, ids, lengths)
+        if len(self.slot) + len(names) > CACHE_WORDS:
+            self._halve()
         self._learn(names)
         slots = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))
+        self.seen[slots] += 1
         slots, ends = slots[pieces.indices.to_numpy()], lists.offsets.to_numpy()
         whole = self._unsafe(texts, self.note[slots], ends)
         lengths = self.length[slots]

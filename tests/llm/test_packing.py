@@ -75,3 +75,25 @@ def test_cut_texts_encode_like_whole_ones(name):
     mixed = ["".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(3000)]
     found = [i.tolist() for i in tokens.encode_all(tokens.vocabulary(name), ODD + mixed, 2)]
     assert found == plain_ids(ODD + mixed, name)
+
+
+def test_a_small_memory_gives_the_same_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 200)
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 90 * (k + 1), 60)) for k in range(40)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        own = tokens.Encoder(tokens.vocabulary(name))
+        found = []
+        for at in range(0, 40, 2):
+            ids, lengths = own.encode_flat(texts[at : at + 2], 2)
+            found += [i.tolist() for i in np.split(ids, np.cumsum(lengths)[:-1])]
+        assert found == plain_ids(texts, name)
+        assert len(own.slot) < 400
+
+
+def test_units_that_hold_the_mark_itself():
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        own = tokens.encoder(tokens.vocabulary(name))
+        texts = [f"a {own.between.strip()} b {own.between}", own.between.strip() + "s x"]
+        found = [i.tolist() for i in tokens.encode_all(tokens.vocabulary(name), texts, 2)]
+        assert found == plain_ids(texts, name)
