@@ -42,20 +42,99 @@ def read_date(value: Column | str, formats: Sequence[str] = DATE_FORMATS) -> Col
     return F.coalesce(*ways)
 
 
+# Forms a whole column may have, besides ISO 8601: day or month first, names, no separators.
+COLUMN_FORMATS = (
+    "d/M/yyyy", "M/d/yyyy", "yyyy/M/d", "d-M-yyyy", "d.M.yyyy", "d-MMM-yyyy", "d MMM yyyy",
+    "MMM d, yyyy", "MMMM d, yyyy", "yyyyMMdd",
+)
+ISO = "ISO 8601"
+# Texts that stock readers of other forms would take for a year or a number of seconds.
+_ISO_SHAPE = r"^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2}([ T].*)?)?$"
+
+
+def _read_as(value: Column, form: str) -> Column:
+    """Timestamp of a text in one form, with or without a time of day."""
+    value = F.trim(value)
+    if form == ISO:
+        return F.when(value.rlike(_ISO_SHAPE), F.try_to_timestamp(value))
+    return F.coalesce(*(F.try_to_timestamp(value, F.lit(form + t)) for t in TIME_FORMATS))
+
+
+def date_forms(
+    df: DataFrame, columns: Sequence[str], formats: Sequence[str] = COLUMN_FORMATS
+) -> DataFrame:
+    """Which form the dates of each text column have, decided by the whole column in one pass.
+
+    One row per column: ``column_name``, ``n_values``, ``form`` (the one that reads most values, ISO
+    first, then in the order of ``formats``; null where none reads any), ``n_read`` by that form, and
+    ``ambiguous``: another form reads as many values, and at least one of them as another day.
+    """
+    forms = [ISO, *formats]
+    measures, parts = [], []
+    for i, name in enumerate(columns):
+        text = F.nullif(F.trim(F.col(name)), F.lit(""))
+        measures.append(F.count(text).alias(f"n_{i}"))
+        read = [_read_as(text, form) for form in forms]
+        for k, day in enumerate(read):
+            measures.append(F.count(day).alias(f"r_{i}_{k}"))
+            # Pairs of forms that read some value as different days; a few of them per column.
+            for j in range(k):
+                measures.append(F.max((day != read[j]).cast("int")).alias(f"d_{i}_{j}_{k}"))
+        counts = [F.col(f"r_{i}_{k}") for k in range(len(forms))]
+        most = F.greatest(*counts)
+        best = F.lit(None).cast("int")
+        for k in reversed(range(len(forms))):
+            best = F.when((counts[k] == most) & (most > 0), k).otherwise(best)
+        rivals = F.lit(False)
+        for k in range(len(forms)):
+            for j in range(k):
+                apart = (F.col(f"d_{i}_{j}_{k}") == 1) & (counts[j] == most) & (counts[k] == most)
+                rivals = rivals | (F.coalesce(apart, F.lit(False)) & (best == j))
+        parts.append(
+            F.struct(
+                F.lit(name).alias("column_name"),
+                F.col(f"n_{i}").alias("n_values"),
+                F.get(F.array(*map(F.lit, forms)), best).alias("form"),
+                most.alias("n_read"),
+                F.coalesce(rivals, F.lit(False)).alias("ambiguous"),
+            )
+        )
+    found = df.agg(*measures)
+    return found.select(F.explode(F.array(*parts)).alias("part")).select("part.*")
+
+
+def read_dates(
+    df: DataFrame, columns: Sequence[str], formats: Sequence[str] = COLUMN_FORMATS,
+    ambiguous: str = "first",
+) -> DataFrame:
+    """Text columns as timestamps, each by the one form that ``date_forms`` finds for it.
+
+    A value that the form of its column does not read is null. Where two forms read a column
+    alike but differ in a day, the earlier one in the order counts, or the call raises with
+    ``ambiguous="raise"``. One row per column comes to the driver.
+    """
+    found = date_forms(df, columns, formats).collect()
+    unclear = [r.column_name for r in found if r.ambiguous]
+    if unclear and ambiguous == "raise":
+        raise ValueError(f"day and month cannot be told apart in: {', '.join(unclear)}")
+    fixes = {
+        r.column_name: _read_as(F.col(r.column_name), r.form)
+        if r.form else F.lit(None).cast("timestamp")
+        for r in found
+    }
+    return df.withColumns(fixes) if fixes else df
+
+
 def read_number(value: Column | str, kind: T.DataType) -> Column:
     """Number of a text; what is no number of that kind is null.
 
-    Amounts get eight decimals, so rates such as 8.375 stay as they are. A float written in full,
-    such as 0.30000000000000004 or 33.333333333333336, is rounded to them; an amount of fewer than
-    FLOAT_DIGITS digits with more decimals counts as unreadable. An integer may be written as a
-    float without a fraction, such as 12.0 or 1e+16.
+    Amounts are rounded half up to eight decimals, however many digits they are written with and
+    also in scientific notation, so rates such as 8.375 stay as they are. An integer may be
+    written as a float without a fraction, such as 12.0 or 1e+16.
     """
     value = F.trim(F.col(value) if isinstance(value, str) else value)
     if isinstance(kind, T.DecimalType):
-        amount = value.try_cast(EXACT_AMOUNT)
-        digits = F.regexp_replace(value, r"^[+-]?[0.]*|[.]|[eE].*$", "")
-        whole = amount == value.try_cast("decimal(38,18)")
-        return F.when(whole | (F.length(digits) >= FLOAT_DIGITS), amount)
+        return value.try_cast(EXACT_AMOUNT)
     found = value.try_cast(kind)
     if isinstance(kind, T.IntegralType):
         exact = value.try_cast("decimal(38,18)")
@@ -64,8 +143,6 @@ def read_number(value: Column | str, kind: T.DataType) -> Column:
 
 
 EXACT_AMOUNT = "decimal(26,8)"
-# Fixed value: a double that is no short decimal is written with this many digits or more.
-FLOAT_DIGITS = 15
 
 
 def type_columns(df: DataFrame, table: str, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:

@@ -16,6 +16,9 @@ EVENT_CODEC = "zstd"
 LARGE_MB = 25
 BYTES_PER_MB = 1024 * 1024
 
+NO_VALUE = "\x00"
+"""Stands for a field with nothing in it while a file is read, so that ``""`` is an empty text."""
+
 
 def read_parquet(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
     """Scan Parquet; with a table name the known schema is used and no footer is read up front."""
@@ -35,12 +38,13 @@ def read_text_fields(
 ) -> DataFrame:
     """Scan CSV with a header line, plain or gzip (by the ``.gz`` suffix), every field as text.
 
-    A quote inside quotes is doubled. Fields with line breaks need ``multiline``, which reads each
+    A quote inside quotes is doubled, ``""`` is an empty text and nothing at all is null. Fields with line breaks need ``multiline``, which reads each
     file in one task. A gzip file cannot be split either; ``partitions`` spreads the rows after
     the scan.
     """
     raw = spark.read.csv(
-        path, header=True, inferSchema=False, multiLine=multiline, quote='"', escape='"'
+        path, header=True, inferSchema=False, multiLine=multiline, quote='"', escape='"',
+        emptyValue="", nullValue=NO_VALUE,
     )
     return raw.repartition(partitions) if partitions else raw
 
@@ -72,7 +76,12 @@ def write_parquet(df: DataFrame, path: str, codec: str = SMALL_CODEC) -> None:
 
 
 def write_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
-    writer = df.write.mode("overwrite").option("header", True)
+    """Write CSV that :func:`read_text_fields` reads back as it was: quotes are doubled.
+
+    Empty text is written in quotes and null as nothing; blanks at the ends of a field stay.
+    """
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     if gzip:
         writer = writer.option("compression", "gzip")
     writer.csv(path)

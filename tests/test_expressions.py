@@ -232,3 +232,35 @@ def test_cardinality_rule(spark):
             for r in cleaning.text_cardinality({"many": many}, approx).collect()
         }
         assert got == {"t": False, "u": True}
+
+
+def test_a_column_of_dates_is_read_by_one_form(spark):
+    days = [dt.date(2020, 2, 13), dt.date(2020, 3, 4), dt.date(1999, 12, 31)]
+    forms = {
+        "ISO 8601": "%Y-%m-%d", "d/M/yyyy": "%d/%m/%Y", "M/d/yyyy": "%m/%d/%Y",
+        "MMM d, yyyy": "%b %d, %Y", "yyyyMMdd": "%Y%m%d", "d-MMM-yyyy": "%d-%b-%Y",
+        "yyyy/M/d": "%Y/%m/%d", "d.M.yyyy": "%d.%m.%Y",
+    }
+    names = [f"c{i}" for i in range(len(forms))]
+    rows = [[d.strftime(f) for f in forms.values()] for d in days]
+    rows += [["unknown"] * len(forms), [""] * len(forms), [None] * len(forms)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    found = {r.column_name: r for r in cleaning.date_forms(df, names).collect()}
+    assert [found[n].form for n in names] == list(forms)
+    assert all((r.n_values, r.n_read, r.ambiguous) == (4, 3, False) for r in found.values())
+    for row, day in zip(cleaning.read_dates(df, names).collect(), [*days, None, None, None]):
+        assert all((v.date() if v else None) == day for v in row)
+
+
+def test_day_and_month_that_cannot_be_told_apart(spark):
+    rows = [("03/04/2020", "04/04/2020", "x", "03/04/2020 10:30"), ("01/02/2021", "05/05/2020", None, "13/04/2020 0:05:06")]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string")
+    found = {r.column_name: (r.form, r.ambiguous) for r in cleaning.date_forms(df, list("abcd")).collect()}
+    # Both forms read the same days in b, so nothing is unclear there.
+    assert found == {"a": ("d/M/yyyy", True), "b": ("d/M/yyyy", False), "c": (None, False), "d": ("d/M/yyyy", False)}
+    read = cleaning.read_dates(df, list("abcd")).first()
+    assert read.a == dt.datetime(2020, 4, 3) and read.d == dt.datetime(2020, 4, 3, 10, 30) and read.c is None
+    american = cleaning.read_dates(df, ["a"], ("M/d/yyyy", "d/M/yyyy")).first()
+    assert american.a == dt.datetime(2020, 3, 4)
+    with pytest.raises(ValueError):
+        cleaning.read_dates(df, ["a"], ambiguous="raise")

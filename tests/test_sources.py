@@ -4,10 +4,12 @@ import datetime as dt
 import gzip
 import os
 import uuid
+from decimal import Decimal
 
 import pytest
 
 from ledgerlens.bank import Bank
+from ledgerlens.operators import cleaning
 from ledgerlens.schema import TABLES, struct_for
 from ledgerlens.sources import catalog, files, local, scratch, warehouse
 from tests.conftest import rows
@@ -211,3 +213,29 @@ def test_row_counts(spark):
     frames = {"a": spark.range(3), "b": spark.range(0)}
     assert rows(catalog.row_counts(frames)) == [("a", 3), ("b", 0)]
     assert catalog.total_rows(frames).first().total_rows == 3
+
+
+def test_amounts_of_any_length_are_read(spark):
+    texts = ["0.123456789", "1e-9", "12.3456789012", "0.30000000000000004", "1.5E3", "-7", " 2.50 ", "x", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "LOAN_AMOUNT string")
+    found = [r[0] for r in cleaning.type_columns(df, "loan").collect()]
+    want = ["0.12345679", "0", "12.34567890", "0.30000000", "1500", "-7", "2.5", None, None, None]
+    assert found == [None if w is None else Decimal(w) for w in want]
+
+
+@pytest.mark.parametrize("gzip", [False, True])
+def test_csv_round_trip(spark, tmp_path, gzip):
+    """Quotes, commas, line breaks, blanks, empty text and null come back as they were."""
+    rows = [
+        (1, 'say "hi", x'), (2, "a,b"), (3, "two\nlines"), (4, ""), (5, None), (6, '"'), (7, '""'),
+        (8, " blanks  "), (9, "back\\slash\\"), (10, "tail,\"q\" "), (11, "\r\nx"), (12, "é日本"),
+    ]
+    df = spark.createDataFrame(rows, "BRANCH_ID long, BRANCH_NAME string")
+    path = f"{tmp_path}/branches.csv" + (".gz" if gzip else "")
+    files.write_csv(df.coalesce(1), path, gzip)
+    read = files.read_csv(spark, path, "branches", multiline=True)
+    assert sorted(tuple(r) for r in read.collect()) == rows
+    plain = [r for r in rows if r[1] is None or not set("\r\n") & set(r[1])]
+    files.write_csv(spark.createDataFrame(plain, df.schema).coalesce(2), path, gzip)
+    read = files.read_csv(spark, path, "branches")
+    assert sorted(tuple(r) for r in read.collect()) == plain
