@@ -43,11 +43,13 @@ def minus_baseline(df: DataFrame, column: str, baseline: DataFrame, name: str) -
 
 
 def report_history(
-    days: DataFrame, reports: DataFrame, key: str, day: str, report_day: str
+    days: DataFrame, reports: DataFrame, key: str, day: str, report_day: str,
+    count: str | None = None,
 ) -> DataFrame:
     """Add to every ``(key, day)`` row how many reports there are: all, and at or before the day.
 
-    ``days`` is unique by ``(key, day)``; other columns pass through. A join of every event with
+    ``days`` is unique by ``(key, day)``; other columns pass through. ``count`` names a column with
+    the reports a row of ``reports`` stands for; without it, each stands for one. A join of every event with
     every report of its customer would emit all pairs of a group; counting needs none of them.
     Reports are counted per day (or instant), both sides are laid on one time line, and a running sum
     gives the reports so far. It runs within the month; what earlier months hold comes from one row
@@ -58,7 +60,7 @@ def report_history(
     filed = (
         reports.filter(F.col(key).isNotNull())
         .groupBy(key, F.col(report_day).alias(day))
-        .agg(F.count(F.lit(1)).alias("_filed"))
+        .agg((F.sum(count) if count else F.count(F.lit(1))).cast("bigint").alias("_filed"))
         .withColumn("_event", F.lit(False))
     )
     line = events.unionByName(filed, allowMissingColumns=True)

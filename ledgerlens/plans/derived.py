@@ -134,8 +134,14 @@ def card_util(bank: Bank) -> DataFrame:
 
     Spend and fraud mark come out of one aggregation, so the event table is read once.
     """
-    totals = card_totals(bank).select("CARD_ID", "total_spend", "any_fraud")
-    spent = bank["cards"].join(totals, "CARD_ID", "left").withColumns(
+    return cards_used(
+        bank["cards"], card_totals(bank).select("CARD_ID", "total_spend", "any_fraud")
+    )
+
+
+def cards_used(cards: DataFrame, totals: DataFrame) -> DataFrame:
+    """Cards with utilisation, its band and a fraud mark, from ``totals`` of one row per card."""
+    spent = cards.join(totals, "CARD_ID", "left").withColumns(
         {
             "total_spend": F.coalesce("total_spend", F.lit(0)),
             "fraud_on_card": F.coalesce("any_fraud", F.lit(0)),

@@ -163,22 +163,26 @@ def spend_vs_fraud(bank: Bank) -> DataFrame:
 
 def segmentation(bank: Bank, approx: bool = False) -> DataFrame:
     """Customers and mean of their mean balances per income and credit band, in band order."""
-    segments = (
-        present(derived.customers_with_balance(bank, approx), "income_band", "credit_band")
+    return segments(derived.customers_banded(bank, approx), derived.customer_balance(bank))
+
+
+def segments(customers: DataFrame, balances: DataFrame) -> DataFrame:
+    """The same from banded customers and ``balances`` of one row per customer."""
+    found = (
+        present(customers.join(balances, "CUSTOMER_ID", "left"), "income_band", "credit_band")
         .groupBy("income_band", "credit_band")
         .agg(
             F.count("CUSTOMER_ID").alias("customers"),
             F.avg("BALANCE").alias("avg_balance"),
         )
     )
-    return segments.orderBy(INCOME.position("income_band"), CREDIT.position("credit_band"))
+    return found.orderBy(INCOME.position("income_band"), CREDIT.position("credit_band"))
 
 
 def segmentation_matrix(bank: Bank, approx: bool = False) -> DataFrame:
     """Mean balance as an income band by credit band matrix."""
-    segments = segmentation(bank, approx)
     return (
-        segments.groupBy("income_band")
+        segmentation(bank, approx).groupBy("income_band")
         .pivot("credit_band", list(CREDIT.labels))
         .agg(F.first("avg_balance"))
         .orderBy(INCOME.position("income_band"))

@@ -53,22 +53,28 @@ def credit_band_risk(bank: Bank, as_of: Day = None) -> DataFrame:
         present(derived.loan_full(bank, as_of), "CUSTOMER_ID")
         .groupBy("CUSTOMER_ID")
         .agg(
-            F.count("LOAN_ID").alias("_loans"),
-            F.sum("is_default").alias("_defaults"),
-            F.sum("ever_late").alias("_late"),
+            F.count("LOAN_ID").alias("loans"),
+            F.sum("is_default").alias("defaults"),
+            F.sum("ever_late").alias("late"),
         )
     )
-    banded = bank["customers"].select(
+    return credit_band_rates(per_customer, bank["customers"])
+
+
+def credit_band_rates(per_customer: DataFrame, customers: DataFrame) -> DataFrame:
+    """The same from ``loans, defaults, late`` of one row per customer."""
+    banded = customers.select(
         "CUSTOMER_ID", CREDIT.label("CREDIT_SCORE").alias("credit_band")
     )
     return (
         per_customer.join(present(banded, "credit_band"), "CUSTOMER_ID")
         .groupBy("credit_band")
         .agg(
-            F.sum("_loans").alias("loans"),
-            pct(F.sum("_defaults"), F.sum("_loans")).alias("defaults_rate_pct"),
-            pct(F.sum("_late"), F.sum("_loans")).alias("late_rate_pct"),
+            pct(F.sum("defaults"), F.sum("loans")).alias("defaults_rate_pct"),
+            pct(F.sum("late"), F.sum("loans")).alias("late_rate_pct"),
+            F.sum("loans").alias("loans"),
         )
+        .select("credit_band", "loans", "defaults_rate_pct", "late_rate_pct")
         .orderBy(CREDIT.position("credit_band"))
     )
 
@@ -190,8 +196,15 @@ def prior_report(bank: Bank, dedupe: bool = False) -> DataFrame:
     By default a transaction counts once per report of its customer. With ``dedupe`` it counts
     once, as having a prior report when any of them came first.
     """
+    return prior_rates(customer_days(bank), fraud_reports(bank), dedupe)
+
+
+def prior_rates(
+    days: DataFrame, reports: DataFrame, dedupe: bool = False, count: str | None = None
+) -> DataFrame:
+    """The same from transactions per customer and day; ``count`` names the reports of a row."""
     history = report_history(
-        customer_days(bank), fraud_reports(bank), "CUSTOMER_ID", "TXN_DATE", "fraud_report_date"
+        days, reports, "CUSTOMER_ID", "TXN_DATE", "fraud_report_date", count
     )
     if dedupe:
         prior = (F.col("n_prior_reports") > 0).cast("bigint")
@@ -223,8 +236,12 @@ def prior_report(bank: Bank, dedupe: bool = False) -> DataFrame:
 
 def report_lift(bank: Bank, dedupe: bool = False) -> DataFrame:
     """Rate with minus rate without a prior report; null when one of the groups is missing."""
+    return lift_of(prior_report(bank, dedupe))
+
+
+def lift_of(prior: DataFrame) -> DataFrame:
     rate, mark = F.col("fraud_rate_pct"), F.col("had_prior_fraud_report")
-    sides = prior_report(bank, dedupe).agg(
+    sides = prior.agg(
         F.max(F.when(mark, rate)).alias("rate_with"),
         F.max(F.when(~mark, rate)).alias("rate_without"),
     )
@@ -273,7 +290,12 @@ def branch_excess_raw(bank: Bank) -> DataFrame:
             F.count_if(is_default()).alias("defaults"),
         )
     )
-    rated = cells.join(network_rate(bank), "LOAN_TYPE", "left")
+    return excess_of(cells, network_rate(bank), bank["branches"])
+
+
+def excess_of(cells: DataFrame, rates: DataFrame, branches: DataFrame) -> DataFrame:
+    """The same from loans, rows and defaults per branch and type, and the rate of each type."""
+    rated = cells.join(rates, "LOAN_TYPE", "left")
     rate = F.col("network_default_rate")
     rated_rows = F.when(rate.isNotNull(), F.col("n_rows"))
     actual = ratio(F.sum("defaults"), F.sum("n_rows"))
@@ -283,7 +305,7 @@ def branch_excess_raw(bank: Bank) -> DataFrame:
         actual.alias("actual_default_rate"),
         expected.alias("expected_default_rate"),
     )
-    named = per_branch.join(bank["branches"].select("BRANCH_ID", "BRANCH_NAME"), "BRANCH_ID")
+    named = per_branch.join(branches.select("BRANCH_ID", "BRANCH_NAME"), "BRANCH_ID")
     excess = F.col("actual_default_rate") - F.col("expected_default_rate")
     return named.withColumns(
         {
@@ -353,12 +375,15 @@ def escalation_counts(bank: Bank, settled: Sequence[str] = SETTLED_TICKET_STATUS
         .groupBy("CUSTOMER_ID", "STATUS")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    known = per_customer.join(
-        bank["customers"].select("CUSTOMER_ID"), "CUSTOMER_ID", "left_semi"
-    )
-    marked = mark_exists(
-        known, "CUSTOMER_ID", escalated_tickets(bank, settled), "had_escalated_ticket"
-    )
+    return escalation_of(per_customer, bank["customers"], escalated_tickets(bank, settled))
+
+
+def escalation_of(
+    per_customer: DataFrame, customers: DataFrame, escalated: DataFrame
+) -> DataFrame:
+    """The same from accounts per customer and status, and tickets that are escalated."""
+    known = per_customer.join(customers.select("CUSTOMER_ID"), "CUSTOMER_ID", "left_semi")
+    marked = mark_exists(known, "CUSTOMER_ID", escalated, "had_escalated_ticket")
     return marked.groupBy("STATUS", "had_escalated_ticket").agg(F.sum("n").alias("n"))
 
 
@@ -367,7 +392,10 @@ MARK_VALUES, MARK_NAMES = (False, True), ("not_escalated_pct", "escalated_pct")
 
 def escalation_crosstab(bank: Bank, by: str = "row") -> DataFrame:
     """Account status against escalation in percent of the row or of the column."""
-    counts = escalation_counts(bank)
+    return escalation_shares(escalation_counts(bank), by)
+
+
+def escalation_shares(counts: DataFrame, by: str = "row") -> DataFrame:
     return crosstab.crosstab_matrix(
         counts, "STATUS", "had_escalated_ticket", MARK_VALUES, MARK_NAMES, by
     ).orderBy("STATUS")
@@ -375,9 +403,13 @@ def escalation_crosstab(bank: Bank, by: str = "row") -> DataFrame:
 
 def escalation_risk(bank: Bank, risky: Sequence[str] = RISK_STATUSES) -> DataFrame:
     """Share of dormant and closed accounts among escalated customers and among the others."""
+    return risk_of(escalation_counts(bank), risky)
+
+
+def risk_of(counts: DataFrame, risky: Sequence[str] = RISK_STATUSES) -> DataFrame:
     n, mark = F.col("n"), F.col("had_escalated_ticket")
     risk = normalized("STATUS").isin(*risky)
-    sides = escalation_counts(bank).agg(
+    sides = counts.agg(
         ratio(F.sum(F.when(mark & risk, n).otherwise(0)), F.sum(F.when(mark, n))).alias("_with"),
         ratio(F.sum(F.when(~mark & risk, n).otherwise(0)), F.sum(F.when(~mark, n))).alias(
             "_without"
@@ -423,7 +455,11 @@ def age_status_crosstab(bank: Bank, as_of: Day = None) -> DataFrame:
 
 def leading_status_per_age(bank: Bank, as_of: Day = None) -> DataFrame:
     """The most common status in every age band, with its share."""
-    shares = crosstab.crosstab_pct(age_status_counts(bank, as_of), "account_age_band", "STATUS")
+    return leading_status(age_status_counts(bank, as_of))
+
+
+def leading_status(counts: DataFrame) -> DataFrame:
+    shares = crosstab.crosstab_pct(counts, "account_age_band", "STATUS")
     return leading_per_group(shares, "account_age_band", "STATUS", "pct").select(
         "account_age_band", "STATUS", "pct"
     )

@@ -1,7 +1,8 @@
-"""One fact and one sentence per analysis, built from its leading row.
+"""Facts and sentences of every analysis, built from its leading rows.
 
-Every piece is a one-row frame, so the union is a short table however large the bank is, and
-nothing is collected to build the text.
+All of them roll up from the shared cells, so that each event table is read once. Every piece is a
+frame of a few rows, so the union is a short table however large the bank is, and nothing is
+collected to build the text.
 """
 
 from __future__ import annotations
@@ -13,27 +14,31 @@ from pyspark.sql import functions as F
 
 from ledgerlens.bank import Bank
 from ledgerlens.functions.scalars import round_even
-from ledgerlens.operators.ranking import top
-from ledgerlens.plans import descriptive, diagnostic
+from ledgerlens.operators.ranking import leading_key, top
+from ledgerlens.plans import diagnostic
+from ledgerlens.plans.cells import Cells
 from ledgerlens.plans.derived import Day
 
 
 def _leaders(bank: Bank, as_of: Day) -> list[tuple[str, DataFrame, Column, Column, Column]]:
-    """(analysis, leading row, key, value, sentence) of every analysis that has an insight."""
+    """(analysis, leading rows, key, value, sentence) of every analysis that has an insight."""
     c = F.col
     money = lambda name: F.format_number(c(name), 0)
-    accounts = top(descriptive.account_mix(bank), "accounts", 1, "ACCOUNT_TYPE", "STATUS")
-    loans = top(descriptive.loan_mix(bank), "total_disbursed", 1, "LOAN_TYPE")
-    category = top(descriptive.fraud_by_category(bank), "fraud_rate_pct", 1, "MERCHANT_CATEGORY")
-    card_type = top(descriptive.fraud_by_card_type(bank), "fraud_rate_pct", 1, "CARD_TYPE")
-    loan_type = top(descriptive.default_by_loan_type(bank, as_of), "default_rate_pct", 1, "LOAN_TYPE")
-    issues = descriptive.ticket_summary(bank)
-    spend = descriptive.spend_vs_fraud(bank)
-    segment = top(descriptive.segmentation(bank), "avg_balance", 1, "income_band", "credit_band")
-    util = top(descriptive.util_by_card_type(bank), "utilization_pct", 1, "CARD_TYPE")
-    credit = diagnostic.credit_band_risk(bank, as_of)
-    above = diagnostic.positive_excess(bank)
-    band = diagnostic.riskiest_util_band(bank)
+    cells = Cells(bank, as_of)
+    accounts = top(cells.account_mix(), "accounts", 1, "ACCOUNT_TYPE", "STATUS")
+    loans = top(cells.loan_types(), "total_disbursed", 1, "LOAN_TYPE")
+    spend = cells.categories()
+    category = top(spend, "fraud_rate_pct", 1, "MERCHANT_CATEGORY")
+    types = cells.card_types()
+    card_type = top(types.filter("total_txn is not null"), "fraud_rate_pct", 1, "CARD_TYPE")
+    loan_type = top(cells.loan_types(), "default_rate_pct", 1, "LOAN_TYPE")
+    issues = cells.issues()
+    segment = top(cells.segments(), "avg_balance", 1, "income_band", "credit_band")
+    util = top(types, "utilization_pct", 1, "CARD_TYPE")
+    credit = cells.credit_bands()
+    above = cells.positive_excess()
+    band = leading_key(cells.util_bands(), "util_band", "fraud_rate_pct")
+    shares = diagnostic.escalation_shares(cells.escalation, by="column")
     text = F.format_string
     return [
         (
@@ -100,7 +105,7 @@ def _leaders(bank: Bank, as_of: Day) -> list[tuple[str, DataFrame, Column, Colum
             text("Credit band %s pays late most often (%.2f%%).", "credit_band", "late_rate_pct"),
         ),
         (
-            "report_lift", diagnostic.report_lift(bank).filter(c("lift").isNotNull()),
+            "report_lift", cells.report_lift().filter(c("lift").isNotNull()),
             c("verdict"), round_even(c("lift")),
             text("Fraud rate %.2f%% after a report of the customer, %.2f%% otherwise"
                  " (%+.2f points): %s.", "rate_with", "rate_without", "lift", "verdict"),
@@ -121,7 +126,7 @@ def _leaders(bank: Bank, as_of: Day) -> list[tuple[str, DataFrame, Column, Colum
         ),
         (
             "escalation_risk",
-            diagnostic.escalation_risk(bank).filter(c("escalated_risk_pct").isNotNull()),
+            diagnostic.risk_of(cells.escalation).filter(c("escalated_risk_pct").isNotNull()),
             c("verdict"), round_even(c("escalated_risk_pct"), 4),
             text("%.1f%% of accounts of customers with escalated tickets are dormant or closed,"
                  " %.1f%% of the others: %s.", "escalated_risk_pct", "other_risk_pct", "verdict"),
@@ -131,9 +136,37 @@ def _leaders(bank: Bank, as_of: Day) -> list[tuple[str, DataFrame, Column, Colum
             text("Cards in utilisation band %s see fraud most often (%.2f%%).",
                  "util_band", "fraud_rate_pct"),
         ),
+        (
+            "escalated_share", shares, c("STATUS"), c("escalated_pct"),
+            text("%.1f%% of accounts of customers with escalated tickets are %s, %.1f%% of the others.",
+                 "escalated_pct", "STATUS", "not_escalated_pct"),
+        ),
+        (
+            "age_status", cells.age_leaders(),
+            F.concat_ws("/", "account_age_band", "STATUS"), c("pct"),
+            text("Accounts aged %s are mostly %s (%.2f%%).", "account_age_band", "STATUS", "pct"),
+        ),
     ]
 
 
+def model_sentences(best: DataFrame, importance: DataFrame) -> DataFrame:
+    """(analysis, sentence): the best model of each task, and the strongest driver of its forest.
+
+    ``best`` is that of ``evaluation.best_model`` per task, ``importance`` the forests' importances
+    of all tasks; both have a few rows per task.
+    """
+    lead = F.struct((-F.col("importance")).alias("_i"), F.col("feature").alias("_f"))
+    strongest = importance.groupBy("task").agg(F.min(lead).alias("_lead"))
+    rows = best.join(strongest, "task")
+    sentence = F.format_string(
+        "%s performs best on the %s task (ROC-AUC %.3f); %s is the strongest driver,"
+        " with %.1f%% of the forest's decision weight.",
+        "best_model", "task", "roc_auc", "_lead._f", -F.col("_lead._i") * 100,
+    )
+    analysis = F.concat(F.lit("model_"), "task").alias("analysis")
+    return rows.select(analysis, sentence.alias("sentence"))
+
+
 def facts(bank: Bank, as_of: Day = None) -> DataFrame:
     """(analysis, key, value) of every leading row."""
     return reduce(

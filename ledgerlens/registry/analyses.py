@@ -487,45 +487,86 @@ def idxmax_per_row(context: Context) -> DataFrame:
 # ---- insights ---------------------------------------------------------------------------------
 
 
-def _fact_sql(name: str, source: str, key: str, value: str, order: str) -> str:
-    return f"""select * from (select '{name}' as analysis, {key} as "key",
-      cast({value} as double) as value from {source} order by {order} limit 1) f"""
-
-
+def _money(column: str) -> str:
+    return f"format('{{:,}}', cast(round_even({column}, 0) as bigint))"
+
+
+# (analysis, source, key, value, order, rows, sentence): the naive form, over the full analyses.
+INSIGHTS = [
+    ("account_mix", "desc_account_mix", "ACCOUNT_TYPE || '/' || STATUS", "total_balance",
+     "accounts desc, ACCOUNT_TYPE, STATUS", 1,
+     "'Most accounts are ' || ACCOUNT_TYPE || '/' || STATUS || ', with a balance of '"
+     f" || {_money('total_balance')} || ' in all.'"),
+    ("loan_mix", "desc_loan_mix", "LOAN_TYPE", "total_disbursed",
+     "total_disbursed desc, LOAN_TYPE", 1,
+     f"printf('The largest loan book is %s: %s paid out at %.2f%% on average.', LOAN_TYPE,"
+     f" {_money('total_disbursed')}, avg_interest_rate)"),
+    ("fraud_by_category", "desc_fraud_by_category", "MERCHANT_CATEGORY", "fraud_rate_pct",
+     "fraud_rate_pct desc, MERCHANT_CATEGORY", 1,
+     "printf('Fraud is most frequent in %s (%.2f%% of transactions).', MERCHANT_CATEGORY,"
+     " fraud_rate_pct)"),
+    ("fraud_by_card_type", "desc_fraud_by_card_type", "CARD_TYPE", "fraud_rate_pct",
+     "fraud_rate_pct desc, CARD_TYPE", 1,
+     "printf('Among card types, %s has the highest fraud rate (%.2f%%).', CARD_TYPE,"
+     " fraud_rate_pct)"),
+    ("default_by_loan_type", "desc_default_by_loan_type", "LOAN_TYPE", "default_rate_pct",
+     "default_rate_pct desc, LOAN_TYPE", 1,
+     "printf('%s loans default most often (%.2f%%); %.2f%% of them were ever paid late.',"
+     " LOAN_TYPE, default_rate_pct, late_rate_pct)"),
+    ("most_tickets", "desc_ticket_summary", "ISSUE_TYPE", "tickets",
+     "tickets desc, ISSUE_TYPE", 1,
+     "printf('%s causes the most tickets (%d).', ISSUE_TYPE, tickets)"),
+    ("slowest_tickets", "desc_ticket_summary", "ISSUE_TYPE", "avg_resolution_days",
+     "avg_resolution_days desc, ISSUE_TYPE", 1,
+     "printf('%s takes longest to resolve (%.1f days).', ISSUE_TYPE, avg_resolution_days)"),
+    ("top_spend", "desc_spend_vs_fraud", "MERCHANT_CATEGORY", "total_spend",
+     "total_spend desc, MERCHANT_CATEGORY", 1,
+     f"printf('Most is spent on %s (%s).', MERCHANT_CATEGORY, {_money('total_spend')})"),
+    ("segmentation", "desc_segmentation", "income_band || '/' || credit_band", "avg_balance",
+     "avg_balance desc, income_band, credit_band", 1,
+     "printf('The best balance (%s) is held in income band %s, credit band %s.',"
+     f" {_money('avg_balance')}, income_band, credit_band)"),
+    ("utilization", "desc_util_by_card_type", "CARD_TYPE", "utilization_pct",
+     "utilization_pct desc nulls last, CARD_TYPE", 1,
+     "printf('%s cards use most of their limit (%.2f%%): review limits or offers.', CARD_TYPE,"
+     " utilization_pct)"),
+    ("credit_band_default", "diag_credit_band_risk", "credit_band", "defaults_rate_pct",
+     "defaults_rate_pct desc, credit_band", 1,
+     "printf('Credit band %s defaults most often (%.2f%%).', credit_band, defaults_rate_pct)"),
+    ("credit_band_late", "diag_credit_band_risk", "credit_band", "late_rate_pct",
+     "late_rate_pct desc, credit_band", 1,
+     "printf('Credit band %s pays late most often (%.2f%%).', credit_band, late_rate_pct)"),
+    ("report_lift", "diag_report_lift", "verdict", "round_even(lift, 2)", "1", 1,
+     "printf('Fraud rate %.2f%% after a report of the customer, %.2f%% otherwise (%+.2f points):"
+     " %s.', rate_with, rate_without, lift, verdict)"),
+    ("branches_above_expected", "filt_positive_excess", "BRANCH_NAME", "count(*) over ()",
+     "excess_default_pct desc, BRANCH_ID", 1,
+     "printf('%d branches default more than their loan mix explains; %s most (%+.2f points).',"
+     " count(*) over (), BRANCH_NAME, excess_default_pct)"),
+    ("escalation_risk", "diag_escalation_risk", "verdict", "round_even(escalated_risk_pct, 4)",
+     "1", 1,
+     "printf('%.1f%% of accounts of customers with escalated tickets are dormant or closed,"
+     " %.1f%% of the others: %s.', escalated_risk_pct, other_risk_pct, verdict)"),
+    ("util_band_fraud", "diag_util_fraud", "util_band", "fraud_rate_pct",
+     "fraud_rate_pct desc, util_band", 1,
+     "printf('Cards in utilisation band %s see fraud most often (%.2f%%).', util_band,"
+     " fraud_rate_pct)"),
+    ("escalated_share", "diag_escalation_crosstab_col", "STATUS", "escalated_pct", "STATUS", 100,
+     "printf('%.1f%% of accounts of customers with escalated tickets are %s, %.1f%% of the"
+     " others.', escalated_pct, STATUS, not_escalated_pct)"),
+    ("age_status", "idxmax_per_row", "account_age_band || '/' || STATUS", "pct",
+     "account_age_band", 100,
+     "printf('Accounts aged %s are mostly %s (%.2f%%).', account_age_band, STATUS, pct)"),
+]
 FACTS_SQL = " union all ".join(
-    [
-        _fact_sql("account_mix", "desc_account_mix", "ACCOUNT_TYPE || '/' || STATUS",
-                  "total_balance", "accounts desc, ACCOUNT_TYPE, STATUS"),
-        _fact_sql("loan_mix", "desc_loan_mix", "LOAN_TYPE", "total_disbursed",
-                  "total_disbursed desc, LOAN_TYPE"),
-        _fact_sql("fraud_by_category", "desc_fraud_by_category", "MERCHANT_CATEGORY",
-                  "fraud_rate_pct", "fraud_rate_pct desc, MERCHANT_CATEGORY"),
-        _fact_sql("fraud_by_card_type", "desc_fraud_by_card_type", "CARD_TYPE",
-                  "fraud_rate_pct", "fraud_rate_pct desc, CARD_TYPE"),
-        _fact_sql("default_by_loan_type", "desc_default_by_loan_type", "LOAN_TYPE",
-                  "default_rate_pct", "default_rate_pct desc, LOAN_TYPE"),
-        _fact_sql("most_tickets", "desc_ticket_summary", "ISSUE_TYPE", "tickets",
-                  "tickets desc, ISSUE_TYPE"),
-        _fact_sql("slowest_tickets", "desc_ticket_summary", "ISSUE_TYPE", "avg_resolution_days",
-                  "avg_resolution_days desc, ISSUE_TYPE"),
-        _fact_sql("top_spend", "desc_spend_vs_fraud", "MERCHANT_CATEGORY", "total_spend",
-                  "total_spend desc, MERCHANT_CATEGORY"),
-        _fact_sql("segmentation", "desc_segmentation", "income_band || '/' || credit_band",
-                  "avg_balance", "avg_balance desc, income_band, credit_band"),
-        _fact_sql("utilization", "desc_util_by_card_type", "CARD_TYPE", "utilization_pct",
-                  "utilization_pct desc nulls last, CARD_TYPE"),
-        _fact_sql("credit_band_default", "diag_credit_band_risk", "credit_band",
-                  "defaults_rate_pct", "defaults_rate_pct desc, credit_band"),
-        _fact_sql("credit_band_late", "diag_credit_band_risk", "credit_band",
-                  "late_rate_pct", "late_rate_pct desc, credit_band"),
-        _fact_sql("report_lift", "diag_report_lift", "verdict", "round_even(lift, 2)", "1"),
-        _fact_sql("branches_above_expected", "filt_positive_excess", "BRANCH_NAME",
-                  "count(*) over ()", "excess_default_pct desc, BRANCH_ID"),
-        _fact_sql("escalation_risk", "diag_escalation_risk", "verdict",
-                  "round_even(escalated_risk_pct, 4)", "1"),
-        _fact_sql("util_band_fraud", "diag_util_fraud", "util_band", "fraud_rate_pct",
-                  "fraud_rate_pct desc, util_band"),
-    ]
+    f"""select * from (select '{name}' as analysis, {key} as "key",
+      cast({value} as double) as value from {source} order by {order} limit {rows}) f"""
+    for name, source, key, value, order, rows, _ in INSIGHTS
+).replace("cast(avg_balance as double)", "round_even(avg_balance, 4)")
+SENTENCES_SQL = " union all ".join(
+    f"""select * from (select '{name}' as analysis, {sentence} as sentence
+      from {source} order by {order} limit {rows}) f"""
+    for name, source, _, _, order, rows, sentence in INSIGHTS
 )
 
 
@@ -534,6 +575,6 @@ def insight_table_facts(context: Context) -> DataFrame:
     return insights.facts(context.bank, AS_OF)
 
 
-@query("insight_table")
+@query("insight_table", SENTENCES_SQL)
 def insight_table(context: Context) -> DataFrame:
     return insights.sentences(context.bank, AS_OF)

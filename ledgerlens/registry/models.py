@@ -12,6 +12,7 @@ from ledgerlens.functions.scalars import round_even
 from ledgerlens.models import evaluation, features, scoring, training
 from ledgerlens.models.features import DEFAULT, FRAUD, LATE, TASKS
 from ledgerlens.operators import sampling
+from ledgerlens.plans import insights
 from ledgerlens.registry.core import Context, query
 from ledgerlens.sources.scratch import new_folder
 from ledgerlens.testbed import AS_OF
@@ -295,6 +296,14 @@ def ml_best_model(context: Context) -> DataFrame:
     return evaluation.best_model(_summary(context), "task")
 
 
+@query("insight_models")
+def insight_models(context: Context) -> DataFrame:
+    """The sentence of every task: its best model and the strongest driver of its forest."""
+    return insights.model_sentences(
+        evaluation.best_model(_summary(context), "task"), ml_feature_importance(context)
+    )
+
+
 # ---- scoring ----------------------------------------------------------------------------------
 
 

@@ -3,9 +3,11 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.plans import derived, descriptive, diagnostic, insights
+from ledgerlens.plans.cells import Cells
 from tests.conftest import day, rows
 
 AS_OF = day("2002-01-01")
@@ -285,3 +287,103 @@ def test_insights_name_the_leaders(spark, sf_dir):
     assert facts["fraud_by_category"].key == leader.MERCHANT_CATEGORY
     assert leader.MERCHANT_CATEGORY in sentences["fraud_by_category"]
     assert f"{leader.fraud_rate_pct:.2f}%" in sentences["fraud_by_category"]
+
+
+@pytest.fixture
+def quick_plans(spark):
+    """Many plans over a few rows: one partition and no compiled code."""
+    settings = {"spark.sql.shuffle.partitions": "1", "spark.sql.codegen.wholeStage": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_cells_give_the_facts_of_the_full_analyses(quick_plans, make_bank):
+    """Null keys, null measures and values outside the declared domains, against the base tables."""
+    day = dt.date(2001, 5, 1)
+    keys = [1, 2, 3, None]
+    bank = make_bank(
+        customers=[
+            {"CUSTOMER_ID": i, "ANNUAL_INCOME": 100.0 * i, "CREDIT_SCORE": 550 + 60 * i} for i in (1, 2, 3, 4)
+        ],
+        cards=[
+            {"CARD_ID": i, "CUSTOMER_ID": keys[i % 4], "CARD_TYPE": ["Gold", None, "Debit"][i % 3],
+             "CREDIT_LIMIT": Decimal(100 * (i % 3))} for i in range(8)
+        ],
+        card_transaction=[
+            {"CARD_TXN_ID": i, "CARD_ID": [i % 9, None][i % 11 == 0], "AMOUNT": [Decimal(i), None][i % 5 == 0],
+             "MERCHANT_CATEGORY": ["Fuel", "Travel", None][i % 3], "IS_FRAUD": [1, 0, 0, None][i % 4],
+             "TXN_DATE": [day + dt.timedelta(i % 6), None][i % 13 == 0]} for i in range(90)
+        ],
+        loan=[
+            {"LOAN_ID": i, "CUSTOMER_ID": keys[i % 4], "BRANCH_ID": [7, 8, None][i % 3],
+             "LOAN_TYPE": ["Home", "Auto", None][i % 4 % 3], "LOAN_AMOUNT": Decimal(i), "START_DATE": day,
+             "INTEREST_RATE": [Decimal("5.25"), None][i % 5 == 0],
+             "STATUS": ["Active", "Defaulted", None][i % 7 % 3]} for i in range(40)
+        ],
+        loan_payment=[
+            {"PAYMENT_ID": i, "LOAN_ID": i % 20, "LATE_PAYMENT_FLAG": [0, 1, None][i % 3]} for i in range(50)
+        ],
+        branches=[{"BRANCH_ID": b, "BRANCH_NAME": f"b{b}"} for b in (7, 8)],
+        accounts=[
+            {"ACCOUNT_ID": i, "CUSTOMER_ID": [*keys, 9][i % 5], "ACCOUNT_TYPE": ["NRI", "Salary", None][i % 3],
+             "STATUS": ["Active", "Dormant", "Frozen", None][i % 4], "BALANCE": [Decimal(i), None][i % 6 == 0],
+             "OPEN_DATE": day - dt.timedelta(100 * i)} for i in range(40)
+        ],
+        support_ticket=[
+            {"TICKET_ID": i, "CUSTOMER_ID": keys[i % 4], "ISSUE_TYPE": ["Fraud Report", "KYC", None][i % 3],
+             "STATUS": ["open", "closed", None][i % 5 % 3], "DATE_OPENED": [day + dt.timedelta(i % 6), None][i % 7 == 0],
+             "DATE_RESOLVED": day + dt.timedelta(9)} for i in range(30)
+        ],
+    )
+    cells = Cells(bank, day)
+    today = dt.date(2002, 1, 1)
+    cells.as_of = today
+
+    def same(found, wanted, *names):
+        assert rows(found.select(*names)) == rows(wanted.select(*names))
+
+    same(cells.account_mix(), descriptive.account_mix(bank), "ACCOUNT_TYPE", "STATUS", "accounts", "total_balance")
+    same(cells.loan_types(), descriptive.loan_mix(bank), "LOAN_TYPE", "total_disbursed", "avg_interest_rate")
+    same(cells.loan_types(), descriptive.default_by_loan_type(bank, today), "LOAN_TYPE", "default_rate_pct", "late_rate_pct")
+    same(cells.categories(), descriptive.fraud_by_category(bank), "MERCHANT_CATEGORY", "fraud_rate_pct")
+    same(cells.categories(), descriptive.spend_vs_fraud(bank), "MERCHANT_CATEGORY", "total_spend")
+    same(
+        cells.card_types().filter("total_txn is not null"), descriptive.fraud_by_card_type(bank),
+        "CARD_TYPE", "fraud_rate_pct",
+    )
+    same(cells.card_types(), descriptive.util_by_card_type(bank), "CARD_TYPE", "utilization_pct")
+    same(cells.util_bands(), diagnostic.util_fraud(bank), "util_band", "fraud_rate_pct")
+    same(cells.issues(), descriptive.ticket_summary(bank), "ISSUE_TYPE", "tickets", "avg_resolution_days")
+    same(cells.segments(), descriptive.segmentation(bank), "income_band", "credit_band", "avg_balance")
+    same(
+        cells.credit_bands(), diagnostic.credit_band_risk(bank, today),
+        "credit_band", "loans", "defaults_rate_pct", "late_rate_pct",
+    )
+    same(cells.positive_excess(), diagnostic.positive_excess(bank), *diagnostic.BRANCH_COLUMNS)
+    same(cells.report_lift(), diagnostic.report_lift(bank), "rate_with", "rate_without", "verdict")
+    same(cells.escalation, diagnostic.escalation_counts(bank), "STATUS", "had_escalated_ticket", "n")
+    same(cells.age_leaders(), diagnostic.leading_status_per_age(bank, today), "account_age_band", "STATUS", "pct")
+
+
+def test_insights_do_not_scan_event_tables_again(spark, sf_dir):
+    from ledgerlens import testbed
+
+    plan = insights.facts(testbed.bank_on(spark, sf_dir), testbed.AS_OF)._jdf.queryExecution().optimizedPlan()
+    scans = [str(leaf.toString()) for leaf in (plan.collectLeaves().apply(i) for i in range(plan.collectLeaves().size()))]
+    assert scans and not any("l_orderkey" in s or "event_id" in s for s in scans)
+
+
+def test_model_sentences(spark):
+    best = spark.createDataFrame([("fraud", "forest", 0.9123)], "task string, best_model string, roc_auc double")
+    weights = spark.createDataFrame(
+        [("fraud", "b", 0.4), ("fraud", "a", 0.4), ("fraud", "c", 0.2)], "task string, feature string, importance double"
+    )
+    assert rows(insights.model_sentences(best, weights)) == [(
+        "model_fraud",
+        "forest performs best on the fraud task (ROC-AUC 0.912); a is the strongest driver,"
+        " with 40.0% of the forest's decision weight.",
+    )]
