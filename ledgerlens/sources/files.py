@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,7 +73,53 @@ def codec_for(table: str) -> str:
 
 
 def write_parquet(df: DataFrame, path: str, codec: str = SMALL_CODEC) -> None:
-    df.write.mode("overwrite").option("compression", codec).parquet(path)
+    """Overwrite ``path``: the rows go to a folder beside it, which then takes its place.
+
+    A write that fails, or whose files cannot be read back with the same columns, leaves the old
+    files as they are. The version before stays at ``<path>.previous``, so ``df`` may even read
+    from ``path``.
+    """
+    path = path.rstrip("/")
+    staged = f"{path}.staged-{uuid.uuid4().hex}"
+    try:
+        df.write.option("compression", codec).parquet(staged)
+        found = df.sparkSession.read.parquet(staged)
+        if found.columns != df.columns:
+            raise OSError(f"{staged} does not hold the columns that were written")
+        found.count()
+    except Exception:
+        _files(df.sparkSession, staged).delete(staged)
+        raise
+    _files(df.sparkSession, path).replace(path, staged)
+
+
+class _files:
+    """Renames and deletions at the file system that holds a path."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._system = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def delete(self, path: str) -> None:
+        self._system.delete(self._path(path), True)
+
+    def _move(self, source: str, target: str) -> None:
+        if not self._system.rename(self._path(source), self._path(target)):
+            raise OSError(f"could not rename {source} to {target}")
+
+    def replace(self, path: str, staged: str) -> None:
+        """``staged`` becomes ``path``; what was there becomes ``<path>.previous``."""
+        previous = f"{path}.previous"
+        there = self._system.exists(self._path(path))
+        if there:
+            self.delete(previous)
+            self._move(path, previous)
+        try:
+            self._move(staged, path)
+        except Exception:
+            if there:
+                self._move(previous, path)
+            raise
 
 
 def write_csv(df: DataFrame, path: str, gzip: bool = False) -> None:

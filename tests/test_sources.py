@@ -7,6 +7,7 @@ import uuid
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.bank import Bank
 from ledgerlens.operators import cleaning
@@ -239,3 +240,62 @@ def test_csv_round_trip(spark, tmp_path, gzip):
     files.write_csv(spark.createDataFrame(plain, df.schema).coalesce(2), path, gzip)
     read = files.read_csv(spark, path, "branches")
     assert sorted(tuple(r) for r in read.collect()) == plain
+
+
+def failing(spark, n=1000):
+    """Rows of which the last ones cannot be computed, after others have been written."""
+    rows = spark.range(n).repartition(4)
+    bad = F.when(F.col("id") == n - 1, F.raise_error(F.lit("half-way")).cast("string")).otherwise("x")
+    return rows.select(F.col("id").alias("BRANCH_ID"), bad.alias("BRANCH_NAME"))
+
+
+def test_a_failed_write_keeps_the_old_files(spark, tmp_path):
+    path = f"{tmp_path}/branches.parquet"
+    old = spark.createDataFrame([(1, "a")], "BRANCH_ID long, BRANCH_NAME string")
+    files.write_parquet(old, path)
+    with pytest.raises(Exception, match="half-way"):
+        files.write_parquet(failing(spark), path)
+    assert rows(spark.read.parquet(path)) == [(1, "a")]
+    # A table may be rewritten from itself; the version before stays.
+    more = spark.read.parquet(path).unionByName(spark.createDataFrame([(2, "b")], old.schema))
+    files.write_parquet(more, path, "zstd")
+    assert rows(spark.read.parquet(path)) == [(1, "a"), (2, "b")]
+    assert rows(spark.read.parquet(f"{path}.previous")) == [(1, "a")]
+    files.write_parquet(old, path)
+    assert sorted(os.listdir(tmp_path)) == ["branches.parquet", "branches.parquet.previous"]
+
+
+def test_a_failed_table_keeps_its_old_rows(spark):
+    name = f"ledgerlens_stage_{uuid.uuid4().hex[:8]}"
+    catalog.create_database(spark, name)
+    old = spark.createDataFrame([(1, "a")], "BRANCH_ID long, BRANCH_NAME string")
+    loaders = {"branches": lambda: old, "loan": lambda: old}
+    assert {r.status for r in catalog.ingest_all(spark, loaders, name).collect()} == {"ok"}
+    loaders = {"branches": lambda: failing(spark), "loan": lambda: old.union(old)}
+    status = {r.table_name: (r.n_rows, r.status) for r in catalog.ingest_all(spark, loaders, name).collect()}
+    assert status == {"branches": (None, "failed"), "loan": (2, "ok")}
+    assert rows(catalog.read_table(spark, f"{name}.branches")) == [(1, "a")]
+    assert rows(catalog.read_table(spark, f"{name}.loan__previous")) == [(1, "a")]
+    listed = {r.tableName for r in spark.sql(f"SHOW TABLES IN {name}").collect()}
+    assert listed == {"branches", "loan", "loan__previous"}
+    spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+def test_bucketed_event_tables_are_grouped_and_joined_without_a_shuffle(spark, sf_dir):
+    from ledgerlens import testbed
+    from ledgerlens.plans import derived
+
+    given, name = testbed.bank_on(spark, sf_dir), f"ledgerlens_bucket_{uuid.uuid4().hex[:8]}"
+    catalog.create_database(spark, name)
+    loaders = {t: (lambda t=t: given[t]) for t in TABLES}
+    status = catalog.ingest_all(spark, loaders, name, buckets=4).collect()
+    assert {r.status for r in status} == {"ok"}
+    bank = Bank.from_catalog(spark, name)
+    for build in (derived.card_totals, derived.payment_history, derived.pay_stats):
+        plan = build(bank)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+        assert rows(build(bank)) == rows(build(given))
+    joined = bank["cards"].join(derived.card_totals(bank), "CARD_ID")
+    plan = joined.hint("merge")._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange hashpartitioning" in p and "card_transaction" in p for p in plan.split("SortMergeJoin"))
+    spark.sql(f"DROP DATABASE {name} CASCADE")
