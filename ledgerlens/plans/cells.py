@@ -8,8 +8,10 @@ tables. Sums, counts and extremes are kept, so rates and means of any coarser gr
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,15 @@ class Cells:
     def __init__(self, bank: Bank, as_of: Day = None):
         self.bank, self.as_of = bank, as_of
 
+    def build(self) -> Cells:
+        """Write all cell tables now, those that do not need each other at the same time."""
+        names = ("cards", "loans", "accounts", "tickets")
+        with ThreadPoolExecutor(len(names)) as pool:
+            tasks = [inheritable_thread_target(lambda n=n: getattr(self, n)) for n in names]
+            for job in [pool.submit(task) for task in tasks]:
+                job.result()
+        return self
+
     # ---- cell tables, written on first use ----------------------------------------------------
 
     @cached_property

@@ -24,7 +24,7 @@ def _leaders(bank: Bank, as_of: Day) -> list[tuple[str, DataFrame, Column, Colum
     """(analysis, leading rows, key, value, sentence) of every analysis that has an insight."""
     c = F.col
     money = lambda name: F.format_number(c(name), 0)
-    cells = Cells(bank, as_of)
+    cells = Cells(bank, as_of).build()
     accounts = top(cells.account_mix(), "accounts", 1, "ACCOUNT_TYPE", "STATUS")
     loans = top(cells.loan_types(), "total_disbursed", 1, "LOAN_TYPE")
     spend = cells.categories()
