@@ -109,6 +109,18 @@ def src_csv_gz(context: Context) -> DataFrame:
     return plain(as_dates(files.read_csv(context.spark, path, "transaction_list", partitions=spread)))
 
 
+@query("src_csv_torn", "select doc_id, text, lang, source, n_chars from documents")
+def src_csv_torn(context: Context) -> DataFrame:
+    """Texts with quotes and line breaks from a CSV export whose blocks are read on their own."""
+    folder = f"{new_folder(context.spark, 'torn')}/documents.csv"
+    given = files.read_parquet(context.spark, f"{context.sf_dir}/documents.parquet")
+    files.write_csv(given.select("doc_id", "text", "lang", "source", "n_chars"), folder)
+    fields = files.read_text_fields(context.spark, folder, multiline=True)
+    return fields.select(
+        *(F.col(c).cast(t) for c, t in given.select(*fields.columns).dtypes)
+    )
+
+
 @query("src_warehouse", LOAN_SQL)
 def src_warehouse(context: Context) -> DataFrame:
     """Full-table extract; the test tables stand in for a warehouse, which may not run here."""
@@ -180,6 +192,22 @@ def convert_report(context: Context) -> DataFrame:
     )
 
 
+@query(
+    "convert_report_rows",
+    f"select table_name, n_rows, true as has_sizes, true as status_fits from ({COUNTS_SQL}) c",
+)
+def convert_report_rows(context: Context) -> DataFrame:
+    """What is determined of ``convert_report``: rows per table, and a status that follows the size."""
+    large = F.col("parquet_mb") > files.LARGE_MB
+    status = F.when(large, "still large").otherwise("OK")
+    return convert_report(context).select(
+        "table_name",
+        "n_rows",
+        ((F.col("source_mb") > 0) & (F.col("parquet_mb") > 0)).alias("has_sizes"),
+        (F.col("status") == status).alias("status_fits"),
+    )
+
+
 @query("cat_row_counts", COUNTS_SQL)
 def cat_row_counts(context: Context) -> DataFrame:
     return catalog.row_counts(context.bank)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.cleaning import DATE_FORMATS, clean_headers, type_columns
 from ledgerlens.schema import EVENT_TABLES, TABLES, struct_for
+from ledgerlens.sources.torn import read_torn_fields
 
 # Codecs per kind of table and the size above which a file is reported.
 SMALL_CODEC = "snappy"
@@ -39,14 +40,15 @@ def read_text_fields(
 ) -> DataFrame:
     """Scan CSV with a header line, plain or gzip (by the ``.gz`` suffix), every field as text.
 
-    A quote inside quotes is doubled, ``""`` is an empty text and nothing at all is null. Fields with line breaks need ``multiline``, which reads each
-    file in one task. A gzip file cannot be split either; ``partitions`` spreads the rows after
-    the scan.
+    A quote inside quotes is doubled, ``""`` is an empty text and nothing at all is null. Fields
+    with line breaks need ``multiline``; the blocks of a file are then read by many tasks, too, see
+    :mod:`ledgerlens.sources.torn`. A gzip file cannot be split; ``partitions`` spreads the rows
+    after the scan.
     """
-    raw = spark.read.csv(
-        path, header=True, inferSchema=False, multiLine=multiline, quote='"', escape='"',
-        emptyValue="", nullValue=NO_VALUE,
-    )
+    options = {"quote": '"', "escape": '"', "emptyValue": "", "nullValue": NO_VALUE}
+    raw = spark.read.csv(path, header=True, inferSchema=False, **options)
+    if multiline:
+        raw = read_torn_fields(spark, path, raw.columns, options)
     return raw.repartition(partitions) if partitions else raw
 
 

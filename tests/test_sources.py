@@ -299,3 +299,60 @@ def test_bucketed_event_tables_are_grouped_and_joined_without_a_shuffle(spark, s
     plan = joined.hint("merge")._jdf.queryExecution().executedPlan().toString()
     assert not any("Exchange hashpartitioning" in p and "card_transaction" in p for p in plan.split("SortMergeJoin"))
     spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+def torn_text(line_end="\n", n=4_000):
+    """CSV records, a third of them torn, and what their fields are."""
+    expected, text = [], f"ID,NOTE{line_end}"
+    for i in range(n):
+        note = [f'plain {i}', f'two{line_end}lines, "{i}"', "", f'{line_end * (i % 7)}"{i}",{line_end}'][i % 4]
+        expected.append((str(i), note))
+        text += f'{i},"{note.replace(chr(34), chr(34) * 2)}"{line_end}'
+    return expected, text
+
+
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+def test_torn_records_are_read_by_many_tasks(spark, tmp_path, line_end):
+    expected, text = torn_text(line_end)
+    # One field is longer than many blocks and has the lines of other records in it.
+    long = line_end.join(f"{i},x" for i in range(9_000))
+    expected.append(("long", long))
+    text += f'long,"{long}"{line_end}'
+    expected += [("last", "a")]
+    text += "last,a"
+    (tmp_path / "torn.csv").write_bytes(text.encode())
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "4096")
+    try:
+        df = files.read_text_fields(spark, str(tmp_path / "torn.csv"), multiline=True)
+        got = sorted(map(tuple, df.collect()))
+        from ledgerlens.sources import torn
+
+        blocks = torn._blocks(spark, str(tmp_path / "torn.csv"))
+        assert blocks.count() > 20 and blocks.filter("parity = 1").count() > 5
+    finally:
+        spark.conf.set(size, before)
+    assert df.columns == ["ID", "NOTE"] and got == sorted(expected)
+
+
+def test_torn_files_in_folders_and_gzip(spark, tmp_path):
+    expected, text = torn_text(n=50)
+    (tmp_path / "many").mkdir()
+    for i in range(3):
+        (tmp_path / "many" / f"{i}.csv").write_text(text)
+    with gzip.open(tmp_path / "many" / "3.csv.gz", "wt") as f:
+        f.write(text)
+    df = files.read_text_fields(spark, str(tmp_path / "many"), multiline=True)
+    assert sorted(map(tuple, df.collect())) == sorted(expected * 4)
+
+
+def test_torn_edges(spark, tmp_path):
+    (tmp_path / "e.csv").write_text('A,B\n\n1,\n,""\n"x\n\ny",\n2\n')
+    df = files.read_text_fields(spark, str(tmp_path / "e.csv"), multiline=True)
+    assert rows(df) == sorted([("1", None), (None, ""), ("x\n\ny", None), ("2", None)], key=repr)
+    (tmp_path / "only.csv").write_text("A,B\n")
+    assert files.read_text_fields(spark, str(tmp_path / "only.csv"), multiline=True).count() == 0
+    (tmp_path / "open.csv").write_text('A,B\n1,"never\nclosed\n')
+    with pytest.raises(Exception, match="a quote is never closed in .*open.csv"):
+        files.read_text_fields(spark, str(tmp_path / "open.csv"), multiline=True).collect()
