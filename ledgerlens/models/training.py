@@ -8,7 +8,7 @@ from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.models.features import Task, scaling
@@ -27,6 +27,8 @@ INVERSE_REGULARISATION = 1.0
 MAX_ITERATIONS = 100
 # Rows of a training partition. It fixes the samples a forest draws, so it is no tuning knob.
 ROWS_PER_PART = 5_000
+# Training tasks per tree level and per iteration stay below this; larger tables get larger parts.
+MAX_PARTS = 512
 
 
 class Fitted:
@@ -86,10 +88,34 @@ def encoders(df: DataFrame, task: Task) -> list[Transformer]:
     return [indexer, SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__")]
 
 
+def dictionary(df: DataFrame, column: str) -> DataFrame:
+    """``column, code``: the distinct texts of a column, numbered from 0 in byte order.
+
+    Texts are dealt by ranges and numbered within their range; the only rows that meet in one task
+    are the sizes of the ranges. Null has no code.
+    """
+    texts = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    # Written, so that ranges are drawn once and both uses below see the same.
+    ranged = written(
+        texts.repartitionByRange(column).withColumn("part", F.spark_partition_id()), "labels"
+    )
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("part").count().select(
+        "part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("offset")
+    )
+    place = F.row_number().over(Window.partitionBy("part").orderBy(column)) - 1
+    # One row per range.
+    return ranged.join(F.broadcast(offsets), "part").select(
+        column, (F.col("offset") + place).cast("double").alias("code")
+    )
+
+
 def label_encode(df: DataFrame, task: Task) -> DataFrame:
-    for stage in encoders(df, task):
-        df = stage.transform(df)
-    return df.drop(*(f + "_index" for f in task.text_features))
+    """A column ``<feature>_code`` per text feature, whatever the number of its texts."""
+    for feature in task.text_features:
+        codes = written(dictionary(df, feature), "codes").withColumnRenamed("code", f"{feature}_code")
+        df = df.join(codes, feature, "left").select(*df.columns, f"{feature}_code")
+    return df
 
 
 def scaler(train: DataFrame, columns: list[str]) -> SQLTransformer:
@@ -129,12 +155,12 @@ def prepare(features: DataFrame, task: Task) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Partitions of about ``ROWS_PER_PART`` rows, each in the order of the draw key.
+    """Partitions of about ``ROWS_PER_PART`` rows, ``MAX_PARTS`` at most, in the order of the draw key.
 
     Forests draw their samples by partition number and row order. Both follow from the rows alone
     here: not from cores, file layout or the order in which shuffled blocks arrive.
     """
-    parts = max(1, -(-df.count() // ROWS_PER_PART))
+    parts = min(MAX_PARTS, max(1, -(-df.count() // ROWS_PER_PART)))
     return df.repartition(parts, key).sortWithinPartitions("draw_key", key)
 
 

@@ -14,6 +14,7 @@ from ledgerlens.models.features import DEFAULT, FRAUD, LATE, TASKS
 from ledgerlens.operators import sampling
 from ledgerlens.plans import insights
 from ledgerlens.registry.core import Context, query
+from ledgerlens.schema import ACTIVE_STATUS
 from ledgerlens.sources.scratch import new_folder
 from ledgerlens.testbed import AS_OF
 
@@ -286,13 +287,52 @@ def _summary(context: Context) -> DataFrame:
     return evaluation.model_summary(all_scores(context), ["task", "model"])
 
 
-@query("ml_model_summary")
+def given_summary(context: Context) -> DataFrame:
+    """Summary of two models with given scores: the fixed score, and one that turns it round."""
+    known = scores(context).withColumns({"task": F.lit("given"), "model": F.lit("as scored")})
+    turned = known.withColumns(
+        {"model": F.lit("turned"), "score": 1 - F.col("score"), "prediction": 1 - F.col("prediction")}
+    )
+    return evaluation.model_summary(known.unionByName(turned), ["task", "model"])
+
+
+@query(
+    "ml_model_summary",
+    """
+    select 'given' as task, model, round_even(auc, 4) as roc_auc,
+      round_even(coalesce(cast(hit as double) / nullif(all_pos, 0), 0), 4) as recall,
+      round_even(coalesce(cast(hit as double) / nullif(called, 0), 0), 4) as precision
+    from (
+      select 'as scored' as model, tp as hit, tp + fp as called, tp + fn as all_pos,
+        (select auc from ml_auc) as auc from confusion_counts
+      union all
+      select 'turned', fn, tn + fn, tp + fn,
+        (select sum(cast(pos as double) * (2 * (cum_neg - neg) + neg))
+          / (2 * (max(cast(all_pos as double) * all_neg))) from score_points)
+      from confusion_counts) m""",
+)
 def ml_model_summary(context: Context) -> DataFrame:
-    return _summary(context)
+    """Given scores, so that SQL can check the figures; ``ml_fitted_summary`` has trained models."""
+    return given_summary(context)
 
 
-@query("ml_best_model")
+@query(
+    "ml_best_model",
+    """select task, model as best_model, roc_auc from ml_model_summary
+      order by roc_auc desc, model limit 1""",
+)
 def ml_best_model(context: Context) -> DataFrame:
+    """The better of the models with given scores; ``ml_fitted_best`` compares trained ones."""
+    return evaluation.best_model(given_summary(context), "task")
+
+
+@query("ml_fitted_summary")
+def ml_fitted_summary(context: Context) -> DataFrame:
+    return _summary(context)
+
+
+@query("ml_fitted_best")
+def ml_fitted_best(context: Context) -> DataFrame:
     return evaluation.best_model(_summary(context), "task")
 
 
@@ -316,16 +356,76 @@ def ml_score_active(context: Context) -> DataFrame:
     return _active(context)
 
 
-@query("topk_risk_loans")
+def _given_active(context: Context) -> DataFrame:
+    """Active loans with the fixed score in place of a trained one."""
+    given = scores(context).select("LOAN_ID", F.col("score").alias("late_risk_score"))
+    active = scoring.active_loans(context["loan"]).select("LOAN_ID", "CUSTOMER_ID")
+    return active.join(given, "LOAN_ID")
+
+
+GIVEN_ACTIVE_SQL = f"""
+  select l.LOAN_ID, l.CUSTOMER_ID, s.score as late_risk_score
+  from loan l join model_scores s on s.LOAN_ID = l.LOAN_ID where l.STATUS = '{ACTIVE_STATUS}'"""
+
+
+@query("topk_risk_loans", f"{GIVEN_ACTIVE_SQL} order by s.score desc, l.LOAN_ID limit 10")
 def topk_risk_loans(context: Context) -> DataFrame:
-    return scoring.riskiest_loans(_active(context))
+    """Given scores, so that SQL can check the rows; ``topk_fitted_loans`` has a trained model."""
+    return scoring.riskiest_loans(_given_active(context))
 
 
-@query("ml_high_risk_share")
+@query(
+    "ml_high_risk_share",
+    f"""select count(*) filter (where late_risk_score > 0.5) as high_risk_loans,
+      count(*) as active_loans, round_even(cast(count(*) filter (where late_risk_score > 0.5)
+        as double) / count(*) * 100, 1) as high_risk_pct
+    from ({GIVEN_ACTIVE_SQL}) a""",
+)
 def ml_high_risk_share(context: Context) -> DataFrame:
+    """Given scores; ``ml_fitted_high_risk`` has a trained model."""
+    return scoring.high_risk_share(_given_active(context))
+
+
+@query("topk_fitted_loans")
+def topk_fitted_loans(context: Context) -> DataFrame:
+    return scoring.riskiest_loans(_active(context))
+
+
+@query("ml_fitted_high_risk")
+def ml_fitted_high_risk(context: Context) -> DataFrame:
     return scoring.high_risk_share(_active(context))
 
 
+@query(
+    "ml_score_active_rows",
+    f"""select LOAN_ID, CUSTOMER_ID, true as is_probability from loan
+      where STATUS = '{ACTIVE_STATUS}'""",
+)
+def ml_score_active_rows(context: Context) -> DataFrame:
+    """What is determined of ``ml_score_active``: which loans are scored, each with a probability."""
+    return _active(context).select(
+        "LOAN_ID", "CUSTOMER_ID", F.col("late_risk_score").between(0, 1).alias("is_probability")
+    )
+
+
+@query(
+    "ml_predict_rows",
+    """select m.model, is_default, count(*) as n_rows, count(*) as n_probabilities,
+      count(*) as n_larger_class
+    from split_loans cross join (values ('Logistic Regression'), ('Random Forest')) m(model)
+    where not is_train group by m.model, is_default""",
+)
+def ml_predict_rows(context: Context) -> DataFrame:
+    """What is determined of ``ml_predict``: test loans per class, each with its larger class."""
+    score = F.col("score")
+    agrees = (score == 0.5) | ((score > 0.5) == (F.col("prediction") == 1))
+    return ml_predict(context).groupBy("model", "is_default").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(score.between(0, 1)).alias("n_probabilities"),
+        F.count_if(agrees).alias("n_larger_class"),
+    )
+
+
 @query("ml_save_load")
 def ml_save_load(context: Context) -> DataFrame:
     """Test scores of every task from models that were saved, one folder per task, and reloaded."""

@@ -38,6 +38,23 @@ def test_codes_are_alphabetical_plain_numbers(spark):
     assert not coded.schema["kind_code"].metadata
 
 
+def test_many_labels_are_coded_by_ranges(spark):
+    task = Task("wide", "id", ("text",), "y", trees=1, depth=1, text_features=("text",))
+    df = spark.range(200_000).selectExpr("id", "concat('é', id * 7919 % 200000) as text", "0 as y")
+    df = df.union(df.limit(10)).union(spark.sql("select -1L, cast(null as string), 0"))
+    coded = {r.text: r.text_code for r in training.label_encode(df, task).collect()}
+    assert coded.pop(None) is None
+    order = sorted(coded, key=lambda t: t.encode())
+    assert len(order) == 200_000 and [coded[t] for t in order] == list(range(200_000))
+
+
+def test_training_parts_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(training, "ROWS_PER_PART", 10)
+    monkeypatch.setattr(training, "MAX_PARTS", 4)
+    df = spark.range(100).withColumn("draw_key", F.md5(F.col("id").cast("string")))
+    assert training.spread(df, "id").rdd.getNumPartitions() == 4
+
+
 def test_scaling_uses_training_rows_and_the_population_deviation(toy):
     train = toy.data.filter("is_train")
     scaled = training.scaler(train, ["x"]).transform(train)
