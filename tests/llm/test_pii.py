@@ -77,6 +77,39 @@ def test_long_secrets_are_replaced_to_their_end(documents, size):
     assert not any(value[i : i + 12] in token for i in range(size - 11))
 
 
+def test_secrets_in_json_and_bearer_tokens(documents):
+    old = [
+        '{"password": "hunter22secret", "n": 1}',
+        '"api_key":"abcdef0123456789"',
+        "Authorization: Bearer abc123.def-456_x",
+        "token: Bearer abc123.def-456_x",
+        "the bearer responsibilities of tokens: none",
+    ]
+    new = replaced(documents, old)
+    password = re.fullmatch(r'\{"password": "(\w{14})", "n": 1\}', new[0])[1]
+    key = re.fullmatch(r'"api_key":"([0-9a-f]{16})"', new[1])[1]
+    assert password != "hunter22secret" and key != "abcdef0123456789"
+    bearer = re.fullmatch(r"Authorization: Bearer (\S+)", new[2])[1]
+    assert bearer != "abc123.def-456_x" and new[3] == f"token: Bearer {bearer}"
+    assert new[4] == old[4]
+
+
+def test_spellings_of_a_phone_agree(documents):
+    old = ["+15551234567", "+1 555 123 4567", "555-123-4567", "+351 912 345 678", "+351912345678"]
+    new = [re.sub(r"[^+\d]", "", x) for x in replaced(documents, old)]
+    assert new[0] == new[1] == "+1" + new[2] and new[2] != "5551234567"
+    assert new[3] == new[4] != "+351912345678" and new[3].startswith("+351")
+
+
+def test_cards_from_2_and_long_addresses(documents):
+    long = "a1." * 60 + "z@mail.com"
+    card, mail = replaced(documents, ["card 2221 0000 0000 0009.", f"to {long}, x"])
+    digits = re.fullmatch(r"card (2\d{3}(?: \d{4}){3})\.", card)[1].replace(" ", "")
+    assert digits != "2221000000000009" and luhn(digits) == 0
+    assert re.fullmatch(r"to \S+@\w{4}\.com, x", mail) and len(mail) == len(long) + 6
+    assert "a1.a1.a1" not in mail
+
+
 def test_names_keep_gender_and_script(shown):
     title, first, last, other, last_2, last_3, anna, rest, muller = re.match(
         r"(Mrs\.) (\w+) (\w+) met (\w+) (\w+) and Mr\. (\w+)\. (\w+) (\w+) und Herr (\w+)", shown[1][5]
