@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.functions.quantiles import approx_quantiles, exact_quantiles
+from ledgerlens.functions.quantiles import column_quantiles, sketch
 from ledgerlens.functions.scalars import mean
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -76,41 +76,35 @@ def describe(
 ) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles per numeric column of every table.
 
-    Means are exact for integers and decimals. The quartiles of all columns come out of the same
-    three aggregations over one long frame, and no column is gathered in one task.
+    Means are exact for integers and decimals. One pass over each table takes the moments and a
+    rank sketch of all its columns side by side; these few rows are fetched and the values near a
+    quartile ranked exactly. No column is gathered in one task. ``approx`` answers from the sketch.
     """
-    moments, values = [], []
-    for table, names in columns.items():
-        df = frames[table]
-        name = F.lit(table).alias("table_name")
-        moments.append(
-            df.agg(*(_moments(c).alias(c) for c in names))
-            .unpivot([], list(names), "column_name", "s")
-            .select(name, "column_name", "s.*")
-        )
-        values.append(
-            df.select(*(F.col(c).cast("double").alias(c) for c in names))
-            .unpivot([], list(names), "column_name", "value")
-            .select(F.concat_ws(".", name, "column_name").alias("place"), "value")
-        )
-    find = approx_quantiles if approx else exact_quantiles
-    quartiles = find(reduce(DataFrame.unionByName, values), "value", QUARTILES, by="place")
-    place = F.concat_ws(".", "table_name", "column_name")
-    # One row per column on both sides.
-    return (
-        reduce(DataFrame.unionByName, moments)
-        .withColumn("place", place)
-        .join(F.broadcast(quartiles), "place", "left")
-        .select(
-            "table_name",
-            "column_name",
-            "n",
-            "mean",
-            "std",
-            "min",
-            *(F.col("quantiles")[i].alias(p) for i, p in enumerate(("p25", "p50", "p75"))),
-            "max",
-        )
+    pieces = [
+        frames[table]
+        .agg(*(F.struct(_moments(c).alias("m"), sketch(c, QUARTILES, approx).alias("edges")).alias(c) for c in names))
+        .unpivot([], list(names), "column_name", "s")
+        .select(F.lit(table).alias("table_name"), "column_name", "s.m.*", "s.edges")
+        for table, names in columns.items()
+    ]
+    facts = reduce(DataFrame.unionByName, pieces)
+    if approx:
+        return _described(facts.withColumnRenamed("edges", "quantiles"))
+    # One row per column.
+    known = facts.collect()
+    facts = facts.sparkSession.createDataFrame(known, facts.schema).drop("edges")
+    edges = {(r.table_name, r.column_name): (r.n, r.edges) for r in known}
+    quartiles = column_quantiles(frames, edges, QUARTILES)
+    if quartiles is None:
+        return _described(facts.withColumn("quantiles", F.lit(None).cast("array<double>")))
+    return _described(facts.join(F.broadcast(quartiles), ["table_name", "column_name"], "left"))
+
+
+def _described(facts: DataFrame) -> DataFrame:
+    quartile = {p: F.get("quantiles", F.lit(i)) for i, p in enumerate(("p25", "p50", "p75"))}
+    return facts.select(
+        "table_name", "column_name", "n", "mean", "std", "min",
+        *(q.alias(p) for p, q in quartile.items()), "max",
     )
 
 

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,8 +239,6 @@ def test_describe_matches_pandas(spark):
     values = rng.integers(0, 1000, 500)
     df = spark.createDataFrame([(int(v),) for v in values] + [(None,)], "v int")
     got = profiling.describe({"t": df}, {"t": ["v"]}).first()
-    import pandas as pd
-
     want = pd.Series(values).describe()
     assert [got.n, got["mean"], got.std, got.min, got.p25, got.p50, got.p75, got.max] == (
         pytest.approx(want.tolist())
@@ -249,3 +248,32 @@ def test_describe_matches_pandas(spark):
 def test_head_is_ordered(spark):
     df = spark.range(100).repartition(4)
     assert [r.id for r in profiling.head(df, ["id"], 3).collect()] == [0, 1, 2]
+
+
+def test_describe_of_many_columns(spark):
+    rng = np.random.default_rng(5)
+    n = 40_000
+    columns = {
+        "normal": rng.normal(size=n), "constant": np.full(n, 2.5), "few": rng.integers(0, 4, n) * 1.0,
+        "hot": np.where(rng.random(n) < 0.4, 7.0, rng.exponential(size=n) * 1e6),
+    }
+    wide = spark.createDataFrame(pd.DataFrame(columns)).withColumn("none", F.lit(None).cast("double"))
+    small = spark.createDataFrame([(3,), (None,), (1,), (2,)], "v int")
+    empty = spark.createDataFrame([], "v double")
+    described = profiling.describe(
+        {"wide": wide, "small": small, "empty": empty},
+        {"wide": [*columns, "none"], "small": ["v"], "empty": ["v"]},
+    )
+    got = {(r.table_name, r.column_name): r for r in described.collect()}
+    assert len(got) == 7
+    for name, values in columns.items():
+        row = got["wide", name]
+        assert [row.p25, row.p50, row.p75] == pytest.approx(list(np.quantile(values, (0.25, 0.5, 0.75))), rel=1e-12)
+        assert row.n == n and row.min == values.min() and row.max == values.max()
+    assert (got["small", "v"].n, got["small", "v"].p25, got["small", "v"].p50) == (3, 1.5, 2.0)
+    for place in (("wide", "none"), ("empty", "v")):
+        assert (got[place].n, got[place].p50, got[place].max) == (0, None, None)
+    only = profiling.describe({"empty": empty}, {"empty": ["v"]}).collect()
+    assert [(r.n, r.p50) for r in only] == [(0, None)]
+    near = profiling.describe({"small": small}, {"small": ["v"]}, approx=True).first()
+    assert near.p50 == 2.0
