@@ -109,6 +109,19 @@ def src_csv_gz(context: Context) -> DataFrame:
     return plain(as_dates(files.read_csv(context.spark, path, "transaction_list", partitions=spread)))
 
 
+@query(
+    "src_csv_gz_members",
+    """select CARD_TXN_ID, CARD_ID, cast(AMOUNT as double) as AMOUNT, TXN_DATE, IS_FRAUD
+      from card_transaction""",
+)
+def src_csv_gz_members(context: Context) -> DataFrame:
+    """Gzip files whose members are found first and then read apart from each other."""
+    path = exports.csv_path(context, "card_transaction")
+    fields = files.read_csv(context.spark, path, "card_transaction", members=True)
+    wanted = ["CARD_TXN_ID", "CARD_ID", "AMOUNT", "TXN_DATE", "IS_FRAUD"]
+    return plain(as_dates(fields.select(*wanted)))
+
+
 @query("src_csv_torn", "select doc_id, text, lang, source, n_chars from documents")
 def src_csv_torn(context: Context) -> DataFrame:
     """Texts with quotes and line breaks from a CSV export whose blocks are read on their own."""

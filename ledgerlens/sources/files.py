@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.cleaning import DATE_FORMATS, clean_headers, type_columns
 from ledgerlens.schema import EVENT_TABLES, TABLES, struct_for
-from ledgerlens.sources.torn import read_torn_fields
+from ledgerlens.sources.members import BLOCK_BYTES, read_lines
+from ledgerlens.sources.torn import block_lines, parse_records, read_torn_fields
 
 # Codecs per kind of table and the size above which a file is reported.
 SMALL_CODEC = "snappy"
@@ -36,19 +37,30 @@ def read_exported_parquet(spark: SparkSession, path: str, table: str) -> DataFra
 
 
 def read_text_fields(
-    spark: SparkSession, path: str, partitions: int | None = None, multiline: bool = False
+    spark: SparkSession, path: str, partitions: int | None = None, multiline: bool = False,
+    members: bool = False, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Scan CSV with a header line, plain or gzip (by the ``.gz`` suffix), every field as text.
 
     A quote inside quotes is doubled, ``""`` is an empty text and nothing at all is null. Fields
     with line breaks need ``multiline``; the blocks of a file are then read by many tasks, too, see
-    :mod:`ledgerlens.sources.torn`. A gzip file cannot be split; ``partitions`` spreads the rows
-    after the scan.
+    :mod:`ledgerlens.sources.torn`. A gzip file is read by one task, and ``partitions`` spreads the
+    rows after the scan. With ``members``, gzip files of several members are read by a task for
+    every ``block_bytes``, and damage is an error; see :mod:`ledgerlens.sources.members`. That
+    inflates files one time more.
     """
     options = {"quote": '"', "escape": '"', "emptyValue": "", "nullValue": NO_VALUE}
     raw = spark.read.csv(path, header=True, inferSchema=False, **options)
-    if multiline:
-        raw = read_torn_fields(spark, path, raw.columns, options)
+    if members:
+        lines = read_lines(spark, path, block_bytes)
+        if multiline:
+            raw = read_torn_fields(lines, raw.columns, options)
+        else:
+            record = F.regexp_replace("value", r"\r\z", "").alias("record")
+            lines = lines.filter(F.col("value").rlike(r"[^\x00-\x20]")).select("block", "line", record)
+            raw = parse_records(lines, raw.columns, options)
+    elif multiline:
+        raw = read_torn_fields(block_lines(spark, path), raw.columns, options)
     return raw.repartition(partitions) if partitions else raw
 
 
@@ -59,6 +71,7 @@ def read_csv(
     partitions: int | None = None,
     multiline: bool = False,
     formats: Sequence[str] = DATE_FORMATS,
+    members: bool = False,
 ) -> DataFrame:
     """Scan CSV and type its columns; see :func:`read_text_fields` for the file format.
 
@@ -66,7 +79,7 @@ def read_csv(
     Dates become timestamps with their time of day, numbers keep all their digits, and a value
     that cannot be read is null. ``cleaning.unread_values`` counts those.
     """
-    raw = clean_headers(read_text_fields(spark, path, partitions, multiline))
+    raw = clean_headers(read_text_fields(spark, path, partitions, multiline, members))
     return type_columns(raw, table, formats)
 
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.sources.ship import ship
+
 BLOCK = ["path", "block"]
 MARKS = "path string, block bigint, line int, quotes int, inside int, head_0 int, head_1 int"
 NO_HEAD = -1
@@ -66,16 +68,17 @@ def _ordered(columns: str) -> list[str]:
     return [c.split()[0] for c in columns.split(", ")]
 
 
-def _marked(spark: SparkSession, path: str, with_text: bool) -> DataFrame:
-    """Lines with their place; without the texts where only blocks are to be added up."""
+def block_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines as (path, block, value); every line is in the block it starts in."""
     raw = spark.read.option("lineSep", "\n").text(path)
+    place = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")
+    return raw.select(*place, "value")
+
+
+def _marked(lines: DataFrame, with_text: bool) -> DataFrame:
+    """Lines with their place; without the texts where only blocks are to be added up."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    lines = raw.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        quotes.cast("int").alias("quotes"),
-        *(["value"] if with_text else []),
-    )
+    lines = lines.select(*BLOCK, quotes.cast("int").alias("quotes"), *(["value"] if with_text else []))
     schema = MARKS + (", value string" if with_text else "")
     names = _ordered(schema)
     placed = lambda batches: (b.select(names) for b in _place(batches))
@@ -87,9 +90,9 @@ def _head(parity: Column, *heads: Column) -> Column:
     return F.nullif(F.when(parity == 0, heads[0]).otherwise(heads[1]), F.lit(NO_HEAD))
 
 
-def _blocks(spark: SparkSession, path: str) -> DataFrame:
+def _blocks(lines: DataFrame) -> DataFrame:
     """One row per block: the parity it starts with and the record still open there."""
-    own = _marked(spark, path, with_text=False).groupBy(*BLOCK).agg(
+    own = _marked(lines, with_text=False).groupBy(*BLOCK).agg(
         (F.sum("quotes") % 2).alias("odd"),
         F.max("head_0").alias("last_0"),
         F.max("head_1").alias("last_1"),
@@ -108,8 +111,11 @@ def _blocks(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the CSV files as one text, line breaks inside quotes included.
+def read_records(lines: DataFrame) -> DataFrame:
+    """Every record of CSV files as one text, line breaks inside quotes included.
+
+    ``lines`` are those of :func:`block_lines` or ``members.read_lines``: lines of a block reach
+    the same task one after the other.
 
     Records come as (path, block, line, record), by the line they start at; the first of each file
     is the header, with ``block`` and ``line`` 0. Empty lines outside quotes are no records. The
@@ -117,8 +123,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     closes a field and is doubled inside it; a file in which the last quote is never closed is an
     error, as it would turn the rest of the file into one field.
     """
-    lines = _marked(spark, path, with_text=True)
-    placed = lines.join(_blocks(spark, path), BLOCK, "left")
+    ship(lines.sparkSession)
+    placed = _marked(lines, with_text=True).join(_blocks(lines), BLOCK, "left")
     own = _head(F.col("parity"), F.col("head_0"), F.col("head_1"))
     before = (F.col("inside") + F.col("parity")) % 2
     starts, ends = before == 0, (before + F.col("quotes")) % 2 == 0
@@ -138,12 +144,17 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return records.filter(F.col("record") != "")
 
 
-def read_torn_fields(spark: SparkSession, path: str, columns: list[str], options: dict) -> DataFrame:
+def read_torn_fields(lines: DataFrame, columns: list[str], options: dict) -> DataFrame:
     """The fields of :func:`read_records` below their headers, every one as text.
 
     ``columns`` are the names in the header, ``options`` those of Spark's CSV parser.
     """
-    body = read_records(spark, path).filter("NOT (block = 0 AND line = 0)")
+    return parse_records(read_records(lines), columns, options)
+
+
+def parse_records(records: DataFrame, columns: list[str], options: dict) -> DataFrame:
+    """Fields of (block, line, record) but for the first record of each file, its header."""
+    body = records.filter("NOT (block = 0 AND line = 0)")
     fields = [f"c{i}" for i in range(len(columns))]
     schema = ", ".join(f"{f} string" for f in fields)
     row = F.from_csv("record", schema, {k: str(v) for k, v in options.items()} | {"multiLine": "true"})

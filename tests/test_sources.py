@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlens.bank import Bank
 from ledgerlens.operators import cleaning
 from ledgerlens.schema import TABLES, struct_for
-from ledgerlens.sources import catalog, files, local, scratch, warehouse
+from ledgerlens.sources import catalog, files, local, members, scratch, warehouse
 from tests.conftest import rows
 
 
@@ -201,6 +201,42 @@ def test_warehouse_options():
     assert "secret" not in repr(source)
 
 
+@pytest.mark.parametrize(
+    "keys",
+    [
+        [*range(1, 1_001), *range(10**9, 10**9 + 50), None, None],
+        [7] * 900 + list(range(100)),
+        [f"it's {i % 700:04d}" for i in range(1_000)] + [None],
+        [Decimal("0.10"), Decimal("1E+3"), Decimal("-2.5")] * 40,
+        [None, None],
+        [],
+    ],
+    ids=["gaps", "hot key", "texts", "decimals", "no keys", "empty"],
+)
+def test_warehouse_ranges_hold_every_row_once(keys):
+    import duckdb
+
+    source, parts = warehouse.Warehouse.from_env(ENV), 8
+    db = duckdb.connect()
+    kind = {int: "bigint", str: "varchar", Decimal: "decimal(18,2)"}[type(keys[0]) if keys and keys[0] is not None else int]
+    db.execute(f"create table loan (LOAN_ID {kind})")
+    if keys:
+        db.executemany("insert into loan values (?)", [(k,) for k in keys])
+    lows = [r[0] for r in db.execute(source.quantiles_query("loan", "LOAN_ID", parts)).fetchall()]
+    wanted = warehouse.predicates("LOAN_ID", lows)
+    counts = [db.execute(f"select count(*) from loan where {p}").fetchone()[0] for p in wanted]
+    once = " + ".join(f"case when {p} then 1 else 0 end" for p in wanted)
+    assert db.execute(f"select count(*) from loan where {once} <> 1").fetchone()[0] == 0
+    assert sum(counts) == len(keys) and len(wanted) <= parts + 1
+    hottest = max((keys.count(k) for k in set(keys)), default=0)
+    assert max(counts) <= len(keys) // parts + 1 + hottest
+
+
+def test_warehouse_refuses_keys_without_an_order_in_sql():
+    with pytest.raises(TypeError, match="float"):
+        warehouse.predicates("K", [1.5, 2.5])
+
+
 def test_warehouse_needs_credentials():
     with pytest.raises(KeyError, match=warehouse.ENV_PASSWORD):
         warehouse.Warehouse.from_env({k: v for k, v in ENV.items() if k != warehouse.ENV_PASSWORD})
@@ -329,7 +365,7 @@ def test_torn_records_are_read_by_many_tasks(spark, tmp_path, line_end):
         got = sorted(map(tuple, df.collect()))
         from ledgerlens.sources import torn
 
-        blocks = torn._blocks(spark, str(tmp_path / "torn.csv"))
+        blocks = torn._blocks(torn.block_lines(spark, str(tmp_path / "torn.csv")))
         assert blocks.count() > 20 and blocks.filter("parity = 1").count() > 5
     finally:
         spark.conf.set(size, before)
@@ -356,3 +392,73 @@ def test_torn_edges(spark, tmp_path):
     (tmp_path / "open.csv").write_text('A,B\n1,"never\nclosed\n')
     with pytest.raises(Exception, match="a quote is never closed in .*open.csv"):
         files.read_text_fields(spark, str(tmp_path / "open.csv"), multiline=True).collect()
+
+
+def member_file(path, text, sizes, nested=b""):
+    """Gzip members that cut the text wherever their sizes say, records or not."""
+    raw, at, members = text.encode(), 0, []
+    for i in range(len(sizes) or 1):
+        end = at + sizes[i] if i + 1 < len(sizes) else len(raw)
+        members.append(gzip.compress(raw[at:end] + (nested if i + 1 == len(sizes) else b"")))
+        at = end
+    path.write_bytes(b"".join(members))
+    return [len(m) for m in members]
+
+
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+@pytest.mark.parametrize("block", [100, 5_000, 10**9])
+def test_gzip_members_are_read_apart(spark, tmp_path, line_end, block):
+    text = f"A,B{line_end}" + "".join(f'{i},"v {i * 7919 % 1000}"{line_end}' for i in range(5_000))
+    # Members end within a line, at its end, hold nothing, one byte, or no line break at all.
+    sizes = [len(text) // 8, 1, 0, 2, len(text) // 8, text.index(f"{line_end}2500,") - len(text) // 4 - 3 + len(line_end), 1, 9]
+    path = tmp_path / "m.csv.gz"
+    lengths = member_file(path, text + "last,x", sizes)
+    index = rows(members.member_index(spark, str(path), block))
+    assert [e - s for _, s, e in sorted(index, key=lambda r: r[1])] == lengths
+    df = files.read_text_fields(spark, str(path), members=True, block_bytes=block)
+    expected = [(str(i), f"v {i * 7919 % 1000}") for i in range(5_000)] + [("last", "x")]
+    assert df.columns == ["A", "B"]
+    assert sorted(map(tuple, df.collect())) == sorted(expected)
+
+
+def test_eight_members_make_eight_tasks(spark, tmp_path):
+    import random
+
+    chance = random.Random(5)
+    text = "A,B\n" + "".join(f"{i},{chance.random()}\n" for i in range(40_000))
+    lengths = member_file(tmp_path / "m.csv.gz", text, [len(text) // 8] * 8)
+    df = files.read_text_fields(spark, str(tmp_path / "m.csv.gz"), members=True, block_bytes=min(lengths) - 100)
+    tasks = df.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 8 and sum(r["count"] for r in tasks) == 40_000
+
+
+def test_torn_records_over_gzip_members(spark, tmp_path):
+    expected, text = torn_text(n=400)
+    (tmp_path / "many").mkdir()
+    member_file(tmp_path / "many" / "0.csv.gz", text, [len(text) // 9] * 9)
+    member_file(tmp_path / "many" / "1.csv.gz", text, [])
+    df = files.read_text_fields(spark, str(tmp_path / "many"), multiline=True, members=True, block_bytes=200)
+    assert sorted(map(tuple, df.collect())) == sorted(expected * 2)
+
+
+def test_gzip_within_gzip_is_content(spark, tmp_path):
+    inner = gzip.compress(b"x,y\n" * 50)
+    member = gzip.compress(b"A\n" + inner + b"\n", compresslevel=0)
+    (tmp_path / "n.csv.gz").write_bytes(member + gzip.compress(b"end\n") + b"\0" * 700)
+    for block in (8, 64, 10_000):
+        index = rows(members.member_index(spark, str(tmp_path / "n.csv.gz"), block), "start")
+        assert index == [(0,), (len(member),)]
+
+
+def test_damaged_gzip_files_are_reported(spark, tmp_path):
+    path = tmp_path / "d.csv.gz"
+    member_file(path, "A\n" + "1\n2\n" * 3_000, [4_000] * 4)
+    whole = path.read_bytes()
+    flipped = bytearray(whole)
+    flipped[len(whole) // 2] ^= 0xFF
+    for raw in (whole[:-5], bytes(flipped), whole + b"tail", b"A\n1\n"):
+        path.write_bytes(raw)
+        with pytest.raises(OSError, match="whole gzip members cover"):
+            members.member_index(spark, str(path), 64)
+    path.write_bytes(b"")
+    assert members.read_lines(spark, str(path)).count() == 0
