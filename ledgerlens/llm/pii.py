@@ -11,8 +11,13 @@ are found over all distinct values of the corpus and drawn again. Such exception
 reach the texts they occur in through a join on the text's digest, and every other text is
 rewritten in one pass without a shuffle.
 
-Not found: people without a title or a listed given name before them, a bare surname mentioned
-again later, IBANs, IPv6 addresses, and secrets with neither a key word nor a known prefix.
+A person found once is found again in the same text by any part of the name alone: after "Mr Jones"
+every word "Jones" of that text is replaced. Account numbers (IBAN) keep country and validity, IPv6
+addresses their first four characters and their grouping.
+
+Not found: people without a title or a listed given name before them, IPv6 addresses that start
+with ``::`` or are shortened outside the global, local and link ranges, and secrets with neither a
+key word nor a known prefix. Two ways of shortening one IPv6 address are two values.
 """
 
 from __future__ import annotations
@@ -46,7 +51,8 @@ TITLES = "Mr Mrs Ms Miss Herr Frau Monsieur Madame Mme Señor Señora".split()
 # Nothing is found inside a word. This one test comes first, as it fails at most places; then each
 # kind looks at the first character before anything dearer.
 START = r"(?<![\p{L}\p{N}])"
-NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
+# Apostrophes and hyphens join letters; the "s" of a genitive is no part of a name.
+NAME = r"\p{Lu}(?:\p{L}|['’-](?=\p{L})(?!s(?!\p{L}))){1,40}"
 _GIVEN_WORDS = "|".join(n for names in GIVEN.values() for n in names.split())
 PERSON = (
     rf"(?=\p{{Lu}})(?:(?:{'|'.join(TITLES)})\.? (?:{NAME} )?{NAME}"
@@ -62,6 +68,17 @@ AWS = r"A(?:KIA|SIA)[0-9A-Z]{16}\b"
 EMAIL = r"(?=[\p{L}\p{N}._%+-])(?<![._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IP = rf"(?=\d)(?<!\.)(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)"
+# Groups after the second hold a digit, so that a word in capitals is no part of a number.
+IBAN = (
+    r"(?=[A-Z]{2}\d\d)[A-Z]{2}\d\d ?[A-Z0-9]{4}(?: ?(?=[A-Z]{0,3}\d)[A-Z0-9]{4}){1,6}"
+    r"(?: ?(?=[A-Z]{0,2}\d)[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
+)
+HEX = "[0-9A-Fa-f]"
+IPV6 = (
+    rf"(?={HEX}{{1,4}}:)(?<!:)(?:(?:{HEX}{{1,4}}:){{7}}{HEX}{{1,4}}"
+    rf"|(?=[23fF]{HEX}{{3}}:)(?:{HEX}{{1,4}}:){{1,6}}(?::{HEX}{{1,4}}){{1,6}}"
+    rf"|(?=[23fF]{HEX}{{3}}:)(?:{HEX}{{1,4}}:){{1,7}}:)(?![\p{{L}}\p{{N}}:])"
+)
 SSN = r"(?=\d)(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?=[2-6])(?<!-)[2-6](?:[ -]?\d){12,18}(?![\d-])"
 PHONE = (
@@ -72,6 +89,8 @@ KINDS = {
     "secret": SECRET,
     "access key": AWS,
     "email": EMAIL,
+    "iban": IBAN,
+    "ipv6": IPV6,
     "ssn": SSN,
     "card": CARD,
     "ip": IP,
@@ -79,7 +98,10 @@ KINDS = {
     "person": PERSON,
 }
 """Kinds in the order in which they are tried at a place in the text."""
-ANY = START + "(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
+KNOWN = START + "(?:" + "|".join(f"(?:{p})" for p in KINDS.values())
+ANY = KNOWN + ")"
+# A part of a name that stands alone, where no kind is found.
+ALONE = r")(?![\p{L}\p{N}]|['’-](?=\p{L})(?!s(?!\p{L}))))"
 MARK = "\u0001"
 
 DIGITS = "0123456789"
@@ -123,6 +145,8 @@ def kind_of(found: Column) -> Column:
 
 
 SECRET_HEAD = "^" + SECRET_LEAD
+# A mark that ends the sentence or bracket is no part of the secret before it.
+SECRET_TAIL = r"(?<=[\p{L}\p{N}])[.!?)]$"
 # Country codes of one and of two digits; all others have three.
 PHONE_HEAD = (
     r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})"
@@ -133,10 +157,14 @@ def canonical(kind: Column, found: Column) -> Column:
     """What all spellings of one value share."""
     digits = F.regexp_replace(found, r"\D", "")
     return (
-        F.when(kind == "secret", F.regexp_replace(found, SECRET_HEAD, ""))
+        F.when(
+            kind == "secret",
+            F.regexp_replace(F.regexp_replace(found, SECRET_HEAD, ""), SECRET_TAIL, ""),
+        )
         .when(kind == "phone", F.regexp_replace(F.regexp_replace(found, PHONE_HEAD, ""), r"\D", ""))
         .when(kind == "card", digits)
-        .when(kind.isin("email", "name"), F.lower(found))
+        .when(kind == "iban", F.regexp_replace(found, " ", ""))
+        .when(kind.isin("email", "name", "ipv6"), F.lower(found))
         .otherwise(found)
     )
 
@@ -199,6 +227,17 @@ def _luhn(digits: Column) -> Column:
     ) % 10
 
 
+def _mod97(iban: Column) -> Column:
+    """The number an IBAN stands for, letters as 10 to 35 and its first four at the end, modulo 97."""
+    turned = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))
+
+    def onto(total: Column, char: Column) -> Column:
+        worth = F.instr(F.lit(DIGITS + LATIN.upper()), char) - 1
+        return (total * F.when(worth > 9, 100).otherwise(10) + worth) % 97
+
+    return F.aggregate(F.split(turned, ""), F.lit(0), onto)
+
+
 def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     """The replacement of a canonical value; ``attempt`` counts earlier draws that clashed."""
     whole = F.struct(
@@ -206,7 +245,7 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
         value.alias("value"),
         F.repeat(F.lit("7"), F.greatest(attempt - GROW_AFTER, F.lit(0))).alias("more"),
         F.sha2(F.concat_ws("|", F.lit(key), kind, attempt, value), 256).alias("digest"),
-        ((kind == "secret") & F.rlike(value, F.lit("^[0-9a-f]+$"))).alias("hexed"),
+        ((kind == "ipv6") | (kind == "secret") & F.rlike(value, F.lit("^[0-9a-f]+$"))).alias("hexed"),
     )
 
     def choose(x: Column) -> Column:
@@ -253,26 +292,35 @@ def _shaped(x: Column, drawn: Column) -> Column:
     )
     # The first digit of an area code is no 0 or 1.
     lead = F.concat((_octet(x, 0) % 8 + 2).cast("string"), F.substring(drawn, F.lit(2), size))
-    prefixed = F.concat(F.substring(value, 1, 4), F.substring(drawn, F.lit(5), size))
+    tail = F.substring(drawn, F.lit(5), size)
+    prefixed = F.concat(F.substring(value, 1, 4), tail)
+    country = F.substring(value, 1, 2)
+    # 98 less the rest over zeros makes a number valid; another one keeps the digits that were drawn.
+    zeros = let(F.concat(country, F.lit("00"), tail), lambda z: (98 - _mod97(z)).cast("string"))
+    sums = F.when(_mod97(value) == 1, F.lpad(zeros, 2, "0")).otherwise(F.substring(drawn, 3, 2))
     return (
         F.when(kind == "card", card)
         .when(kind.isin("phone", "ssn"), lead)
-        .when(kind == "access key", prefixed)
+        .when(kind == "iban", F.concat(country, sums, tail))
+        .when(kind.isin("access key", "ipv6"), prefixed)
         .otherwise(drawn)
     )
 
 
-def _digits_into(form: Column, digits: Column) -> Column:
-    """``form`` with its digits replaced in order; digits left over follow at its end."""
+def _digits_into(form: Column, digits: Column, other: str = r"\D") -> Column:
+    """``form`` with its digits replaced in order; digits left over follow at its end.
+
+    ``other`` is the pattern of the characters that stay.
+    """
 
     def put(i: Column) -> Column:
         char = F.substring(form, i, F.lit(1))
-        before = F.length(F.regexp_replace(F.substring(form, F.lit(1), i), r"\D", ""))
+        before = F.length(F.regexp_replace(F.substring(form, F.lit(1), i), other, ""))
         return F.when(
-            F.rlike(char, F.lit(r"^\d$")), F.substring(digits, before, F.lit(1))
-        ).otherwise(char)
+            F.rlike(char, F.lit(other)), char
+        ).otherwise(F.substring(digits, before, F.lit(1)))
 
-    used = F.length(F.regexp_replace(form, r"\D", ""))
+    used = F.length(F.regexp_replace(form, other, ""))
     return F.concat(
         F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), put), ""),
         F.substring(digits, used + 1, F.length(digits)),
@@ -330,16 +378,18 @@ class Surrogates:
             )
 
         def formed(kind: Column, new: Column) -> Column:
+            lead, tail = (F.regexp_extract(found, p, 0) for p in (SECRET_HEAD, SECRET_TAIL))
             head = F.regexp_extract(found, PHONE_HEAD, 0)
             body = F.regexp_replace(found, PHONE_HEAD, "")
             return (
-                F.when(kind == "secret", F.concat(F.regexp_extract(found, SECRET_HEAD, 0), new))
+                F.when(kind == "secret", F.concat(lead, new, tail))
                 .when(
                     kind == "phone",
                     F.concat(head, let(body, lambda b: _digits_into(b, new))),
                 )
                 .when(kind == "card", _digits_into(found, new))
-                .when(kind == "email", _cased_like(found, new))
+                .when(kind == "iban", _digits_into(found, new, " "))
+                .when(kind.isin("email", "ipv6"), _cased_like(found, new))
                 .otherwise(new)
             )
 
@@ -360,6 +410,18 @@ class Surrogates:
             ),
         )
 
+    @staticmethod
+    def repeats(found: Column) -> Column:
+        """A pattern for all kinds and for any part of the names found; null if there is no name."""
+        people = F.filter(found, lambda f: F.rlike(f, F.lit(f"^(?:{PERSON})$")))
+        parts = F.transform(people, lambda f: F.filter(F.split(f, " "), lambda t: ~_is_title(t)))
+        return let(
+            F.array_distinct(F.flatten(parts)),
+            lambda names: F.when(
+                F.size(names) > 0, F.concat(F.lit(f"{KNOWN}|(?:"), F.array_join(names, "|"), F.lit(ALONE))
+            ),
+        )
+
     def entities(self, docs: DataFrame) -> DataFrame:
         """``key, kind, value``: what each distinct text holds, once."""
         found = F.regexp_extract_all("text", F.lit(ANY), 0)
@@ -412,10 +474,13 @@ def replace(docs: DataFrame, key: str | None = None) -> DataFrame:
     held = written(own.entities(docs), "entities")
     odd = own.exceptions(held.select("kind", "value").distinct())
     docs = docs.drop("n_replaced")
-    key_, patches_, found_, between_, new_ = (
-        unused(docs, c) for c in ("pii_key", "pii_patches", "pii_found", "pii_between", "pii_new")
+    key_, patches_, found_, repeats_, between_, new_ = (
+        unused(docs, f"pii_{c}") for c in ("key", "patches", "found", "repeats", "between", "new")
     )
     rows = docs.withColumn(found_, F.regexp_extract_all("text", F.lit(ANY), 0))
+    rows = rows.withColumn(repeats_, own.repeats(F.col(found_)))
+    again = F.regexp_extract_all("text", F.col(repeats_), 0)
+    rows = rows.withColumn(found_, F.when(F.col(repeats_).isNull(), F.col(found_)).otherwise(again))
     if odd is None:
         rows = rows.withColumn(patches_, F.lit(None).cast("map<string,string>"))
     else:
@@ -427,6 +492,8 @@ def replace(docs: DataFrame, key: str | None = None) -> DataFrame:
         rows = rows.withColumn(key_, F.md5("text"))
         rows = rows.join(written(patches, "patches"), key_, "left")
     between = F.when(
+        F.col(repeats_).isNotNull(), F.split("text", F.col(repeats_), -1)
+    ).when(
         F.contains(F.col("text"), F.lit(MARK)), F.split("text", ANY, -1)
     ).otherwise(F.split(F.regexp_replace("text", ANY, MARK), MARK, -1))
     # Pieces between findings, each but the first led by the replacement before it.
