@@ -11,13 +11,14 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names, visible to every executor.
 
     Where it is not set, a folder below ``spark.sql.warehouse.dir``, which the executors share as
-    well, takes its place for the session.
+    well, takes its place for the session. A folder of one machine is refused on a cluster.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
-    if not warehouse:
+    own_disk = not warehouse or warehouse.startswith("file:") or ":" not in warehouse
+    if not warehouse or own_disk and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = f"{warehouse.rstrip('/')}/_scratch-{spark.sparkContext.applicationId}"
     spark.conf.set("spark.checkpoint.dir", folder)

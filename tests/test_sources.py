@@ -7,6 +7,7 @@ import uuid
 from decimal import Decimal
 
 import pytest
+from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
 from ledgerlens.bank import Bank
@@ -22,6 +23,33 @@ def test_scratch_follows_the_session(spark):
     assert scratch.new_folder(spark, "x") != scratch.new_folder(spark, "x")
 
 
+@pytest.mark.parametrize("folder", ["file:/w", "/w", None])
+def test_scratch_refuses_a_folder_of_one_machine_on_a_cluster(folder):
+    from types import SimpleNamespace
+
+    conf = {"spark.sql.warehouse.dir": folder}
+    context = SimpleNamespace(master="spark://host:7077", applicationId="a")
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=context)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.shared_folder(session)
+    conf["spark.checkpoint.dir"] = "file:/shared/"
+    assert scratch.shared_folder(session) == "file:/shared"
+
+
+def test_modules_reach_workers_as_an_archive(spark):
+    import zipfile
+
+    from ledgerlens.sources import ship
+
+    ship.ship(spark)
+    before = spark.sparkContext.listFiles
+    ship.ship(spark)
+    assert spark.sparkContext.listFiles == before
+    assert sum(f.endswith("ledgerlens.zip") for f in before) == 1
+    names = zipfile.ZipFile(SparkFiles.get("ledgerlens.zip")).namelist()
+    assert "ledgerlens/sources/members.py" in names and "ledgerlens/__init__.py" in names
+
+
 def test_written_frames_read_back(spark):
     df = spark.range(10)
     again = scratch.written(df, "test")
