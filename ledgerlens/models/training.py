@@ -5,12 +5,13 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.ml import Model, PipelineModel, Transformer
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.models import forest
 from ledgerlens.models.features import Task, scaling
 from ledgerlens.operators.sampling import (
     SEED,
@@ -25,7 +26,7 @@ from ledgerlens.sources.scratch import new_folder, written
 # Inverse regularisation strength and iteration limit of the logistic regression.
 INVERSE_REGULARISATION = 1.0
 MAX_ITERATIONS = 100
-# Rows of a training partition. It fixes the samples a forest draws, so it is no tuning knob.
+# Rows of a training partition. Trees do not depend on it.
 ROWS_PER_PART = 5_000
 # Training tasks per tree level and per iteration stay below this; larger tables get larger parts.
 MAX_PARTS = 512
@@ -37,20 +38,24 @@ class Fitted:
     def __init__(self, task: Task, data: DataFrame):
         self.task = task
         self.data = data
-        self.train = spread(data.filter("is_fitted"), task.key)
-        self.counts = class_counts(self.train, task.label)
+        self.fitted = data.filter("is_fitted")
+        self.counts = class_counts(self.fitted, task.label)
 
     @cached_property
     def stages(self) -> list[Transformer]:
         return encoders(self.data, self.task)
 
+    @cached_property
+    def train(self) -> DataFrame:
+        return spread(self.fitted, self.task.key)
+
     @cached_property
     def logistic(self) -> PipelineModel:
         return fit_logistic(self.train, self.task, self.stages, self.counts)
 
     @cached_property
     def forest(self) -> PipelineModel:
-        return fit_forest(self.train, self.task, self.stages, self.counts)
+        return fit_forest(self.fitted, self.task, self.stages, self.counts)
 
     def models(self) -> dict[str, PipelineModel]:
         return {"Logistic Regression": self.logistic, "Random Forest": self.forest}
@@ -154,14 +159,17 @@ def prepare(features: DataFrame, task: Task) -> DataFrame:
     return data.withColumn("is_fitted", F.col("is_train") & fitted)
 
 
+def parts_for(rows: int) -> int:
+    return min(MAX_PARTS, max(1, -(-rows // ROWS_PER_PART)))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Partitions of about ``ROWS_PER_PART`` rows, ``MAX_PARTS`` at most, in the order of the draw key.
 
-    Forests draw their samples by partition number and row order. Both follow from the rows alone
-    here: not from cores, file layout or the order in which shuffled blocks arrive.
+    The regression adds up its rows in this order, which follows from the rows alone: not from
+    cores, file layout or the order in which shuffled blocks arrive.
     """
-    parts = min(MAX_PARTS, max(1, -(-df.count() // ROWS_PER_PART)))
-    return df.repartition(parts, key).sortWithinPartitions("draw_key", key)
+    return df.repartition(parts_for(df.count()), key).sortWithinPartitions("draw_key", key)
 
 
 def class_counts(train: DataFrame, label: str) -> dict[int, int]:
@@ -195,20 +203,13 @@ def fit_forest(
 ) -> PipelineModel:
     """Random forest on unscaled features with balanced class weights."""
     rows = sum(counts.values())
-    weight = F.create_map(
-        *(F.lit(x) for c, n in counts.items() for x in (c, rows / (len(counts) * n)))
-    )[F.col(task.label)]
-    stages = [*stages, VectorAssembler(inputCols=task.encoded(), outputCol="features")]
-    estimator = RandomForestClassifier(
-        labelCol=task.label,
-        weightCol="class_weight",
-        numTrees=task.trees,
-        maxDepth=task.depth,
-        featureSubsetStrategy="sqrt",
-        seed=SEED,
+    weights = [rows / (len(counts) * counts[c]) if c in counts else 0.0 for c in range(max(counts) + 1)]
+    columns = task.encoded()
+    grown = forest.fit(
+        _apply(stages, train), columns, task.label, weights, task.trees, task.depth, SEED,
+        parts_for(rows),
     )
-    weighted = _apply(stages, train).withColumn("class_weight", weight)
-    return PipelineModel([*stages, _bare(estimator.fit(weighted))])
+    return PipelineModel([*stages, VectorAssembler(inputCols=columns, outputCol="features"), grown])
 
 
 def fit(features: DataFrame, task: Task) -> Fitted:

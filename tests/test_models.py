@@ -2,13 +2,15 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ledgerlens import testbed
-from ledgerlens.models import evaluation, features, scoring, training
+from ledgerlens.models import evaluation, features, forest, scoring, training
 from ledgerlens.models.features import Task
 from tests.conftest import rows
 
@@ -249,3 +251,63 @@ def test_share_of_no_active_loans_is_null(spark):
 def test_late_label_follows_from_its_feature(spark, sf_dir):
     frame = features.late_features(testbed.bank_on(spark, sf_dir), testbed.AS_OF)
     assert frame.filter((F.col("late_ratio") > 0) != (F.col("ever_late") == 1)).count() == 0
+
+
+def test_best_split_by_hand():
+    # Bins 0..2 of one feature; class 1 weighs 3 times as much.
+    counts = np.zeros((1, 2, forest.BINS), np.int64)
+    counts[0, 0, :3], counts[0, 1, :3] = [4, 2, 0], [0, 1, 1]
+    feature, cut, gain, below = forest.best_split(counts, [1.0, 3.0])
+
+    def gini(a, b):
+        return 1 - (a / (a + b)) ** 2 - (b / (a + b)) ** 2
+
+    first = gini(6, 6) - 4 / 12 * gini(4, 0) - 8 / 12 * gini(2, 6)
+    second = gini(6, 6) - 9 / 12 * gini(6, 3) - 3 / 12 * gini(0, 3)
+    assert first > second
+    assert (feature, cut, below.tolist()) == (0, 0, [4, 0]) and gain == pytest.approx(first)
+
+
+def test_forest_does_not_depend_on_the_number_of_parts(spark, monkeypatch):
+    """Training tasks can be as many as suit the table: trees follow from the rows alone."""
+    df = spark.createDataFrame(toy_rows(), "id bigint, x double, kind string, y int")
+    trees = []
+    for rows_per_part, memory in ((1000, forest.PASS_BYTES), (50, 1)):
+        monkeypatch.setattr(training, "ROWS_PER_PART", rows_per_part)
+        monkeypatch.setattr(forest, "PASS_BYTES", memory)
+        trees.append(training.fit(df, TOY).forest.stages[-1].toDebugString.split("\n", 1)[1])
+    assert trees[0] == trees[1]
+
+
+def test_forest_learns_as_the_library_does(spark, toy):
+    """Same rules, other draws: scores of both forests lie close together."""
+    ready = toy.forest.stages[0].transform(toy.fitted)
+    for stage in toy.forest.stages[1:-1]:
+        ready = stage.transform(ready)
+    weight = F.when(F.col("y") == 1, 2.0).otherwise(2 / 3)
+    library = RandomForestClassifier(
+        labelCol="y", weightCol="w", numTrees=200, maxDepth=3, featureSubsetStrategy="sqrt", seed=1
+    ).fit(ready.withColumn("w", weight))
+    wide = Task("wide", "id", ("x", "kind"), "y", trees=200, depth=3, text_features=("kind",))
+    ours = training.fit_forest(toy.fitted, wide, toy.stages, toy.counts)
+    assert ours.stages[-1].getNumTrees == 200
+    theirs = training.PipelineModel([*ours.stages[:-1], training._bare(library)])
+    expected = {r.id: r.score for r in toy.scored(theirs).collect()}
+    gaps = [abs(r.score - expected[r.id]) for r in toy.scored(ours).collect()]
+    assert max(gaps) < 0.15 and sum(gaps) / len(gaps) < 0.03
+
+
+def test_bootstrap_counts_are_poisson():
+    seeds = np.arange(50_000, dtype=np.uint64)
+    draws = forest.poisson_table()
+    bits = forest.mixed(seeds, 7).view("<u2").reshape(-1, 4)
+    for column in range(4):
+        times = draws.take(bits[:, column])
+        assert times.mean() == pytest.approx(1, abs=0.02) and times.var() == pytest.approx(1, abs=0.04)
+
+
+def test_thresholds_lie_between_few_values_and_at_quantiles_of_many(spark):
+    df = spark.range(10_000).selectExpr("cast(id % 3 as double) as few", "cast(id as double) as many", "md5(string(id)) as draw_key")
+    few, many = forest.thresholds(df, ["few", "many"])
+    assert few == [0.5, 1.5]
+    assert many == pytest.approx([9_999 * i / 32 for i in range(1, 32)])
