@@ -27,9 +27,10 @@ from ledgerlens.sources.scratch import new_folder, written
 INVERSE_REGULARISATION = 1.0
 MAX_ITERATIONS = 100
 # Rows of a training partition. Trees do not depend on it.
-ROWS_PER_PART = 5_000
-# Training tasks per tree level and per iteration stay below this; larger tables get larger parts.
-MAX_PARTS = 512
+ROWS_PER_PART = 25_000
+# Training tasks per iteration stay below this, and so do partial counts per tree level and what
+# tasks report to the driver; larger tables get larger parts.
+MAX_PARTS = 128
 
 
 class Fitted:

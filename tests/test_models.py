@@ -311,3 +311,8 @@ def test_thresholds_lie_between_few_values_and_at_quantiles_of_many(spark):
     few, many = forest.thresholds(df, ["few", "many"])
     assert few == [0.5, 1.5]
     assert many == pytest.approx([9_999 * i / 32 for i in range(1, 32)])
+
+
+def test_regression_tasks_are_bounded_for_the_driver():
+    """Every task reports a few KB per iteration."""
+    assert training.parts_for(20_000_000) <= 128
