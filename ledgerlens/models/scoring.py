@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlens.bank import Bank
 from ledgerlens.functions.scalars import ratio, round_even
 from ledgerlens.models.features import LATE, late_frame
-from ledgerlens.models.training import predict
+from ledgerlens.models.training import for_scoring, predict
 from ledgerlens.operators.ranking import top
 from ledgerlens.plans.derived import Day
 from ledgerlens.schema import ACTIVE_STATUS
@@ -28,6 +28,8 @@ def score_active(bank: Bank, model: PipelineModel, as_of: Day = None) -> DataFra
     numbers = active.select(
         "LOAN_ID", "CUSTOMER_ID", *(F.col(f).cast("double").alias(f) for f in LATE.features)
     ).na.fill(0.0, list(LATE.features))
+    # At most one row per active loan.
+    numbers = for_scoring(numbers, "LOAN_ID", active_loans(bank["loan"]).count())
     return predict(model, numbers, "LOAN_ID", "CUSTOMER_ID").select(
         "LOAN_ID", "CUSTOMER_ID", F.col("score").alias("late_risk_score")
     )

@@ -31,6 +31,9 @@ ROWS_PER_PART = 25_000
 # Training tasks per iteration stay below this, and so do partial counts per tree level and what
 # tasks report to the driver; larger tables get larger parts.
 MAX_PARTS = 128
+# A row to be scored passes through every tree, so a task gets far fewer of them than of other rows.
+ROWS_PER_SCORING = 10_000
+MAX_SCORING_PARTS = 512
 
 
 class Fitted:
@@ -63,7 +66,7 @@ class Fitted:
 
     def test(self) -> DataFrame:
         """Every row outside the training part; the cap of the task never reaches these."""
-        return self.data.filter("NOT is_train")
+        return for_scoring(self.data.filter("NOT is_train"), self.task.key)
 
     def rows_used(self) -> DataFrame:
         """One row: training rows, those fitted on, and test rows."""
@@ -173,6 +176,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(parts_for(df.count()), key).sortWithinPartitions("draw_key", key)
 
 
+def for_scoring(df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+    """The rows dealt to tasks by their number; by file size, a few tasks would score them all."""
+    rows = df.count() if rows is None else rows
+    return df.repartition(min(MAX_SCORING_PARTS, max(1, -(-rows // ROWS_PER_SCORING))), key)
+
+
 def class_counts(train: DataFrame, label: str) -> dict[int, int]:
     """Rows per class; raises when there is only one class to learn."""
     found = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}

@@ -313,6 +313,13 @@ def test_thresholds_lie_between_few_values_and_at_quantiles_of_many(spark):
     assert many == pytest.approx([9_999 * i / 32 for i in range(1, 32)])
 
 
+def test_scoring_tasks_follow_from_the_rows(spark, toy, monkeypatch):
+    monkeypatch.setattr(training, "ROWS_PER_SCORING", 10)
+    assert toy.scored(toy.forest).rdd.getNumPartitions() == 8
+    monkeypatch.setattr(training, "MAX_SCORING_PARTS", 4)
+    assert toy.scored(toy.forest).rdd.getNumPartitions() == 4
+
+
 def test_regression_tasks_are_bounded_for_the_driver():
     """Every task reports a few KB per iteration."""
     assert training.parts_for(20_000_000) <= 128
