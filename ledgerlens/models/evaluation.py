@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.quantiles import once, with_scalar
 from ledgerlens.functions.scalars import ratio, round_even
 from ledgerlens.models.features import Task
+from ledgerlens.sources.scratch import written
 
 # The distinct scores are laid out in this many cells of about equal numbers for running sums.
 SCORE_CELLS = 256
@@ -200,11 +201,16 @@ def roc_curve(scored: DataFrame, label: str = "label") -> DataFrame:
 
 
 def model_summary(scored: DataFrame, by: Sequence[str], label: str = "label") -> DataFrame:
-    """AUC, recall and precision of every model in one frame of scores.
+    """AUC, recall and precision of every model in one frame of scores."""
+    return summary_of_counts(_score_counts(scored, label, by), by)
 
-    All of them derive from the counts per score, so the models score every row once.
-    """
-    counts = _score_counts(scored, label, by)
+
+def written_summary(scored: DataFrame, by: Sequence[str], label: str = "label") -> DataFrame:
+    """The same with the counts per score written first, so that models score every row once."""
+    return summary_of_counts(written(_score_counts(scored, label, by), "score-counts"), by)
+
+
+def summary_of_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     hits = F.col("prediction") == 1
     rates = counts.groupBy(*by).agg(
         _or_zero(ratio(F.sum(F.when(hits, F.col("pos"))), F.sum("pos"))).alias("recall"),

@@ -284,7 +284,7 @@ def all_scores(context: Context) -> DataFrame:
 
 
 def _summary(context: Context) -> DataFrame:
-    return evaluation.model_summary(all_scores(context), ["task", "model"])
+    return evaluation.written_summary(all_scores(context), ["task", "model"])
 
 
 def given_summary(context: Context) -> DataFrame:

@@ -320,6 +320,14 @@ def test_scoring_tasks_follow_from_the_rows(spark, toy, monkeypatch):
     assert toy.scored(toy.forest).rdd.getNumPartitions() == 4
 
 
+def test_summaries_of_trained_models_score_once(spark, toy):
+    """What is aggregated several times is the written counts, not the models' scores."""
+    scored = toy.scored(toy.forest).select(F.lit("a").alias("model"), F.col("y").alias("label"), "prediction", "score")
+    found = evaluation.written_summary(scored, ["model"])
+    assert rows(found) == rows(evaluation.model_summary(scored, ["model"]))
+    assert "UDF" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_regression_tasks_are_bounded_for_the_driver():
     """Every task reports a few KB per iteration."""
     assert training.parts_for(20_000_000) <= 128
