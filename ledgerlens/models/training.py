@@ -65,7 +65,7 @@ class Fitted:
         return {"Logistic Regression": self.logistic, "Random Forest": self.forest}
 
     def test(self) -> DataFrame:
-        """Every row outside the training part; the cap of the task never reaches these."""
+        """Every row outside the training part; a cap never reaches these."""
         return for_scoring(self.data.filter("NOT is_train"), self.task.key)
 
     def rows_used(self) -> DataFrame:
@@ -137,10 +137,11 @@ def scaler(train: DataFrame, columns: list[str]) -> SQLTransformer:
 
 
 def prepare(features: DataFrame, task: Task) -> DataFrame:
-    """Split, and cap the rows a model is fitted on where the task has a cap.
+    """Split, and cap the rows a model is fitted on where a caller's task has a cap.
 
     Every row is either training or test row (``is_train``). ``is_fitted`` marks the training rows
-    the models learn from: all, or a stratified sample of ``task.max_rows`` of them.
+    the models learn from: all in every task of ``features.TASKS``, or a stratified sample of
+    ``max_rows`` of them in a task that sets it.
     The features are written once with their draw key, since sampling, splitting and every fit
     read them again. Thresholds are one short text per class, so the split itself is an expression
     on that table.

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 CELL_DIGITS = 4
 SEED = 42
 TEST_SHARE = 0.2
-# Fixed value: row cap of the fraud training set.
+# Fixed value: row cap where a sample is asked for without one.
 MAX_TRAIN_ROWS = 400_000
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ledgerlens import testbed
 from ledgerlens.models import evaluation, features, forest, scoring, training
 from ledgerlens.models.features import Task
+from ledgerlens.registry import QUERIES
+from ledgerlens.registry import models as queries
 from tests.conftest import rows
 
 TOY = Task("toy", "id", ("x", "kind"), "y", trees=10, depth=3, text_features=("kind",))
@@ -84,6 +86,21 @@ def test_the_cap_leaves_test_rows_alone(spark):
     assert fit.scored(fit.forest).count() == 80
 
 
+def transactions(spark, n=520_000):
+    """Feature rows of the fraud task, more than the reference keeps in memory for training."""
+    return spark.range(n).selectExpr(
+        "id as CARD_TXN_ID", "cast(id * 7919 % 100003 as double) as AMOUNT", "concat('t', id % 3) as CARD_TYPE",
+        "concat('m', id % 5) as MERCHANT_CATEGORY", "cast(id % 1009 as int) as days_since_txn",
+        "cast(id % 11 = 0 as int) as IS_FRAUD",
+    )
+
+
+def test_fraud_models_fit_on_all_training_rows(spark):
+    fit = training.fit(transactions(spark), features.FRAUD)
+    used = fit.rows_used().first()
+    assert used.fitted_rows == used.train_rows == sum(fit.counts.values()) == 416_000
+
+
 def test_forest_does_not_depend_on_the_layout(spark, monkeypatch):
     monkeypatch.setattr(training, "ROWS_PER_PART", 90)
     df = spark.createDataFrame(toy_rows(), "id bigint, x double, kind string, y int")
@@ -331,3 +348,35 @@ def test_summaries_of_trained_models_score_once(spark, toy):
 def test_regression_tasks_are_bounded_for_the_driver():
     """Every task reports a few KB per iteration."""
     assert training.parts_for(20_000_000) <= 128
+
+
+@pytest.fixture(scope="module")
+def many_transactions(spark):
+    """Model queries with more transactions than the reference trains on; models are their own."""
+    with pytest.MonkeyPatch.context() as patch:
+        frame = transactions(spark)
+        patch.setitem(features.FEATURES, "fraud", lambda bank, day: frame)
+        patch.setattr(queries, "_fitted", {})
+        yield
+
+
+def rows_at_root(forest_model):
+    """Bootstrapped training rows per tree; close to all training rows."""
+    trees = forest_model.stages[-1].trees
+    return sum(t._java_obj.rootNode().impurityStats().rawCount() for t in trees) / len(trees)
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "ml_lr_fit",
+    ],
+)
+def test_model_queries_learn_from_every_training_row(spark, sf_dir, many_transactions, name):
+    assert QUERIES[name](spark, sf_dir).count() > 0
+    assert {task for *_, task in queries._fitted} == {"fraud", "default", "late"}
+    for fit in queries._fitted.values():
+        used = fit.rows_used().first()
+        assert used.fitted_rows == used.train_rows == sum(fit.counts.values())
+        if name != "ml_lr_fit":
+            assert rows_at_root(fit.forest) == pytest.approx(used.train_rows, rel=0.02)
