@@ -20,14 +20,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.quantiles import many_quantiles
 from ledgerlens.sources.scratch import new_folder, written
 from ledgerlens.sources.ship import ship
 
 BINS = 32
 # Distinct values of a feature are counted up to here before its quantiles are taken.
 FEW = 2 * BINS
-# Rows that quantiles are taken from, about; all rows of tables with fewer than twice as many.
-SAMPLE = 40_000
 
 BLOCK = "n int, seeds binary, labels binary, bins binary"
 COUNTS = "tree int, counts binary"
@@ -47,18 +46,12 @@ def row_seed(draw_key: Column) -> Column:
 
 def thresholds(rows: DataFrame, columns: list[str]) -> list[list[float]]:
     """At most ``BINS - 1`` ascending thresholds per column: between all values if these are few,
-    else quantiles. A value goes left if it is at most the threshold.
-
-    As in ``RandomForestClassifier``, the quantiles are those of a sample, about ``SAMPLE`` rows
-    against 10,000 there. Which rows it holds follows from their draw keys.
+    else the quantiles of all rows. A value goes left if it is at most the threshold.
     """
     values = [F.col(c).cast("double").alias(c) for c in columns]
-    found = rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*(F.approx_count_distinct(v) for v in values)).alias("distinct"),
-    ).first()
+    distinct = rows.agg(F.array(*(F.approx_count_distinct(v) for v in values))).first()[0]
     result: dict[str, list[float]] = {}
-    few = [c for c, n in zip(columns, found.distinct) if n <= FEW]
+    few = [c for c, n in zip(columns, distinct) if n <= FEW]
     if few:
         # About ``FEW`` values a column.
         sets = rows.select(values).agg(*(F.sort_array(F.collect_set(c)).alias(c) for c in few)).first()
@@ -67,11 +60,8 @@ def thresholds(rows: DataFrame, columns: list[str]) -> list[list[float]]:
                 result[c] = [(a + b) / 2 for a, b in zip(sets[c], sets[c][1:])]
     rest = [c for c in columns if c not in result]
     if rest:
-        one_in = max(1, found.n // SAMPLE)
-        drawn = rows.filter(row_seed(F.col("draw_key")) % one_in == 0).select(values).toPandas()
-        for c in rest:
-            cuts = np.quantile(drawn[c].to_numpy(), np.arange(1, BINS) / BINS)
-            result[c] = np.unique(cuts).tolist()
+        found = many_quantiles(rows, rest, [i / BINS for i in range(1, BINS)])
+        result |= {c: np.unique(found[c]).tolist() for c in rest}
     return [result[c] for c in columns]
 
 

@@ -330,6 +330,17 @@ def test_thresholds_lie_between_few_values_and_at_quantiles_of_many(spark):
     assert many == pytest.approx([9_999 * i / 32 for i in range(1, 32)])
 
 
+def test_thresholds_are_quantiles_of_all_rows(spark):
+    """Of a table far too large for a sample of some ten thousand rows to hold."""
+    df = spark.range(120_000).selectExpr(
+        "exp(id * 7919 % 120000 / 9000) as x", "if(id % 3 = 0, 17D, id % 1000) as y", "md5(string(id)) as draw_key"
+    )
+    held = df.toPandas()
+    for column, found in zip("xy", forest.thresholds(df.repartition(5), ["x", "y"])):
+        expected = np.unique(np.quantile(held[column], np.arange(1, 32) / 32))
+        assert found == pytest.approx(expected.tolist(), rel=1e-14)
+
+
 def test_scoring_tasks_follow_from_the_rows(spark, toy, monkeypatch):
     monkeypatch.setattr(training, "ROWS_PER_SCORING", 10)
     assert toy.scored(toy.forest).rdd.getNumPartitions() == 8
@@ -370,6 +381,7 @@ def rows_at_root(forest_model):
     "name",
     [
         "ml_lr_fit",
+        "ml_feature_importance",
     ],
 )
 def test_model_queries_learn_from_every_training_row(spark, sf_dir, many_transactions, name):

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.quantiles import approx_quantiles, exact_quantiles
+from ledgerlens.functions.quantiles import approx_quantiles, exact_quantiles, many_quantiles
 from ledgerlens.operators import crosstab, joins, profiling, ranking, sampling, skew
 from tests.conftest import day, rows
 
@@ -219,6 +219,28 @@ def test_quantiles_equal_numpy(spark, kind):
     assert got == pytest.approx(list(np.quantile(values, PROBS)), rel=1e-15, abs=1e-12)
 
 
+def test_many_quantiles_equal_numpy(spark):
+    """Side by side: all different, a hot value, zeros of both signs with infinity, one value."""
+    rng = np.random.default_rng(4)
+    n = 50_003
+    values = {
+        "even": rng.normal(size=n),
+        "hot": np.where(rng.random(n) < 0.6, 7.0, rng.integers(0, 900, n)),
+        "zeros": np.where(rng.random(n) < 0.02, np.inf, np.where(rng.random(n) < 0.5, -0.0, rng.integers(-1, 2, n))),
+        "one": np.full(n, 3.0),
+    }
+    probs = [i / 32 for i in range(32)]
+    columns = [v.tolist() for v in values.values()]
+    df = spark.createDataFrame(list(zip(*columns)), ", ".join(f"{c} double" for c in values))
+    for part, some in ((df.repartition(5), n), (df.limit(2).coalesce(1), 2)):
+        held = part.toPandas() if some == 2 else values
+        got = many_quantiles(part, list(values), probs)
+        for c in values:
+            with np.errstate(invalid="ignore"):
+                expected = np.quantile(np.asarray(held[c]), probs)
+            assert got[c] == pytest.approx(expected.tolist(), rel=1e-14, abs=1e-14)
+
+
 def test_grouped_quantiles(spark):
     rng = np.random.default_rng(5)
     groups = {"a": rng.integers(0, 100, 40_000), "b": np.arange(11)}
