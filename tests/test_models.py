@@ -382,6 +382,7 @@ def rows_at_root(forest_model):
     [
         "ml_lr_fit",
         "ml_feature_importance",
+        "ml_save_load",
     ],
 )
 def test_model_queries_learn_from_every_training_row(spark, sf_dir, many_transactions, name):
