@@ -383,6 +383,7 @@ def rows_at_root(forest_model):
         "ml_lr_fit",
         "ml_feature_importance",
         "ml_save_load",
+        "ml_fitted_summary",
     ],
 )
 def test_model_queries_learn_from_every_training_row(spark, sf_dir, many_transactions, name):
