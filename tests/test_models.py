@@ -384,6 +384,7 @@ def rows_at_root(forest_model):
         "ml_feature_importance",
         "ml_save_load",
         "ml_fitted_summary",
+        "ml_fitted_best",
     ],
 )
 def test_model_queries_learn_from_every_training_row(spark, sf_dir, many_transactions, name):
