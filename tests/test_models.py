@@ -385,6 +385,7 @@ def rows_at_root(forest_model):
         "ml_save_load",
         "ml_fitted_summary",
         "ml_fitted_best",
+        "insight_models",
     ],
 )
 def test_model_queries_learn_from_every_training_row(spark, sf_dir, many_transactions, name):
